@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, sharding, simhash, urlfilter
+from . import decontam, packing, pii, sharding, simhash, toxicity, urlfilter
 
 #: The rules of the url query: (host, path, verdict).
 URL_RULES = [
@@ -26,6 +26,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(_read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op4_simhash, op5_packing, op7_sharding, op8_url_filter, op9_decontamination)
+    found = (op1_pii, op2_toxicity, op4_simhash, op5_packing, op7_sharding, op8_url_filter, op9_decontamination)
     return {f.__name__: f for f in found}
 
 
