@@ -311,3 +311,21 @@ def word_spans_cut(text: str | None, spans: list[tuple[int, int]]) -> str | None
         at = int(ends[b - 1])
     out.append(raw[at:])
     return b"\n".join(out).decode()
+
+
+def cut_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """``found`` (from :func:`contamination`) with the hit spans cut out of ``text_col``."""
+    names = found.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hit = np.flatnonzero(np.diff(np.asarray(b.column("spans").offsets)))
+            column = b.column(text_col)
+            if len(hit):
+                old, spans = column.to_pylist(), b.column("spans")
+                for n in hit.tolist():
+                    old[n] = word_spans_cut(old[n], [(s["start"], s["end"]) for s in spans[n].as_py()])
+                column = pa.array(old, pa.string())
+            yield pa.RecordBatch.from_arrays([column if c == text_col else b.column(c) for c in names], names)
+
+    return found.mapInArrow(run, found.schema)
