@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, sharding, simhash, toxicity, urlfilter
+from . import ann, decontam, packing, pii, sharding, simhash, toxicity, urlfilter
 
 #: The rules of the url query: (host, path, verdict).
 URL_RULES = [
@@ -39,6 +39,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.embedding_components(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_read(spark, sf_dir, "documents"), shards=16)
 
@@ -52,7 +56,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_toxicity, op4_simhash, op5_packing, op7_sharding, op8_url_filter, op9_decontamination)
+    found = (op1_pii, op2_toxicity, op4_simhash, op5_packing, op6_embedding_dedup, op7_sharding, op8_url_filter, op9_decontamination)
     return {f.__name__: f for f in found}
 
 
