@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, packing, pii, sharding, simhash, toxicity, urlfilter
+from . import ann, decontam, packing, pii, quality, sharding, simhash, toxicity, urlfilter
 
 #: The rules of the url query: (host, path, verdict).
 URL_RULES = [
@@ -31,6 +31,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_read(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_toxicity, op4_simhash, op5_packing, op6_embedding_dedup, op7_sharding, op8_url_filter, op9_decontamination)
+    found = (op1_pii, op2_toxicity, op3_quality, op4_simhash, op5_packing, op6_embedding_dedup, op7_sharding, op8_url_filter, op9_decontamination)
     return {f.__name__: f for f in found}
 
 
