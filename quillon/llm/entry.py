@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, packing, pii, quality, sharding, simhash, toxicity, urlfilter
+from . import ann, decontam, lm, packing, pii, quality, sharding, simhash, toxicity, urlfilter
 
 #: The rules of the url query: (host, path, verdict).
 URL_RULES = [
@@ -59,8 +59,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pii, op2_toxicity, op3_quality, op4_simhash, op5_packing, op6_embedding_dedup, op7_sharding, op8_url_filter, op9_decontamination)
+    found = (op1_pii, op2_toxicity, op3_quality, op4_simhash, op5_packing, op6_embedding_dedup, op7_sharding, op8_url_filter, op9_decontamination, op10_language_model)
     return {f.__name__: f for f in found}
 
 

@@ -102,5 +102,13 @@ class ChunkTokenizer:
         get = store.__getitem__
         return [b"".join(map(get, chunks)) if done is None else done for done, chunks in zip(out, split, strict=True)]
 
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk as it stands, remembered like those of texts."""
+        if len(self.store) > STORE:
+            self.store.clear()
+        asked = [c for c in chunks if c not in self.store]
+        self.store.update(zip(asked, self._ids(asked), strict=True))
+        return [self.store[c] for c in chunks]
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.encoder(texts)]
