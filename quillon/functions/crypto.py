@@ -33,13 +33,13 @@ def encrypt_fields(df: DataFrame, fields: list[str], key: bytes) -> DataFrame:
 
 def decrypt_fields(df: DataFrame, fields: dict[str, str], key: bytes) -> DataFrame:
     """Undo :func:`encrypt_fields`; ``fields`` gives each field's type. A wrong key or a moved value
-    raises; values that are not encrypted pass as they are."""
+    raises; strings that are not encrypted pass as they are."""
     out = {}
     for f, kind in fields.items():
         body = F.unbase64(F.substring(F.col(f), len(PREFIX) + 1, 1 << 30))
         plain = F.aes_decrypt(body, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _aad(f).cast("binary")).cast("string")
         opened = F.from_json(plain, f"v {kind}").getField("v")
-        out[f] = F.when(F.startswith(F.col(f), F.lit(PREFIX)), opened).otherwise(F.col(f).cast(kind))
+        out[f] = F.when(F.startswith(F.col(f), F.lit(PREFIX)), opened).otherwise(F.col(f) if kind == "string" else F.lit(None))
     return df.withColumns(out)
 
 

@@ -125,12 +125,16 @@ def _scalar(value: Column, op: str, wanted: object) -> Column:
     return (k == "string") & compared(text, F.lit(wanted)) if isinstance(wanted, str) else F.lit(False)
 
 
+def _sort_keys(k: Column) -> list[Column]:
+    return [k.getField(n) for n in ("rank", "num", "str")]
+
+
 def find(df: DataFrame, filter: object = None, sort: dict | None = None, skip: int = 0, limit: int | None = None) -> DataFrame:  # noqa: A002
     """Documents of a dynamic collection (``_id, doc``) with the options of a typed find."""
     found = compile_filter(filter)
     out = df if found is None else df.filter(found)
     if sort or skip or limit is not None:
-        keys = [key(get(p)).asc() if way == 1 else key(get(p)).desc() for p, way in (sort or {}).items()]
+        keys = [c.asc() if way == 1 else c.desc() for p, way in (sort or {}).items() for c in _sort_keys(key(get(p)))]
         out = out.orderBy(*keys, F.asc("_id"))
     out = out.offset(skip) if skip else out
     return out if limit is None else out.limit(limit)

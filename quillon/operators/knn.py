@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import EngineError
 from ..functions.vector import METRICS, score
@@ -55,7 +56,7 @@ def batch_nearest(df: DataFrame, field: str, queries: DataFrame, query_field: st
     parts, block = [], []
 
     def part(rows: list) -> DataFrame:
-        ids, asked = pa.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+        ids, asked = pa.array([r[0] for r in rows], to_arrow_type(queries.schema["_id"].dataType)), np.array([r[1] for r in rows], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
