@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_components, materialize
+from .common import local_components, map_arrow, materialize
 from .components import connected_components
 
 #: Rows that k-means reads, centroids that are sent to tasks, rows of a block.
@@ -199,7 +199,7 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
                     home[n] = np.sort(t)
             yield pa.RecordBatch.from_arrays([b.column("rep"), lists, b.column("n"), pa.array(home, pa.list_(pa.int64()))], ["rep", "embedding", "n", "shards"])
 
-    assigned = materialize(classes.select("rep", "embedding", "n").mapInArrow(assign, "rep long, embedding array<double>, n long, shards array<long>"), "shards")
+    assigned = materialize(map_arrow(classes.select("rep", "embedding", "n"), assign, "rep long, embedding array<double>, n long, shards array<long>"), "shards")
     placed = assigned.withColumn("shard", F.explode("shards"))
     # At most CENTROIDS rows for each vector length.
     sizes = F.broadcast(placed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
@@ -282,30 +282,30 @@ def audit_recall(vectors: DataFrame, threshold: float = 0.95, every: int = 50, b
     rows, _ = vector_classes(vectors, "vec_id", "embedding")
     asked = rows.filter(f"fit and vec_id % {every} = 0").select("vec_id", "embedding")
     found = {r[0]: r[1] for r in embedding_components(vectors, threshold).filter(f"vec_id % {every} = 0").select("vec_id", "n_links").collect()}
-    true_total = found_total = 0
-    waiting: list = []
+    totals = [0, 0]
 
-    def settle() -> None:
-        nonlocal true_total, found_total
+    def settle(waiting: list) -> None:
         ids, q = np.array([r[0] for r in waiting]), _unit(np.array([r[1] for r in waiting]))
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(q), np.int64)
             for b in batches:
-                x = _unit(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)))
-                total += (q @ x.T >= threshold).sum(1)
+                if b.num_rows:
+                    x = _unit(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)))
+                    total += (q @ x.T >= threshold).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["vec_id", "n"])
 
-        counted = rows.filter("fit").select("embedding").mapInArrow(count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n") - 1)
-        for i, n in counted.collect():
-            true_total += n
-            found_total += min(n, found.get(i, 0))
+        same = rows.filter("fit").filter(F.size("embedding") == q.shape[1]).select("embedding")
+        for i, n in map_arrow(same, count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n") - 1).collect():
+            totals[0] += n
+            totals[1] += min(n, found.get(i, 0))
 
+    waiting: dict[int, list] = {}
     for r in asked.toLocalIterator():
-        waiting.append(r)
-        if len(waiting) == block:
-            settle()
-            waiting = []
-    if waiting:
-        settle()
-    return true_total, found_total
+        mine = waiting.setdefault(len(r[1]), [])
+        mine.append(r)
+        if len(mine) == block:
+            settle(waiting.pop(len(r[1])))
+    for mine in waiting.values():
+        settle(mine)
+    return totals[0], totals[1]
