@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import EngineError
@@ -58,3 +60,26 @@ def page(df: DataFrame, number: int = 1, per_page: int = 50) -> tuple[DataFrame,
     number = max(1, number)
     total = df.count()
     return find(df, skip=(number - 1) * per_page, limit=per_page), total, -(-total // per_page)
+
+
+def collect_within(df: DataFrame, seconds: float) -> list[Row]:
+    """The rows, or ``QueryTimeout`` when they take longer; the query's jobs are then cancelled."""
+    context = df.sparkSession.sparkContext
+    tag, late = f"quillon-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise EngineError("QueryTimeout", f"no result within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .functions import crypto, dynamic, ids
 from .functions.text import idf, tokens
 from .operators import find as reads
-from .operators import hybrid, knn, sync, text_search, updates
+from .operators import hybrid, knn, shape, sync, text_search, updates
 from .plans.pipeline import aggregate
 from .sources import io
 from .streaming import live
@@ -437,6 +437,13 @@ def backoff(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(12).select(F.col("id").cast("int").alias("attempt"), sync.backoff_ms(F.col("id"), F.lit(0.5)).alias("wait"))
 
 
+@query("SELECT p_partkey AS _id, CASE WHEN p_partkey % 3 < 1 THEN upper(p_name) ELSE p_name END AS p_name, CASE WHEN p_partkey % 3 < 2 THEN p_size * 10 ELSE p_size END AS p_size, 2 AS _v FROM part")
+def shape_migrate(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts at three versions, read at the latest."""
+    held = table(spark, sf, "part").select("_id", "p_name", "p_size", F.when(F.col("_id") % 3 > 0, (F.col("_id") % 3).cast("int")).alias("_v"))
+    return shape.migrate(held, [{"p_name": F.upper("p_name")}, {"p_size": F.col("p_size") * 10}])
+
+
 # --- sources and sinks -------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@ import pytest
 
 from quillon.errors import EngineError
 from quillon.functions import crypto, dynamic, ids
-from quillon.operators import sync, updates
+from quillon.operators import find, shape, sync, updates
 from quillon.sources import io
 from quillon.sources.collection import Database
 from quillon.streaming import live
@@ -156,7 +156,7 @@ def test_dynamic_documents(spark):
     assert ask({"v": 1}) == [0, 6] and ask({"v": "1"}) == [2] and ask({"v": None}) == [3] and ask({"v": {"$exists": False}}) == [4]
     assert ask({"v": {"$gte": 1}}) == [0, 1, 6, 8] and ask({"v": {"$gt": float(2**53)}}) == [8] and ask({"v": True}) == [5]
     assert ask({"v": {"$ne": 1}}) == [1, 2, 3, 4, 5, 7, 8] and ask({"v.w": 5}) == [7] and ask({"v": {"$in": ["x", None]}}) == [3, 6]
-    assert ask({"v": {"$regex": "^1$"}}) == [2] and ask({"$not": {"v": {"$exists": True}}}) == [4] and ask({"v": {"w": 5}} if False else {"v": {"$eq": {"w": 5}}}) == [7]
+    assert ask({"v": {"$regex": "^1$"}}) == [2] and ask({"$not": {"v": {"$exists": True}}}) == [4] and ask({"v": {"$eq": {"w": 5}}}) == [7]
     order = [r["_id"] for r in dynamic.find(df, sort={"v": 1}).collect()]
     assert order[:3] == [4, 3, 5] and order[3:6] == [0, 1, 8] and order[6] == 2
     assert dynamic.group_count(df, "v").filter("_id.rank = 1").first()["n"] == 2
@@ -204,3 +204,22 @@ def test_webhook_retries():
     assert not live.send("http://x", {"op": "delete"}, opener=opener, sleep=waits.append)
     answers = [500] * 4
     assert not live.send("http://x", {"op": "insert"}, opener=opener, sleep=waits.append)
+
+
+def test_shape_versions(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "a b", None), (2, "c", 1), (3, "d", 7)], "_id int, name string, _v int")
+    up = shape.migrate(df, [{"first": F.split("name", " ")[0]}, {"name": F.upper("name")}])
+    assert [(d["name"], d["first"], d["_v"]) for d in docs(up)] == [("A B", "a", 2), ("C", None, 2), ("d", None, 7)]
+    assert [d["name"] for d in docs(shape.downgrade(up, {2: {"name": F.lower("name")}}, 1))] == ["a b", "c", "d"]
+    with pytest.raises(EngineError):
+        shape.check_writable(df, 2)
+
+
+def test_query_timeout(spark):
+    assert len(find.collect_within(spark.range(3), 60)) == 3
+    slow = spark.range(10**12).selectExpr("sum(hash(id) % 7) s")
+    with pytest.raises(EngineError) as e:
+        find.collect_within(slow, 1.5)
+    assert e.value.code == "QueryTimeout"
