@@ -12,7 +12,7 @@ position; covered words merge into spans.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 WINDOW = 8
 SAMPLE = 8
 #: Kept symbols and texts of one index.
@@ -27,6 +29,9 @@ SHARD_SYMBOLS, SHARD_TEXTS = 1_000_000, 20_000
 #: Bytes of benchmark text in one block; a larger benchmark is searched block by block.
 BLOCK_BYTES = 8_000_000
 
+#: Columns that :func:`contamination` adds.
+WORDS, SPANS, ITEMS = "_benchmark_words", "_benchmark_spans", "_benchmark_items"
+
 _TABLE = bytes((c + 32) if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -212,23 +217,42 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``spans`` (hit words, merged, end exclusive) and ``items``.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES, clean_below: int | None = None) -> DataFrame:
+    """``docs`` with its words counted (``WORDS``), ``SPANS`` (hit words, merged, end exclusive) and
+    ``ITEMS``; these columns have names of their own, so none of ``docs``' columns is lost.
 
     A benchmark of any size works: it is read in blocks of bounded size, each of which passes once
     over the texts and adds to the spans found before. Null and empty texts have no words; an empty
     benchmark hits nothing; a null item id counts as empty text; items with one id are one item.
     """
-    held = [f.name for f in docs.schema.fields if f.name not in ("n_words", "spans", "items")]
-    out = docs.select(*held).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:int,end:int>>"), "items": F.array().cast("array<string>")})
+    held = [f.name for f in docs.schema.fields if f.name not in (WORDS, SPANS, ITEMS)]
+    out = docs.select(*held).withColumns({WORDS: F.lit(0).cast("long"), SPANS: F.array().cast("array<struct<start:int,end:int>>"), ITEMS: F.array().cast("array<string>")})
     schema = out.schema
     blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
-    first = next(blocks, [])
+    block = next(blocks, [])
     while True:
-        out = out.mapInArrow(_search_block(Phrases(first, window), text_col), schema)
-        first = next(blocks, None)
-        if first is None:
+        after = next(blocks, None)
+        finish = None if after is not None or clean_below is None else _cleaner(text_col, clean_below)
+        out = map_arrow(out, _search_block(Phrases(block, window), text_col, finish), schema)
+        if after is None:
             return out
+        block = after
+
+
+def _cleaner(text_col: str, clean_below: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    def clean(b: pa.RecordBatch) -> pa.RecordBatch:
+        count = np.diff(np.asarray(b.column(ITEMS).offsets))
+        b = b.filter(pa.array(count < clean_below))
+        spans, column = b.column(SPANS), b.column(text_col)
+        hit = np.flatnonzero(np.diff(np.asarray(spans.offsets)))
+        if len(hit):
+            texts = column.to_pylist()
+            for n in hit.tolist():
+                texts[n] = word_spans_cut(texts[n], [(s["start"], s["end"]) for s in spans[n].as_py()])
+            column = pa.array(texts, pa.string())
+        return pa.RecordBatch.from_arrays([column if c == text_col else b.column(c) for c in b.schema.names], b.schema.names)
+
+    return clean
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -241,7 +265,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_block(phrases: Phrases, text_col: str):  # noqa: ANN202
+def _search_block(phrases: Phrases, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None):  # noqa: ANN202
     """The closure carries the block: its size is bounded by ``block_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,15 +280,16 @@ def _search_block(phrases: Phrases, text_col: str):  # noqa: ANN202
             at = 0
             for b in waiting:
                 n = b.num_rows
-                old = b.column("spans").to_pylist(), b.column("items").to_pylist()
+                old = b.column(SPANS).to_pylist(), b.column(ITEMS).to_pylist()
                 now_spans = [_merged([(s["start"], s["end"]) for s in o] + f) for o, f in zip(old[0], spans[at : at + n], strict=True)]
                 now_items = [sorted({*o, *(phrases.items[i] for i in f)}) for o, f in zip(old[1], items[at : at + n], strict=True)]
                 new = {
-                    "n_words": pa.array(totals[at : at + n], pa.int64()),
-                    "spans": pa.array([[{"start": x, "end": y} for x, y in s] for s in now_spans], b.schema.field("spans").type),
-                    "items": pa.array(now_items, b.schema.field("items").type),
+                    WORDS: pa.array(totals[at : at + n], pa.int64()),
+                    SPANS: pa.array([[{"start": x, "end": y} for x, y in s] for s in now_spans], b.schema.field(SPANS).type),
+                    ITEMS: pa.array(now_items, b.schema.field(ITEMS).type),
                 }
-                yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+                made = pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in b.schema.names], b.schema.names)
+                yield made if finish is None else finish(made)
                 at += n
             waiting.clear(), numbers.clear(), totals.clear()
 
@@ -289,10 +314,10 @@ def _search_block(phrases: Phrases, text_col: str):  # noqa: ANN202
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", min_items: int = 2) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row."""
     rows = contamination(docs.select(F.col(id_col).alias("doc_id"), "text"), benchmark, window)
-    size = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
+    size = F.aggregate(SPANS, F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
     return rows.select(
-        "doc_id", "n_words", size.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.size("items") >= min_items).alias("contaminated"),
+        "doc_id", F.col(WORDS).alias("n_words"), size.alias("n_hit"), F.size(ITEMS).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(ITEMS), ","), 256).alias("items_sha256"), (F.size(ITEMS) >= min_items).alias("contaminated"),
     )
 
 
@@ -311,21 +336,3 @@ def word_spans_cut(text: str | None, spans: list[tuple[int, int]]) -> str | None
         at = int(ends[b - 1])
     out.append(raw[at:])
     return b"\n".join(out).decode()
-
-
-def cut_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """``found`` (from :func:`contamination`) with the hit spans cut out of ``text_col``."""
-    names = found.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = np.flatnonzero(np.diff(np.asarray(b.column("spans").offsets)))
-            column = b.column(text_col)
-            if len(hit):
-                old, spans = column.to_pylist(), b.column("spans")
-                for n in hit.tolist():
-                    old[n] = word_spans_cut(old[n], [(s["start"], s["end"]) for s in spans[n].as_py()])
-                column = pa.array(old, pa.string())
-            yield pa.RecordBatch.from_arrays([column if c == text_col else b.column(c) for c in names], names)
-
-    return found.mapInArrow(run, found.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .tokens import DEFAULT_TOKENIZER, ChunkTokenizer
 
 CAPACITY = 2048
@@ -226,7 +226,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, k long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, kind)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -253,4 +253,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOK
         "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("first") + F.col("k")).alias("rank")
     )
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, " + "ids array<int>, " * with_ids + "sequence_id long, offset long"
-    return ranked.mapInArrow(put, kind)
+    return map_arrow(ranked, put, kind)

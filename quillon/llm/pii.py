@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 from .boosting import BoostedTrees
 
 KINDS = ("email", "ip", "card", "phone")
@@ -298,7 +300,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     kind = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, kind)
 
 
 def redacted(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
@@ -328,4 +330,4 @@ def redact(docs: DataFrame, text_col: str = "text", examples: int = 6000) -> Dat
                 new = pa.array([None if t is None else redacted(t, s) for t, s in zip(old, full, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([new if c == text_col else b.column(c) for c in names], names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

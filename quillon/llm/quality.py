@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialize
+from .common import id_bucket, map_arrow, materialize
 
 BUCKETS = 10_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -71,7 +71,7 @@ def train(docs: DataFrame, labels: DataFrame, max_target: int = 4000, buckets: i
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
     raw, target = np.ones(buckets), np.ones(buckets)
-    counted = docs.select("doc_id", "text").mapInArrow(count, "bucket long, raw long, target long")
+    counted = map_arrow(docs.select("doc_id", "text"), count, "bucket long, raw long, target long")
     for b, r, t in counted.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[b] += r
         target[b] += t
@@ -96,7 +96,7 @@ def score(docs: DataFrame, ratio: np.ndarray, seed: int = 17) -> DataFrame:
             held = pa.array([id_bucket(i) == 0 for i in ids], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), held, pa.array([len(g) for g in grams], pa.int64()), pa.array(value), pa.array(value + noise)], ["doc_id", "held_out", "n_grams", "log_ratio", "gumbel_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, n_grams long, log_ratio double, gumbel_key double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, n_grams long, log_ratio double, gumbel_key double")
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 1000, small: int = 5000) -> float:

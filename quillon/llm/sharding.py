@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 
 _HALF = 1 << 63
 _LOW = 1 << 64
@@ -64,7 +64,7 @@ def _counts(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
         used = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(size[used]), pa.array(rows[used])], ["at", "size", "n"])
 
-    found = keys.select("h", "k", "size").mapInArrow(count, "at long, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n")).collect()
+    found = map_arrow(keys.select("h", "k", "size"), count, "at long, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n")).collect()
     size, rows = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
     for at, s, n in found:
         size[at], rows[at] = s, n
@@ -153,7 +153,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(start_of[at])], [*b.schema.names, "range", "start"])
 
     kind = "doc_id long, size long, text_crc32 long, h long, k long, range long, start long"
-    placed = keys.mapInArrow(place, kind)
+    placed = map_arrow(keys, place, kind)
     rank = F.row_number().over(W.partitionBy("range").orderBy("h", "k", "size", "text_crc32"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("range") / fine).cast("int").alias("shard"),

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket
+from .common import id_bucket, map_arrow
 from .decontam import words_of
 
 BITS = 20
@@ -152,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unla
             yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(found, pa.binary())], ["positive", "features"])
 
     positive, unlabelled = [], []
-    for is_p, raw in rows.mapInArrow(run, "positive boolean, features binary").collect():
+    for is_p, raw in map_arrow(rows, run, "positive boolean, features binary").collect():
         (positive if is_p else unlabelled).append(np.frombuffer(raw, np.int32))
     order = lambda rows: sorted(rows, key=lambda r: r.tobytes())  # noqa: E731  the same sum in any arrival order
     return ToxicityModel.fit(order(positive), order(unlabelled), prior)
@@ -174,7 +174,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             held = pa.array([id_bucket(i) == 0 for i in ids.to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([ids, held, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -185,4 +185,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([score(t.as_py()) < 0.5 for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
