@@ -29,7 +29,8 @@ def find_nearest(df: DataFrame, field: str, query: Sequence[float], top_k: int =
     """``df``'s nearest documents with ``score``, best first, ties by ``_id``. The filter applies
     before ranking; null vectors and vectors of another length are skipped."""
     check_dimensions(query, dimensions)
-    found = matching(df, filter).withColumn("score", score(F.col(field), list(query), metric)).filter("score is not null")
+    fits = matching(df, filter).filter(F.size(field) == len(query))  # on the vector, so the score is computed once
+    found = fits.withColumn("score", score(F.col(field), list(query), metric))
     return found.orderBy(F.desc("score"), F.asc("_id")).limit(min(max(top_k, 0), INT_MAX))
 
 
