@@ -1,14 +1,14 @@
 """Language-model scoring with a causal self-attention model over subword ids.
 
-Subword ids of a public tokenizer fall into classes: the most frequent ids one each, the others by
-form and frequency. A self-attention layer predicts the class of the next id from the classes
+Subword ids of a public tokenizer fall into classes: the most frequent ids one each, the next by
+which of those share their texts, all others one. A self-attention layer predicts the class of the next id from the classes
 before it; within a class an id has its share of the training counts. A text's score is the log10
 probability of all its ids and of its end.
 
 * Counts of words and ids cover all training rows (crc32(doc_id) mod 5 is not 1).
 * The attention weights are trained in numpy where the data lies: every task descends on its own
   slice of the training rows, a fixed fraction of them, and the weights are averaged by the tokens
-  they saw, once per round.
+  they saw.
 * Scoring cuts a text's ids into windows of ``WINDOW`` that overlap by half; the ids in a window's
   second half are scored, each once, with the whole window before them as context.
 
@@ -28,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialize
-from .tokens import DEFAULT_TOKENIZER, ChunkTokenizer
+from .ann import _unit as unit
+from .ann import kmeans
+from .common import id_bucket, map_arrow, materialize
+from .tokens import DEFAULT_TOKENIZER, ChunkTokenizer, load_encoder
 
 CLASSES, WIDTH = 64, 16
 OWN = 40
-WINDOW, STRIDE = 64, 32
+PROFILED = 2048
+WINDOW, STRIDE = 32, 16
 HEAD = 65_536
 PAD, BOS = CLASSES, CLASSES + 1
 END_ID = 50_256
@@ -136,34 +139,41 @@ def windows_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(parts), np.concatenate(goals), np.concatenate(owner)
 
 
-def id_classes(counts: np.ndarray, forms: list[str]) -> np.ndarray:
-    """The class of each id: the most frequent ids have one of their own, the others go by form
-    (after a space or not; ASCII letters, other letters, rest) and by frequency."""
+def own_ids(counts: np.ndarray) -> np.ndarray:
+    """The ids with a class of their own: the most frequent ones, beside the end."""
     order = np.lexsort((np.arange(len(counts)), -counts))
-    out = np.zeros(len(counts), np.int16)
-    own = [i for i in order[: OWN - 1].tolist() if i != END_ID][: OWN - 1]
-    out[own] = np.arange(len(own))
-    out[END_ID] = OWN - 1
-    rest = np.array([i for i in order.tolist() if i not in set(own) and i != END_ID])
-    kind = np.empty(len(rest), np.int64)
-    for n, i in enumerate(rest.tolist()):
-        t = forms[i]
-        body = t.strip()
-        kind[n] = 3 * (t[:1] == " ") + (0 if body.isascii() and body.isalpha() else 1 if body.isalpha() else 2)
-    bands = (CLASSES - OWN) // 6
-    for k in range(6):
-        mine = rest[kind == k]
-        mass = np.cumsum(counts[mine] + 0.5)
-        if len(mine):
-            out[mine] = OWN + k * bands + np.minimum((mass * bands / mass[-1] - 1e-9).astype(int), bands - 1)
-    return out
+    return order[order != END_ID][: OWN - 1]
 
 
-def _forms(tokenizer: str) -> list[str]:
-    from .tokens import load_tokenizer
-
-    t = load_tokenizer(tokenizer)
-    return [t.decode([i]) for i in range(VOCAB)]
+def profiled_ids(counts: np.ndarray) -> np.ndarray:
+    """The next most frequent ids, which are grouped by the company they keep."""
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    return order[order != END_ID][OWN - 1 : OWN - 1 + PROFILED]
+
+
+def add_profiles(total: np.ndarray, ids: np.ndarray, own_of: np.ndarray, row_of: np.ndarray) -> None:
+    """Add to each profiled id's row, once for each of its places in a text, the shares of the own
+    ids among the text's own ids."""
+    own = own_of[ids]
+    share = np.bincount(own[own >= 0], minlength=OWN - 1)[: OWN - 1].astype(np.float32)
+    rows = row_of[ids]
+    rows, times = np.unique(rows[rows >= 0], return_counts=True)
+    total[rows] += times[:, None] * (share / max(1.0, share.sum()))[None, :]
+
+
+def id_classes(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
+    """The class of each id: own ids, the end, clusters of profiled ids, and one for all others."""
+    out = np.full(len(counts), CLASSES - 1, np.int16)
+    out[own_ids(counts)] = np.arange(OWN - 1)
+    rows = profiled_ids(counts)
+    seen = profiles.sum(1) > 0
+    if seen.any():
+        x = unit(profiles[seen])
+        x = unit(x - x.mean(0) + 1e-9)
+        centre = kmeans(x, CLASSES - OWN - 1)
+        out[rows[seen]] = OWN + np.argmax(x @ centre.T, 1)
+    out[END_ID] = OWN - 1
+    return out
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -180,41 +190,51 @@ def _id_bytes(i: int) -> bytes:
 
 def count_training(docs: DataFrame, tokenizer: str) -> DataFrame:
     """``kind, token, c`` over all training rows: words (kind 0, the end as the empty word) and
-    subword ids (kind 1, little-endian)."""
+    subword ids (kind 1, little-endian).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkTokenizer(tokenizer)
-        ids, chunks, ends = np.zeros(VOCAB, np.int64), Counter(), 0
+    Tasks count the chunks between spaces as they stand; only distinct chunks are then cut into
+    words and ids. White space that meets a space counts as chunks of its own here.
+    """
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, rest = Counter(), Counter()
 
         def spill() -> Iterator[pa.RecordBatch]:
-            nonlocal ends
-            words: Counter = Counter()
-            keys = list(chunks)
-            for at in range(0, len(keys), 20_000):
-                for k, raw in zip(keys[at : at + 20_000], encoder.encode_chunks(keys[at : at + 20_000]), strict=True):
-                    n = chunks[k]
-                    for w in _words(k):
-                        words[w] += n
-                    np.add.at(ids, np.frombuffer(raw, "<u4"), n)
-            words[b""] += ends
-            ends = 0
-            chunks.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["kind", "token", "c"])
+            for spaced, found in ((False, first), (True, rest)):
+                yield pa.RecordBatch.from_arrays([pa.array([spaced] * len(found), pa.bool_()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["spaced", "chunk", "c"])
+                found.clear()
 
         for b in batches:
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 if not _held(doc):
-                    head, *rest = (t.as_py() or "").split(" ")
-                    chunks[head] += 1
-                    chunks.update([" " + c for c in rest])
-                    ends += 1
-            if len(chunks) > 300_000:
+                    head, *tail = (t.as_py() or "").split(" ")
+                    first[head] += 1
+                    rest.update(tail)
+            if len(first) + len(rest) > 400_000:
                 yield from spill()
         yield from spill()
+
+    counted = map_arrow(docs, chunks, "spaced boolean, chunk string, c long").groupBy("spaced", "chunk").agg(F.sum("c").alias("c"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, ids = load_encoder(tokenizer), np.zeros(VOCAB, np.int64)
+        for b in batches:
+            words: Counter = Counter()
+            texts, times = b.column("chunk").to_pylist(), b.column("c").to_numpy()
+            spaced = b.column("spaced").to_pylist()
+            for text, n, after in zip(texts, times.tolist(), spaced, strict=True):
+                for w in _words(text):
+                    words[w] += n
+                if not after:
+                    words[b""] += n  # each text has one first chunk, and one end
+            found = encoder([" " + t if after else t for t, after in zip(texts, spaced, strict=True)])
+            flat = np.array([i for f in found for i in f], np.int64)
+            ids += np.bincount(flat, np.repeat(times, list(map(len, found))), VOCAB).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["kind", "token", "c"])
         at = np.flatnonzero(ids)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array([_id_bytes(i) for i in at.tolist()], pa.binary()), pa.array(ids[at])], ["kind", "token", "c"])
 
-    return docs.mapInArrow(run, "kind int, token binary, c long").filter("c > 0").groupBy("kind", "token").agg(F.sum("c").alias("c"))
+    return map_arrow(counted, cut, "kind int, token binary, c long").groupBy("kind", "token").agg(F.sum("c").alias("c"))
 
 
 def _batches(sequences: Iterator[np.ndarray], size: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,58 +257,100 @@ def _batches(sequences: Iterator[np.ndarray], size: int = 64) -> Iterator[tuple[
         yield np.concatenate(x_wait), np.concatenate(y_wait)
 
 
-def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 10, rounds: int = 2) -> tuple[AttentionModel, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 20) -> tuple[AttentionModel, np.ndarray, np.ndarray]:
     """The attention model, each id's class, and each id's log10 share within its class.
 
-    Every round reads another ``1/fraction`` of the training rows by id hash, so what training
-    sees grows with the input; a task's weights are at most 40 KB.
+    Two slices of the training rows are read, each ``1/fraction`` of them by id hash, so what training
+    sees grows with the input: the first for the classes, the second for the weights. A task hands
+    over at most 320 KB; the driver adds them up one by one.
     """
     c = np.zeros(VOCAB, np.int64)
     for token, n in counts.filter("kind = 1").select("token", "c").collect():  # at most VOCAB rows
         c[int.from_bytes(token, "little")] = n
     c[END_ID] = sum(r[0] for r in counts.filter("kind = 0 and token = X''").select("c").collect())
-    classes = id_classes(c, _forms(tokenizer))
+    end = np.array([END_ID], "<u4").tobytes()
+
+    def texts_ids(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[np.ndarray]:
+        encoder = ChunkTokenizer(tokenizer)
+        for b in batches:
+            rows = [n for n, d in enumerate(b.column("doc_id").to_pylist()) if not _held(d) and zlib.crc32(f"lm:{d}".encode()) % fraction == part]
+            for at in range(0, len(rows), 100):
+                for raw in encoder.encode([b.column("text")[n].as_py() or "" for n in rows[at : at + 100]]):
+                    yield np.frombuffer(raw + end, "<u4")
+
+    own_of, row_of = np.full(VOCAB, -1, np.int64), np.full(VOCAB, -1, np.int64)
+    own_of[own_ids(c)], row_of[profiled_ids(c)] = np.arange(OWN - 1), np.arange(PROFILED)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((PROFILED, OWN - 1), np.float32)
+        for ids in texts_ids(batches, 0):
+            add_profiles(total, ids, own_of, row_of)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if total.any() else [], pa.binary())], ["total"])
+
+    profiles = np.zeros((PROFILED, OWN - 1))
+    for (raw,) in materialize(map_arrow(docs, profile, "total binary"), "profiles").toLocalIterator():
+        profiles += np.frombuffer(raw, np.float32).reshape(profiles.shape)
+    classes = id_classes(c, profiles)
     mass = np.bincount(classes, c + 0.5, CLASSES)
     share = np.log10((c + 0.5) / mass[classes])
-    model = AttentionModel(prior=(mass + 1e-9) / mass.sum())
-    end = np.array([END_ID], "<u4").tobytes()
-    for turn in range(rounds):
-        flat = model.flat.copy()
+    flat = AttentionModel(prior=(mass + 1e-9) / mass.sum()).flat
 
-        def run(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            encoder, mine = ChunkTokenizer(tokenizer), AttentionModel(flat.copy())
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = AttentionModel(flat.copy())
+        seen = mine.descend(_batches(classes[ids] for ids in texts_ids(batches, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([mine.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["flat", "seen"])
 
-            def sequences() -> Iterator[np.ndarray]:
-                for b in batches:
-                    ids = b.column("doc_id").to_pylist()
-                    rows = [n for n, d in enumerate(ids) if not _held(d) and zlib.crc32(f"lm:{d}".encode()) % fraction == turn]
-                    for at in range(0, len(rows), 100):
-                        for raw in encoder.encode([b.column("text")[n].as_py() or "" for n in rows[at : at + 100]]):
-                            yield classes[np.frombuffer(raw + end, "<u4")]
+    total, seen = np.zeros(len(flat)), 0
+    for raw, n in materialize(map_arrow(docs, descend, "flat binary, seen long"), "weights").toLocalIterator():
+        if n:
+            total += n * np.frombuffer(raw, np.float32).astype(np.float64)
+            seen += n
+    return AttentionModel(total / seen if seen else flat), classes, share
 
-            seen = mine.descend(_batches(sequences()))
-            yield pa.RecordBatch.from_arrays([pa.array([mine.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["flat", "seen"])
 
-        total, seen = np.zeros(len(flat)), 0
-        for raw, n in docs.mapInArrow(run, "flat binary, seen long").toLocalIterator():
-            if n:
-                total += n * np.frombuffer(raw, np.float32).astype(np.float64)
-                seen += n
-        if seen:
-            model = AttentionModel(total / seen)
-    return model, classes, share
+class Scorer:
+    """Log-probabilities of given targets under a model, without what only training needs.
+
+    A key's bias multiplies its value, and the weights' sum is one more value, so attention is two
+    batched products and one exponential.
+    """
+
+    def __init__(self, model: AttentionModel):
+        p = model.p
+        bias = np.exp(np.clip(p["key_bias"].astype(np.float64), -40, 40)).astype(np.float32)
+        bias[PAD] = 0
+        self.q, self.k, self.out, self.last = p["q"], p["k"], p["out"], p["last"]
+        self.v = np.concatenate((p["v"] * bias[:, None], bias[:, None]), 1)
+        self.shift = p["distance"][model.gap] + model.future
+        high = float(np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max() + p["distance"].max())
+        self.cap = 60.0 if high > 60 else None  # else no sum can overflow
+
+    def __call__(self, x: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        query = x[:, STRIDE:]
+        s = self.q[query] @ self.k[x].transpose(0, 2, 1)
+        s += self.shift
+        if self.cap is not None:
+            np.minimum(s, self.cap, out=s)
+        np.exp(s, out=s)
+        mixed = (s @ self.v[x]).reshape(-1, WIDTH + 1)
+        live = np.flatnonzero(goal >= 0)
+        mixed = mixed[live] if len(live) < len(goal) else mixed
+        z = (mixed[:, :WIDTH] / (mixed[:, WIDTH:] + np.float32(1e-30))) @ self.out
+        z += self.last[query.reshape(-1)[live]]
+        np.clip(z, -80, 80, out=z)
+        value = z[np.arange(len(live)), goal[live]]
+        np.exp(z, out=z)
+        return value.astype(np.float64) - np.log(z.sum(1, dtype=np.float32))
 
 
 def score_sequences(model: AttentionModel, sequences: list[np.ndarray], size: int = 256) -> np.ndarray:
     """Log10 probability of each sequence of classes."""
     x, y, owner = windows_of(sequences)
-    out = np.zeros(len(sequences))
+    out, score = np.zeros(len(sequences)), Scorer(model)
     for at in range(0, len(x), size):
-        z = model.forward(x[at : at + size])[0]
         goal = y[at : at + size].reshape(-1)
-        live = np.flatnonzero(goal >= 0)
-        value = z[live, goal[live]].astype(np.float64)
-        out += np.bincount(np.repeat(owner[at : at + size], STRIDE)[live], value, len(sequences))
+        which = np.repeat(owner[at : at + size], STRIDE)[goal >= 0]
+        out += np.bincount(which, score(x[at : at + size], goal), len(sequences))
     return out / math.log(10)
 
 
@@ -352,7 +414,7 @@ def score_documents(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, head: i
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "n_ids", "rare", "often"])
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, sum double, score double, n_ids long, rare array<binary>, often array<long>"
-    scored = materialize(docs.mapInArrow(run, kind), "scored")
+    scored = materialize(map_arrow(docs, run, kind), "scored")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.often").alias("m"))
     joined = each.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known")
