@@ -8,7 +8,7 @@ probability of all its ids and of its end.
 * Counts of words and ids cover all training rows (crc32(doc_id) mod 5 is not 1).
 * The attention weights are trained in numpy where the data lies: every task descends on its own
   slice of the training rows, a fixed fraction of them, and the weights are averaged by the tokens
-  they saw.
+  they saw, once per round.
 * Scoring cuts a text's ids into windows of ``WINDOW`` that overlap by half; the ids in a window's
   second half are scored, each once, with the whole window before them as context.
 
@@ -36,7 +36,7 @@ from .tokens import DEFAULT_TOKENIZER, ChunkTokenizer, load_encoder
 CLASSES, WIDTH = 64, 16
 OWN = 40
 PROFILED = 2048
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 64, 32
 HEAD = 65_536
 PAD, BOS = CLASSES, CLASSES + 1
 END_ID = 50_256
@@ -257,12 +257,12 @@ def _batches(sequences: Iterator[np.ndarray], size: int = 64) -> Iterator[tuple[
         yield np.concatenate(x_wait), np.concatenate(y_wait)
 
 
-def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 20) -> tuple[AttentionModel, np.ndarray, np.ndarray]:
+def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 10, rounds: int = 2) -> tuple[AttentionModel, np.ndarray, np.ndarray]:
     """The attention model, each id's class, and each id's log10 share within its class.
 
-    Two slices of the training rows are read, each ``1/fraction`` of them by id hash, so what training
-    sees grows with the input: the first for the classes, the second for the weights. A task hands
-    over at most 320 KB; the driver adds them up one by one.
+    Every round reads another ``1/fraction`` of the training rows by id hash, so what training
+    sees grows with the input; the first round's rows also serve the classes. A task hands over at
+    most 320 KB; the driver adds them up one by one.
     """
     c = np.zeros(VOCAB, np.int64)
     for token, n in counts.filter("kind = 1").select("token", "c").collect():  # at most VOCAB rows
@@ -293,19 +293,23 @@ def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 20
     classes = id_classes(c, profiles)
     mass = np.bincount(classes, c + 0.5, CLASSES)
     share = np.log10((c + 0.5) / mass[classes])
-    flat = AttentionModel(prior=(mass + 1e-9) / mass.sum()).flat
-
-    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = AttentionModel(flat.copy())
-        seen = mine.descend(_batches(classes[ids] for ids in texts_ids(batches, 1)))
-        yield pa.RecordBatch.from_arrays([pa.array([mine.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["flat", "seen"])
-
-    total, seen = np.zeros(len(flat)), 0
-    for raw, n in materialize(map_arrow(docs, descend, "flat binary, seen long"), "weights").toLocalIterator():
-        if n:
-            total += n * np.frombuffer(raw, np.float32).astype(np.float64)
-            seen += n
-    return AttentionModel(total / seen if seen else flat), classes, share
+    model = AttentionModel(prior=(mass + 1e-9) / mass.sum())
+    for turn in range(rounds):
+        flat = model.flat.copy()
+
+        def descend(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            mine = AttentionModel(flat.copy())
+            seen = mine.descend(_batches(classes[ids] for ids in texts_ids(batches, turn)))
+            yield pa.RecordBatch.from_arrays([pa.array([mine.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["flat", "seen"])
+
+        total, seen = np.zeros(len(flat)), 0
+        for raw, n in materialize(map_arrow(docs, descend, "flat binary, seen long"), "weights").toLocalIterator():
+            if n:
+                total += n * np.frombuffer(raw, np.float32).astype(np.float64)
+                seen += n
+        if seen:
+            model = AttentionModel(total / seen)
+    return model, classes, share
 
 
 class Scorer:

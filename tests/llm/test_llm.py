@@ -424,3 +424,19 @@ def test_scorer_equals_the_model():
     live = np.flatnonzero(goal >= 0)
     want = np.bincount(np.repeat(owner, lm.STRIDE)[live], z[live, goal[live]].astype(float), len(texts)) / math.log(10)
     assert np.allclose(lm.score_sequences(model, texts), want, atol=1e-3)
+
+
+def test_attention_sees_far_back_and_learns_from_both_slices(spark):
+    rng = np.random.default_rng(4)
+    model = lm.AttentionModel(rng.normal(0, 0.4, lm.AttentionModel().flat.size))
+    s = rng.integers(0, lm.CLASSES, 100)
+    changed = s.copy()
+    changed[20] = (s[20] + 1) % lm.CLASSES
+    a, b = (model.forward(lm.windows_of([x])[0])[0] for x in (s, changed))
+    assert not np.allclose(a[60], b[60], atol=1e-6)  # 40 ids back
+    start = lm.AttentionModel().p["distance"]
+    for rest in (0, 1, 10, 11):  # a tenth of the training rows in each of two rounds
+        ids = [i for i in range(3000) if zlib.crc32(f"lm:{i}".encode()) % 20 == rest and zlib.crc32(str(i).encode()) % 5 != 1][:20]
+        rows = spark.createDataFrame([(i, "some words of a text " * 20) for i in ids], "doc_id long, text string")
+        found = lm.train(rows, materialize(lm.count_training(rows, tokens.DEFAULT_TOKENIZER), "c"), tokens.DEFAULT_TOKENIZER)[0]
+        assert not np.array_equal(found.p["distance"], start)
