@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, packing, pii, simhash, toxicity
+from quillon.llm import decontam, minhash, packing, pii, toxicity
 from quillon.llm.common import materialize
 
 
@@ -28,13 +28,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of smallest id stays, once.
+    """Of each group of near copies (five-word shingles of Jaccard similarity 0.8 or more, and what
+    such links connect) the document of smallest id stays, once.
 
     Rows without an id cannot be told apart by it and stay.
     """
-    groups = simhash.simhash_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = docs.join(minhash.near_copy_roots(docs), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.unionAll(docs.filter("doc_id is null"))
 
 

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillon.llm import ann, components, decontam, lm, packing, pii, quality, sharding, simhash, tokens, toxicity, urlfilter
+from quillon.llm import ann, components, decontam, lm, minhash, packing, pii, quality, sharding, simhash, tokens, toxicity, urlfilter
 from quillon.llm.common import local_components, materialize
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 400
@@ -440,3 +440,26 @@ def test_attention_sees_far_back_and_learns_from_both_slices(spark):
         rows = spark.createDataFrame([(i, "some words of a text " * 20) for i in ids], "doc_id long, text string")
         found = lm.train(rows, materialize(lm.count_training(rows, tokens.DEFAULT_TOKENIZER), "c"), tokens.DEFAULT_TOKENIZER)[0]
         assert not np.array_equal(found.p["distance"], start)
+
+
+@pytest.mark.parametrize("block", [3, 250])
+def test_near_copies_leave_the_pipeline(spark, block):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(20):
+        base = [word() for _ in range(100)]
+        texts.append(" ".join(base))
+        for spots in ([50], [50, 51, 52], [10, 90], [3, 30, 60, 80]):  # the last is below 0.8
+            texts.append(" ".join(word() if n in spots else w for n, w in enumerate(base)))
+    texts += [None, "", " ", "one two", "One  two", "one three"]
+    grams = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
+    near = [(i, j) for i, a in enumerate(grams) for j, b in enumerate(grams) if a == b or len(a & b) * 5 >= 4 * len(a | b)]
+    label = local_components(len(texts), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    want = sorted({int(x) for x in label})
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r[0] for r in minhash.near_copy_roots(rows, block).collect()) == want and 40 <= len(want) < 60
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()) == want
+    assert minhash.near_copy_roots(rows.limit(0)).count() == 0
