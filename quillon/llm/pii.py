@@ -85,7 +85,9 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 _AT = re.compile(r"\s*(?:@|\(\s*at\s*\)|\[\s*at\s*\]|\{\s*at\s*\}|\bat\b)\s*", re.I)
 _AFTER_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?(?:\(\s*dot\s*\)|\[\s*dot\s*\]|\{\s*dot\s*\}|\bdot\b)\s?)[A-Za-z0-9-]{1,63}){1,6}", re.I)
 _DIGIT = re.compile(r"[0-9]")
-_NUMBERS = re.compile(r"(?<![0-9A-Za-z])[+(]{0,2}[0-9](?:[\x20().\-/]{0,3}[0-9])++(?![0-9A-Za-z])")
+_GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]++(?![0-9A-Za-z])")
+_GAP = re.compile(r"[\x20().\-/]{1,3}")
+_LEFT, _RIGHT = re.compile(r"(?<![A-Za-z])([0-9]{1,20})([\x20().\-/]{1,3})$"), re.compile(r"([\x20().\-/]{1,3})([0-9]{1,20}+)(?![A-Za-z])")
 _QUAD = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,3}(?:\s?(?:\.|\[\.\]|\(\.\)|,)\s?[0-9]{1,3}){3}(?![0-9A-Za-z])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::|[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]*$")
@@ -115,18 +117,40 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out.extend(("ip", *m.span()) for m in _IPV6.finditer(text))
     if not _DIGIT.search(text):
         return out
-    for m in _NUMBERS.finditer(text):
-        if m.end() - m.start() > 60:
-            continue
-        digits = sum(c.isdigit() for c in m[0])
-        if 12 <= digits <= 19:
-            out.append(("card", *m.span()))
-        if 7 <= digits <= 15:
-            out.append(("phone", *m.span()))
+    out.extend(_number_runs(text))
     out.extend(("ip", *m.span()) for m in _QUAD.finditer(text))
     return out
 
 
+def _number_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """Every run of neighbouring digit groups with as many digits as a card or a phone number has."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for i, (start, end) in enumerate(groups):
+        digits, j, first = end - start, i, start
+        while start - first < 2 and first > 0 and text[first - 1] in "+(":
+            first -= 1
+        if first < start and first > 0 and text[first - 1].isascii() and text[first - 1].isalnum():
+            first = start
+        while digits <= 19:
+            if 12 <= digits:
+                yield "card", first, end
+            if 7 <= digits <= 15:
+                yield "phone", first, end
+            j += 1
+            if j == len(groups) or not _GAP.fullmatch(text, end, groups[j][0]):
+                break
+            end = groups[j][1]
+            digits += end - groups[j][0]
+
+
+def _beside(text: str, start: int, end: int) -> list[float]:
+    """The digit groups that stand close before and after: their lengths, and how they are joined."""
+    left, right = _LEFT.search(text[max(0, start - 23) : start]), _RIGHT.match(text, end)
+    tight = lambda gap: 0.0 if not gap else 1.0 if not gap.strip() else 2.0 if "/" in gap or " " in gap else 3.0
+    a, b = (left[1], left[2]) if left else ("", ""), (right[2], right[1]) if right else ("", "")
+    return [float(len(a[0])), tight(a[1]), float(len(b[0])), tight(b[1])]
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a candidate."""
     span = text[start:end]
@@ -147,12 +171,13 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(words & _CUES[kind])), float(bool(words & _AGAINST)), float(span.count(":")), float("@" in span),
         float(bool(re.search(r"[(\[{]\s*(?:at|dot|\.)\s*[)\]}]", span, re.I))), float(bool(re.search(r"\sdot\s", span, re.I))), float(len(tail[-1]) if tail else 0),
         float(text[max(0, start - 1) : start] in ("#", "$", "€", "£", "=", '"')), float(text[end : end + 1] in ("%", "°", "€")),
+        *_beside(text, start, end),
     ]
 
 
 def training_examples(count: int = 6000, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
-    """``(text, kind, start, end, wanted)`` written by rules: formats that people use for each kind,
-    and numbers and phrases that look alike."""
+    """``(text, kind, start, end, wanted)`` of ``count`` texts written by rules: formats that people
+    use for each kind, and numbers and phrases that look alike, alone or one after the other."""
     rng = random.Random(seed)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     syllables = ["the", "re", "ti", "on", "an", "de", "lo", "ver", "ma", "sch", "ión", "que", "la", "est", "and"]
@@ -185,18 +210,24 @@ def training_examples(count: int = 6000, seed: int = 7) -> list[tuple[str, str,
         "phone": [lambda: digits(rng.randint(7, 15)), lambda: f"{rng.randint(1900, 2030)}-0{digits(1)}-{digits(2)}", lambda: f"{digits(1)}.{digits(3)}.{digits(4)}", lambda: f"{digits(4)} {digits(4)}", lambda: f"{rng.randint(1, 9)} {digits(3)} {digits(3)}", lambda: f"{digits(2)}/{digits(2)}/{rng.randint(1900, 2030)}", lambda: f"{digits(4)} - {digits(4)}", lambda: grouped(digits(12), [4, 4, 4], " "), lambda: quad(".")],
     }
     out: list[tuple[str, str, int, int, int]] = []
-    while len(out) < count:
-        kind = rng.choice(KINDS)
-        wanted = rng.random() < 0.45
-        value = rng.choice((good if wanted else bad)[kind])()
-        cue = rng.choice(sorted(_CUES[kind])) if rng.random() < (0.5 if wanted else 0.1) else rng.choice(sorted(_AGAINST)) if not wanted and rng.random() < 0.5 else word()
-        head = " ".join(word() for _ in range(rng.randint(0, 6))) + f" {cue}{rng.choice([' ', ': ', ' '])}"
-        text = f"{head}{value}{rng.choice([' ', '. ', ', '])}{word()}"
-        start, end = len(head), len(head) + len(value)
+    for _ in range(count):
+        text, meant = "", []
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            kind = rng.choice(KINDS) if not meant or rng.random() < 0.3 else rng.choice(("card", "phone"))
+            wanted = rng.random() < 0.45
+            value = rng.choice((good if wanted else bad)[kind])()
+            if not meant or rng.random() < 0.2:
+                cue = rng.choice(sorted(_CUES[kind])) if rng.random() < (0.5 if wanted else 0.1) else rng.choice(sorted(_AGAINST)) if not wanted and rng.random() < 0.5 else word()
+                text += " ".join(word() for _ in range(rng.randint(0, 6))) + f" {cue}{rng.choice([' ', ': ', ' '])}"
+            meant.append((kind, wanted, len(text), len(text) + len(value)))
+            text += value + rng.choice([" ", " ", ", ", " / ", "; "])
+        text = f"{text.rstrip(' /,;')}{rng.choice([' ', '. ', ', '])}{word()}"
         for k, a, b in candidates(text):
-            if a < end and b > start:
-                out.append((text, k, a, b, int(wanted and k == kind and a <= start + 1 and b >= end - 1)))
-    return out[:count]
+            near = [m for m in meant if a < m[3] and b > m[2]]
+            if near:
+                exact = len(near) == 1 and a in (near[0][2], near[0][2] + 1) and b >= near[0][3] - 1
+                out.append((text, k, a, b, int(exact and near[0][1] and k == near[0][0])))
+    return out
 
 
 class SpanModel:
