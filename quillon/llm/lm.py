@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .ann import _unit as unit
 from .ann import kmeans
 from .common import id_bucket, map_arrow, materialize
-from .tokens import DEFAULT_TOKENIZER, ChunkTokenizer, load_encoder
+from .tokens import _WIDE, DEFAULT_TOKENIZER, ChunkTokenizer, load_encoder
 
 CLASSES, WIDTH = 64, 16
 OWN = 40
@@ -193,43 +193,60 @@ def count_training(docs: DataFrame, tokenizer: str) -> DataFrame:
     subword ids (kind 1, little-endian).
 
     Tasks count the chunks between spaces as they stand; only distinct chunks are then cut into
-    words and ids. White space that meets a space counts as chunks of its own here.
+    words and ids. Texts where a space meets other white space, whose ids depend on more than the
+    chunk, are cut whole, as in scoring.
     """
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rest = Counter(), Counter()
+        encoder, ids = load_encoder(tokenizer), np.zeros(VOCAB, np.int64)
+        found = first, rest, words = Counter(), Counter(), Counter()
 
         def spill() -> Iterator[pa.RecordBatch]:
-            for spaced, found in ((False, first), (True, rest)):
-                yield pa.RecordBatch.from_arrays([pa.array([spaced] * len(found), pa.bool_()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["spaced", "chunk", "c"])
-                found.clear()
+            for form, some in zip(("first", "rest", "word"), found, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([form] * len(some), pa.string()), pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], ["form", "chunk", "c"])
+                some.clear()
 
         for b in batches:
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 if not _held(doc):
-                    head, *tail = (t.as_py() or "").split(" ")
-                    first[head] += 1
-                    rest.update(tail)
-            if len(first) + len(rest) > 400_000:
+                    text = t.as_py() or ""
+                    if _WIDE.search(text):
+                        words.update(w.decode() for w in _words(text))
+                        words[""] += 1
+                        ids += np.bincount(np.array(encoder([text])[0], np.int64), minlength=VOCAB)
+                    else:
+                        head, *tail = text.split(" ")
+                        first[head] += 1
+                        rest.update(tail)
+            if sum(map(len, found)) > 400_000:
                 yield from spill()
         yield from spill()
+        at = np.flatnonzero(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(["id"] * len(at), pa.string()), pa.array(list(map(str, at.tolist())), pa.string()), pa.array(ids[at])], ["form", "chunk", "c"])
 
-    counted = map_arrow(docs, chunks, "spaced boolean, chunk string, c long").groupBy("spaced", "chunk").agg(F.sum("c").alias("c"))
+    counted = map_arrow(docs, chunks, "form string, chunk string, c long").groupBy("form", "chunk").agg(F.sum("c").alias("c"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, ids = load_encoder(tokenizer), np.zeros(VOCAB, np.int64)
         for b in batches:
             words: Counter = Counter()
-            texts, times = b.column("chunk").to_pylist(), b.column("c").to_numpy()
-            spaced = b.column("spaced").to_pylist()
-            for text, n, after in zip(texts, times.tolist(), spaced, strict=True):
+            texts, times = [], []
+            for form, text, n in zip(b.column("form").to_pylist(), b.column("chunk").to_pylist(), b.column("c").to_pylist(), strict=True):
+                if form == "id":
+                    ids[int(text)] += n
+                    continue
+                if form == "word":
+                    words[text.encode()] += n
+                    continue
                 for w in _words(text):
                     words[w] += n
-                if not after:
+                if form == "first":
                     words[b""] += n  # each text has one first chunk, and one end
-            found = encoder([" " + t if after else t for t, after in zip(texts, spaced, strict=True)])
+                texts.append(" " + text if form == "rest" else text)
+                times.append(n)
+            found = encoder(texts)
             flat = np.array([i for f in found for i in f], np.int64)
-            ids += np.bincount(flat, np.repeat(times, list(map(len, found))), VOCAB).astype(np.int64)
+            ids += np.bincount(flat, np.repeat(np.array(times, np.int64), np.array(list(map(len, found)), np.int64)), VOCAB).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["kind", "token", "c"])
         at = np.flatnonzero(ids)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array([_id_bytes(i) for i in at.tolist()], pa.binary()), pa.array(ids[at])], ["kind", "token", "c"])

@@ -502,3 +502,16 @@ def test_number_runs_equal_brute_force():
                 if n <= 19 and re.fullmatch(r"[0-9]+(?:[ ().\-/]{1,3}[0-9]+)*", s) and not re.search("[0-9A-Za-z]$", t[:a]) and not re.match("[0-9A-Za-z]", t[b:]):
                     want |= {(k, a, b) for k, low, high in (("card", 12, 19), ("phone", 7, 15)) if low <= n <= high}
         assert bare == want
+
+
+def test_id_counts_against_brute_force(spark, docs):
+    wide = ["def f(x):\n        return  x\n\n    # end", "a   b    c\n  d", "   ", "one two\nthree four", " lead and trail ", "tab\t \tgap", ""]
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(100 + i, t) for i, t in enumerate(wide * 3)], "doc_id long, text string"))
+    ids, words, tok = Counter(), Counter(), tokens.load_tokenizer()
+    for r in rows.collect():
+        if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1:
+            ids.update(tok.encode(r[1] or "", add_special_tokens=False).ids)
+            words.update([*(r[1] or "").encode().lower().split(), b""])
+    found = lm.count_training(rows, tokens.DEFAULT_TOKENIZER).collect()
+    assert {int.from_bytes(r["token"], "little"): r["c"] for r in found if r["kind"] == 1} == dict(ids)
+    assert {bytes(r["token"]): r["c"] for r in found if r["kind"] == 0} == dict(words)
