@@ -8,9 +8,11 @@
    gets in its shards are united.
 4. Every class searches the blocks of its shards greedily from their medoids with a beam; once it
    meets vectors within range, the search expands through all vectors in range.
-5. What the search finds is verified: cosine in double precision, at least the threshold. A pair is
-   counted in one shard only, the lowest that holds both. Blocks report degrees and spanning
-   forests, so a group of n close vectors costs about n rows.
+5. What the search finds is verified: cosine in double precision, at least the threshold. Searches
+   report the classes of the pairs found, in whatever shard and from whichever side.
+6. The reported classes that share a shard are compared exactly, so each pair found counts for both
+   ends. A pair is counted in one shard only, the lowest that holds both. Blocks report degrees and
+   spanning forests, so a group of n close vectors costs about n rows.
 """
 
 from __future__ import annotations
@@ -155,6 +157,22 @@ def greedy_range_search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, t
     return np.concatenate(found_q) if found_q else np.empty(0, int), np.concatenate(found_r) if found_r else np.empty(0, int)
 
 
+def _close_pairs(q: np.ndarray, x: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(row of q, row of x)`` of all pairs within range, the cosine of a pair the same from either side."""
+    for at in range(0, len(q), 256):
+        a, b = np.nonzero(q[at : at + 256] @ x.T >= threshold - 1e-9)
+        for i in range(0, len(a), 65536):
+            m, n = a[i : i + 65536] + at, b[i : i + 65536]
+            exact = np.einsum("nd,nd->n", q[m], x[n])
+            yield m[exact >= threshold], n[exact >= threshold]
+
+
+def _lowest_common(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+    """For each pair of rows of shard numbers (-1 none) the lowest that both hold."""
+    same = (mine[:, :, None] == theirs[:, None, :]) & (mine[:, :, None] >= 0)
+    return np.where(same, mine[:, :, None], np.iinfo(np.int64).max).min((1, 2))
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -216,16 +234,15 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
     united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     nodes = members.join(united, "rep")
     # Every block is searched by all rows of its shard, one slice of them at a time.
-    stored = nodes.select("shard", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slice"), "rep", "embedding", "n", "shards", "near", F.lit(False).alias("asks"))
-    asking = members.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("part").alias("slice"), "rep", "embedding", "n", "shards", F.array().cast("array<long>").alias("near"), F.lit(True).alias("asks"))
+    stored = nodes.select("shard", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slice"), "rep", "embedding", "near", F.lit(False).alias("asks"))
+    asking = members.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("part").alias("slice"), "rep", "embedding", F.array().cast("array<long>").alias("near"), F.lit(True).alias("asks"))
 
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(key[0])
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks, has = pdf[pdf["asks"]].sort_values("rep"), pdf[~pdf["asks"]].sort_values("rep")
         if asks.empty or has.empty:
-            return pd.DataFrame({"node": [], "other": [], "degree": []})
+            return pd.DataFrame({"rep": []})
         x, q = _unit(_matrix(has["embedding"])), _unit(_matrix(asks["embedding"]))
-        ids, ask_ids, n = has["rep"].to_numpy(), asks["rep"].to_numpy(), has["n"].to_numpy()
+        ids, ask_ids = has["rep"].to_numpy(), asks["rep"].to_numpy()
         width = max(1, max(map(len, has["near"])))
         links = np.full((len(ids), width), -1, np.int64)
         for row, near in enumerate(has["near"]):
@@ -236,23 +253,41 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
         keep = ask_ids[a] != ids[b]
         a, b = a[keep], b[keep]
         exact = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0)
-        a, b = a[exact >= threshold], b[exact >= threshold]
-        if len(a):  # a pair counts in the lowest shard that holds both
-            mine, theirs = list(map(set, asks["shards"])), list(map(set, has["shards"]))
-            lowest = np.fromiter((min(mine[i] & theirs[j]) == shard for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
-            a, b = a[lowest], b[lowest]
-        count = np.bincount(a, n[b], len(q)).astype(np.int64) if len(a) else np.zeros(len(q), np.int64)
-        some = np.flatnonzero(count)
-        every = np.unique(np.concatenate((ids, ask_ids)))
-        label = local_components(len(every), np.searchsorted(every, ask_ids[a]), np.searchsorted(every, ids[b]))
-        hung = np.flatnonzero(label != np.arange(len(every)))
+        return pd.DataFrame({"rep": np.unique(np.concatenate((ask_ids[a[exact >= threshold]], ids[b[exact >= threshold]])))})
+
+    linked = materialize(stored.unionAll(asking).groupBy("shard", "part", "slice").applyInPandas(search, "rep long").distinct(), "linked")
+    again = materialize(members.join(linked, "rep"), "again")
+    columns = ["rep", "embedding", "n", "shards"]
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = again.select("shard", "part", every.alias("slice"), *columns, F.lit(False).alias("asks")).unionAll(
+        again.select("shard", every.alias("part"), F.col("part").alias("slice"), *columns, F.lit(True).alias("asks"))
+    )
+
+    def settle(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = int(key[0])
+        asks, has = pdf[pdf["asks"]].sort_values("rep"), pdf[~pdf["asks"]].sort_values("rep")
+        if asks.empty or has.empty:
+            return pd.DataFrame({"node": [], "other": [], "degree": []})
+        ids, ask_ids, n = has["rep"].to_numpy(), asks["rep"].to_numpy(), has["n"].to_numpy()
+        homes = [np.stack([np.pad(v, (0, overlap - len(v)), constant_values=-1) for v in f["shards"]]) for f in (asks, has)]
+        nodes_ = np.unique(np.concatenate((ids, ask_ids)))
+        at_ask, at_has = np.searchsorted(nodes_, ask_ids), np.searchsorted(nodes_, ids)
+        count, label = np.zeros(len(asks), np.int64), np.arange(len(nodes_))
+        for a, b in _close_pairs(_unit(_matrix(asks["embedding"])), _unit(_matrix(has["embedding"])), threshold):
+            # a pair counts in the lowest shard that holds both
+            keep = (ask_ids[a] != ids[b]) & (_lowest_common(homes[0][a], homes[1][b]) == shard)
+            a, b = a[keep], b[keep]
+            np.add.at(count, a, n[b])
+            old = np.arange(len(nodes_))
+            label = local_components(len(nodes_), np.concatenate((old, at_ask[a])), np.concatenate((label, at_has[b])))
+        some, hung = np.flatnonzero(count), np.flatnonzero(label != np.arange(len(nodes_)))
         return pd.DataFrame({
-            "node": np.concatenate((ask_ids[some], every[hung])),
-            "other": pd.array([None] * len(some) + every[label[hung]].tolist(), "Int64"),
+            "node": np.concatenate((ask_ids[some], nodes_[hung])),
+            "other": pd.array([None] * len(some) + nodes_[label[hung]].tolist(), "Int64"),
             "degree": pd.array(count[some].tolist() + [None] * len(hung), "Int64"),
         })
 
-    return stored.unionAll(asking).groupBy("shard", "part", "slice").applyInPandas(search, "node long, other long, degree long")
+    return pairs.groupBy("shard", "part", "slice").applyInPandas(settle, "node long, other long, degree long")
 
 
 def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", **search: float) -> DataFrame:

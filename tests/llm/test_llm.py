@@ -515,3 +515,23 @@ def test_id_counts_against_brute_force(spark, docs):
     found = lm.count_training(rows, tokens.DEFAULT_TOKENIZER).collect()
     assert {int.from_bytes(r["token"], "little"): r["c"] for r in found if r["kind"] == 1} == dict(ids)
     assert {bytes(r["token"]): r["c"] for r in found if r["kind"] == 0} == dict(words)
+
+
+@pytest.mark.parametrize("block", [30, 2000])
+def test_pairs_found_from_one_side_or_elsewhere_count_for_both(spark, monkeypatch, block):
+    rng = np.random.default_rng(17)
+    x = np.repeat(rng.normal(size=(40, 8)), 5, 0) + rng.normal(scale=0.05, size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def one_sided(has, graph, queries, threshold, beam):
+        a, b = np.nonzero(queries @ has.T >= threshold)
+        keep = queries[a, 0] < has[b, 0]
+        return a[keep], b[keep]
+
+    monkeypatch.setattr(ann, "greedy_range_search", one_sided)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r for r in ann.embedding_components(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), block=block).collect()}
+    links = np.array([got[i]["n_links"] for i in range(200)])
+    assert near.sum() > 400 and (links <= near.sum(1)).all()
+    assert links.sum() >= 0.99 * near.sum() and (block == 30 or links.tolist() == near.sum(1).tolist())
