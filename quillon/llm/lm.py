@@ -1,7 +1,7 @@
 """Language-model scoring with a causal self-attention model over subword ids.
 
 Subword ids of a public tokenizer fall into classes: the most frequent ids one each, the next by
-which of those share their texts, all others one. A self-attention layer predicts the class of the next id from the classes
+which of those share their texts, all others by form and frequency. A self-attention layer predicts the class of the next id from the classes
 before it; within a class an id has its share of the training counts. A text's score is the log10
 probability of all its ids and of its end.
 
@@ -33,8 +33,8 @@ from .ann import kmeans
 from .common import id_bucket, map_arrow, materialize
 from .tokens import _WIDE, DEFAULT_TOKENIZER, ChunkTokenizer, load_encoder
 
-CLASSES, WIDTH = 64, 16
-OWN = 40
+OWN, CLUSTERS, FORMS, BANDS = 40, 23, 6, 4
+CLASSES, WIDTH = OWN + CLUSTERS + FORMS * BANDS, 16
 PROFILED = 2048
 WINDOW, STRIDE = 64, 32
 HEAD = 65_536
@@ -161,18 +161,38 @@ def add_profiles(total: np.ndarray, ids: np.ndarray, own_of: np.ndarray, row_of:
     total[rows] += times[:, None] * (share / max(1.0, share.sum()))[None, :]
 
 
-def id_classes(counts: np.ndarray, profiles: np.ndarray) -> np.ndarray:
-    """The class of each id: own ids, the end, clusters of profiled ids, and one for all others."""
-    out = np.full(len(counts), CLASSES - 1, np.int16)
+def id_forms(tokenizer: str) -> np.ndarray:
+    """The form of each id: after a space or not; ASCII letters, other letters, rest."""
+    from .tokens import load_tokenizer
+
+    t, out = load_tokenizer(tokenizer), np.zeros(VOCAB, np.int64)
+    for i in range(VOCAB):
+        text = t.decode([i])
+        body = text.strip()
+        out[i] = 3 * (text[:1] == " ") + (0 if body.isascii() and body.isalpha() else 1 if body.isalpha() else 2)
+    return out
+
+
+def id_classes(counts: np.ndarray, profiles: np.ndarray, forms: np.ndarray) -> np.ndarray:
+    """The class of each id: own ids, the end, clusters of profiled ids; all others by form, in
+    bands of about equal counts."""
+    out = np.full(len(counts), -1, np.int16)
     out[own_ids(counts)] = np.arange(OWN - 1)
     rows = profiled_ids(counts)
     seen = profiles.sum(1) > 0
     if seen.any():
         x = unit(profiles[seen])
         x = unit(x - x.mean(0) + 1e-9)
-        centre = kmeans(x, CLASSES - OWN - 1)
+        centre = kmeans(x, CLUSTERS)
         out[rows[seen]] = OWN + np.argmax(x @ centre.T, 1)
     out[END_ID] = OWN - 1
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    rest = order[out[order] < 0]
+    for f in range(FORMS):
+        mine = rest[forms[rest] == f]
+        mass = np.cumsum(counts[mine] + 0.5)
+        if len(mine):
+            out[mine] = OWN + CLUSTERS + f * BANDS + np.minimum((mass * BANDS / mass[-1] - 1e-9).astype(int), BANDS - 1)
     return out
 
 
@@ -307,7 +327,7 @@ def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 10
     profiles = np.zeros((PROFILED, OWN - 1))
     for (raw,) in materialize(map_arrow(docs, profile, "total binary"), "profiles").toLocalIterator():
         profiles += np.frombuffer(raw, np.float32).reshape(profiles.shape)
-    classes = id_classes(c, profiles)
+    classes = id_classes(c, profiles, id_forms(tokenizer))
     mass = np.bincount(classes, c + 0.5, CLASSES)
     share = np.log10((c + 0.5) / mass[classes])
     model = AttentionModel(prior=(mass + 1e-9) / mass.sum())

@@ -535,3 +535,15 @@ def test_pairs_found_from_one_side_or_elsewhere_count_for_both(spark, monkeypatc
     links = np.array([got[i]["n_links"] for i in range(200)])
     assert near.sum() > 400 and (links <= near.sum(1)).all()
     assert links.sum() >= 0.99 * near.sum() and (block == 30 or links.tolist() == near.sum(1).tolist())
+
+
+def test_ids_beyond_the_profiled_ones_have_classes_too():
+    counts = np.maximum(0, 60_000 - np.arange(lm.VOCAB) * 2)
+    profiles = np.random.default_rng(3).random((lm.PROFILED, lm.OWN - 1))
+    profiles[:500] = 0  # not seen
+    classes = lm.id_classes(counts, profiles, lm.id_forms(tokens.DEFAULT_TOKENIZER))
+    assert classes.min() == 0 and classes.max() < lm.CLASSES and classes[lm.END_ID] == lm.OWN - 1
+    shares = np.bincount(classes, counts + 0.5, lm.CLASSES) / (counts + 0.5).sum()
+    rest = np.concatenate((lm.profiled_ids(counts)[:500], np.arange(lm.OWN + lm.PROFILED, lm.END_ID)))
+    assert len(set(classes[rest].tolist())) >= 20 and shares[np.unique(classes[rest])].max() < 0.25
+    assert not set(classes[rest].tolist()) & set(classes[lm.profiled_ids(counts)[500:]].tolist())
