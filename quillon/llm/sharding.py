@@ -116,21 +116,23 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], fan: int
     return [min(done[i], (1 << 128) - 1) for i in range(len(targets))]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, with_text: bool = False) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every row of ``docs``.
 
     The law is ``bytes``: each shard's bytes are within ``tolerance`` of an even share at each
     boundary, or as near as the row at the boundary allows. ``slot`` counts from 0 without gaps in
     the order of ``(text hash, doc_id)``. ``grown_shard`` is null under this law. A null text has
     no bytes and size 1; null ids order first; rows that are wholly equal take slots in any
-    order; an empty table gives no rows; further columns are not read.
+    order; an empty table gives no rows; further columns are not read. ``with_text`` adds the
+    row's own ``text``.
     """
     spark = docs.sparkSession
+    carried = ["text"] if with_text else []
     text = F.col(text_col)
     keys = materialize(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), text_size(text).alias("size"), text_crc32(text).alias("text_crc32"),
-            F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), *([text.alias("text")] if with_text else []),
         ).withColumn("k", F.coalesce("doc_id", F.lit(-_HALF))),
         "shard",
     )
@@ -152,12 +154,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
             at = np.searchsorted(edges, _keys_of(b), side="right").astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(start_of[at])], [*b.schema.names, "range", "start"])
 
-    kind = "doc_id long, size long, text_crc32 long, h long, k long, range long, start long"
+    kind = "doc_id long, size long, text_crc32 long, h long, " + ("text string, " if with_text else "") + "k long, range long, start long"
     placed = map_arrow(keys, place, kind)
     rank = F.row_number().over(W.partitionBy("range").orderBy("h", "k", "size", "text_crc32"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("range") / fine).cast("int").alias("shard"),
-        (F.col("start") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("start") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carried,
     )
 
 
@@ -170,7 +172,5 @@ def _counts_at(keys: DataFrame, cuts: list[int]) -> list[int]:
 
 def write_shards(docs: DataFrame, path: str, **kw: object) -> None:
     """Write the texts of ``docs`` under ``path``, one folder per shard, in slot order inside files."""
-    placed = shard_by_bytes(docs, **kw).select("doc_id", "text_crc32", "shard", "slot")
-    text = docs.select("doc_id", "text", text_crc32(F.col("text")).alias("text_crc32"))
-    joined = placed.join(text.dropDuplicates(["doc_id", "text_crc32"]), ["doc_id", "text_crc32"])
-    (joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("text_crc32").write.partitionBy("shard").parquet(path))
+    placed = shard_by_bytes(docs, with_text=True, **kw).select("doc_id", "shard", "slot", "text")
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

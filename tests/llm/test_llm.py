@@ -547,3 +547,12 @@ def test_ids_beyond_the_profiled_ones_have_classes_too():
     rest = np.concatenate((lm.profiled_ids(counts)[:500], np.arange(lm.OWN + lm.PROFILED, lm.END_ID)))
     assert len(set(classes[rest].tolist())) >= 20 and shares[np.unique(classes[rest])].max() < 0.25
     assert not set(classes[rest].tolist()) & set(classes[lm.profiled_ids(counts)[500:]].tolist())
+
+
+def test_written_shards_hold_every_row(spark, docs, tmp_path):
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(50, "plumless"), (50, "buckeroo"), (None, "x"), (None, None)], "doc_id long, text string"))
+    sharding.write_shards(rows, str(tmp_path / "shards"), shards=4)
+    found = spark.read.parquet(str(tmp_path / "shards"))
+    assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter(map(tuple, rows.collect()))
+    assert found.select("shard", "slot").distinct().count() == rows.count()
