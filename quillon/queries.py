@@ -230,6 +230,11 @@ def fts_postings(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).filter("df >= 5")
 
 
+@query(f"SELECT doc_id AS _id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY doc_id, token")
+def fts_postings_full(spark: SparkSession, sf: str) -> DataFrame:
+    return text_search.postings(table(spark, sf, "documents"), "text")
+
+
 @query(f"WITH d AS (SELECT list_distinct({_TOKENS}) AS t FROM documents) SELECT tok AS token, round(ln(1 + (count(*) - count(*) FILTER (list_contains(t, tok)) + 0.5) / (count(*) FILTER (list_contains(t, tok)) + 0.5)), 6) AS idf FROM d CROSS JOIN (VALUES ('the'), ('and'), ('zebra')) v(tok) GROUP BY tok")
 def idf_of_tokens(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(tokens(F.col("text")).alias("t"))

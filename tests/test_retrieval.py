@@ -81,3 +81,20 @@ def test_hybrid(docs):
     assert got[0]["_id"] == "a" and ranks["b"] == (None, 1) and got[0]["score"] == pytest.approx(1 / 61 + 1 / 61) or ranks["a"][0] == 1
     zero = hybrid.hybrid_search(docs, "body", "rust", "v", [1, 0, 0, 0], 5, text_weight=0).collect()
     assert {r["_id"] for r in zero} == set(ranks)
+
+
+def test_every_token_of_every_document_is_posted(spark):
+    from quillon.operators import text_search
+
+    df = spark.createDataFrame([(1, "common rare common"), (2, "Common other"), (3, None), (4, "")], "_id int, text string")
+    found = sorted(map(tuple, text_search.postings(df, "text").collect()))
+    assert found == [(1, "common", 2), (1, "rare", 1), (2, "common", 1), (2, "other", 1)]
+
+
+def test_registered_postings_keep_rare_tokens(spark, tmp_path):
+    from quillon import queries
+
+    rows = [(1, "common rare common"), (2, "Common other"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(map(tuple, queries.QUERIES["fts_postings_full"](spark, str(tmp_path)).collect()))
+    assert found == [(1, "common", 2), (1, "rare", 1), (2, "common", 1), (2, "other", 1)]
