@@ -19,6 +19,7 @@ looked up in the task; all others are joined with the full table of counts.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,19 @@ from pyspark.sql import functions as F
 from .ann import _unit as unit
 from .ann import kmeans
 from .common import id_bucket, map_arrow, materialize
-from .tokens import _WIDE, DEFAULT_TOKENIZER, ChunkTokenizer, load_encoder
+from .tokens import DEFAULT_TOKENIZER, TextEncoder
+
+_WIDE = re.compile(r"\s \S?| \s")
+
+
+class ChunkTokenizer(TextEncoder):
+    def encode(self, texts):
+        return [a.astype("<u4").tobytes() for a in super().encode(texts)]
+
+
+def load_encoder(name):
+    return lambda texts: [a.tolist() for a in map(TextEncoder(name).one, texts)]
+
 
 OWN, CLUSTERS, FORMS, BANDS = 40, 23, 6, 4
 CLASSES, WIDTH = OWN + CLUSTERS + FORMS * BANDS, 16

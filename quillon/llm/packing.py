@@ -15,6 +15,7 @@ A piece finds its place in the plan from its length and its number among pieces
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
-from .tokens import DEFAULT_TOKENIZER, ChunkTokenizer
+from .common import BATCH_ROWS, map_arrow, materialize
+from .tokens import DEFAULT_TOKENIZER, TextEncoder, load_tokenizer, together
 
 CAPACITY = 2048
 GROUPS = 32
@@ -53,7 +54,7 @@ def _knapsack(sizes: list[int], worth: np.ndarray, capacity: int) -> tuple[float
     return best[capacity], used
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, float]]:
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 20_000) -> list[tuple[np.ndarray, float]]:
     """Configurations and how often to use each: a basic optimum of the covering program."""
     n = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
@@ -73,6 +74,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         amount[out] = ratio[out]
         basis[:, out] = column
         amount = np.maximum(amount, 0)
+    else:
+        warnings.warn("column generation stopped before its optimum; more sequences than needed may be used", stacklevel=2)
     return [(basis[:, j].copy(), float(amount[j])) for j in range(n)]
 
 
@@ -198,42 +201,73 @@ def pieces_of(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, number, start and length of all pieces of documents of these sizes (see :func:`pieces_of`)."""
+    short = sizes % capacity
+    many = sizes // capacity + (short > 0)
+    doc = np.repeat(np.arange(len(sizes)), many)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    gap = np.where(short > 0, capacity - short, 0)[doc]  # what the first piece lacks
+    start = np.maximum(number * capacity - gap, 0)
+    return doc, number, start, (number + 1) * capacity - gap - start
+
+
+def _rank(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of each value among its equals, after those counted in ``seen``, which is brought up to date."""
+    order = np.argsort(values, kind="stable")
+    many = np.bincount(values, minlength=len(seen))
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values)) - np.repeat(np.cumsum(many) - many, many)
+    rank += seen[values]
+    seen += many
+    return rank
+
+
 def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of each document with their ids' checksum, the task that made them (``task``) and
-    their number among that task's pieces of their length (``k``)."""
-    end = np.array([end_id], "<u4").tobytes()
+    their number among that task's pieces of their length (``k``); ``with_ids`` adds the ids as the
+    bytes of little-endian numbers."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "k", *["ids"] * with_ids]
+    kept = _id_type(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encoder = ChunkTokenizer(tokenizer)
+        encoder = TextEncoder(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
-            for cut in range(0, batch.num_rows, 500):
-                b = batch.slice(cut, 500)
-                cols: list[list] = [[] for _ in names]
-                for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    raw += end
-                    for n, (start, length) in enumerate(pieces_of(len(raw) // 4, capacity)):
-                        part = raw[4 * start : 4 * (start + length)]
-                        row = [doc, n, start, length, zlib.crc32(part), task, int(seen[length])]
-                        seen[length] += 1
-                        for c, v in zip(cols, row + [np.frombuffer(part, "<i4")] * with_ids, strict=True):
-                            c.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=False)], names)
-
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, k long" + ", ids array<int>" * with_ids
+        for b in together(batches):
+            found, sizes = encoder(b.column("text"))
+            ends = np.cumsum(sizes + 1)
+            ids = np.empty(len(found) + len(sizes), "<u4")
+            inner = np.ones(len(ids), bool)
+            inner[ends - 1] = False
+            ids[inner], ids[ends - 1] = found, end_id
+            doc, number, start, length = _pieces(sizes + 1, capacity)
+            raw, cut = memoryview(ids).cast("B"), np.concatenate(([0], np.cumsum(length)))  # pieces follow each other
+            crc = np.fromiter((zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), np.int64, len(length))
+            cols = [b.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task, np.int32)), pa.array(_rank(length, seen))]
+            if with_ids:
+                flat = ids.astype(kept)
+                cols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(cut * flat.itemsize), pa.py_buffer(flat)]).cast(pa.binary()))
+            for at in range(0, len(doc), BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([c.slice(at, BATCH_ROWS) for c in cols], names)
+
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, k long" + ", ids binary" * with_ids
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, kind)
 
 
+def _id_type(tokenizer: str) -> str:
+    """The narrowest number that holds every id of the vocabulary."""
+    return "<u2" if load_tokenizer(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, groups: int = GROUPS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` (and ``ids``).
 
-    Null and empty texts are one piece with the end id alone. Repeated rows are packed each; an
-    empty table gives no rows; further columns are not read.
+    Null and empty texts are one piece with the end id alone; very long texts are cut into pieces of
+    ``capacity``. Rows with a null id and repeated rows are packed each, equal lengths in any order;
+    an empty table gives no rows; further columns, whatever their names, are not read.
     """
     made = materialize(tokenize_pieces(docs, capacity, tokenizer, 0, id_col, text_col, with_ids), "pieces")
     per_task = made.groupBy("task", "length").agg(F.count("*").alias("n"))
@@ -241,13 +275,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOK
     starts = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = Plan(counts, capacity, groups).table()
+    held = _id_type(tokenizer)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sequence, offset = place(table, b.column("length").to_numpy(), b.column("rank").to_numpy())
-                held = [b.column(c) for c in b.schema.names if c != "rank"]
-                yield pa.RecordBatch.from_arrays([*held, pa.array(sequence), pa.array(offset)], [*(c for c in b.schema.names if c != "rank"), "sequence_id", "offset"])
+                cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+                if with_ids:
+                    raw = b.column("ids").cast(pa.large_binary())
+                    cut = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + b.num_rows + 1]
+                    flat = np.frombuffer(raw.buffers()[2], np.uint8)[cut[0] : cut[-1]].view(held).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(((cut - cut[0]) // np.dtype(held).itemsize).astype(np.int32)), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "sequence_id", "offset"])
 
     ranked = made.join(starts, ["task", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, (F.col("first") + F.col("k")).alias("rank")
