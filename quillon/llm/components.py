@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node that has an edge.
+    """``(node, component)`` for every node that has an edge, but the smallest of each component.
 
     ``edges`` holds two long columns ``u`` and ``v``; loops, repeats and null ends are ignored.
     ``component`` is the smallest node reachable. Every round is written to the shared folder,

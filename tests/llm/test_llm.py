@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillon.llm import ann, components, decontam, lm, minhash, packing, pii, quality, sharding, simhash, tokens, toxicity, urlfilter
+from quillon.llm import ann, components, decontam, lm, packing, pii, quality, sharding, simhash, tokens, toxicity, urlfilter
 from quillon.llm.common import local_components, materialize
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 400
@@ -164,11 +164,19 @@ def test_fingerprint_links_lose_nothing(spark, tile):
                 q ^= 1 << rng.randrange(64)
             prints.append(q)
     prints = list(dict.fromkeys(prints + [0, 1, 3, 2**64 - 1, 2**64 - 2]))
-    signed = [(p - 2**64 if p >= 2**63 else p, i) for i, p in enumerate(prints)]
-    links = materialize(simhash.fingerprint_links(spark.createDataFrame(signed, "fp long, rep long"), 2, tile), "t")
+    signed = np.sort(np.array(prints, np.uint64).view(np.int64))
+    links = materialize(simhash.fingerprint_links(spark.createDataFrame([(int(p),) for p in signed], "fp long"), 2, tile), "t")
     got = {r[0]: r[1] for r in components.connected_components(links).collect()}
-    a, b = np.nonzero(np.bitwise_count(np.array(prints, np.uint64)[:, None] ^ np.array(prints, np.uint64)[None, :]) <= 2)
-    assert [got.get(i, i) for i in range(len(prints))] == local_components(len(prints), a, b).tolist()
+    a, b = np.nonzero(np.bitwise_count(signed.view(np.uint64)[:, None] ^ signed.view(np.uint64)[None, :]) <= 2)
+    assert [got.get(int(p), int(p)) for p in signed] == signed[local_components(len(prints), a, b)].tolist()
+
+
+def test_rows_without_an_id_link_and_bridge(spark, monkeypatch):
+    prints = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 0xFF << 40, "e": 0xFF << 20}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.selectExpr("doc_id", "cast(text as long) as fp"))
+    rows = [(1, "a"), (None, "b"), (2, "c"), (None, "d"), (None, "d"), (5, "e"), (5, "e")]
+    got = simhash.simhash_components(spark.createDataFrame([(i, str(prints[t])) for i, t in rows], "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter([(1, 1), (None, 1), (2, 1), (None, None), (None, None), (5, 5), (5, 5)])
 
 
 # --- 5 -----------------------------------------------------------------------------------------
@@ -178,8 +186,10 @@ def test_chunked_tokens_equal_the_tokenizer():
     random.seed(5)
     parts = ["a", "Hello", "'s", "'ll", " ", "  ", "\n", "\t", "\r\n", "\u00a0", "\u3000", "\x85", "é", "日本", "9", "42", "!!", "...", "<|endoftext|>", "\x1c", "\u200b", "👍🏽", "ſ", "\x00"]
     texts = ["".join(random.choice(parts) for _ in range(random.randint(0, 20))) for _ in range(5000)]
-    want = [np.array(e.ids, "<u4").tobytes() for e in tokens.load_tokenizer().encode_batch(texts, add_special_tokens=False)]
-    assert tokens.ChunkTokenizer().encode(texts) == want
+    want = [e.ids for e in tokens.load_tokenizer().encode_batch(texts, add_special_tokens=False)]
+    encoder = tokens.TextEncoder()
+    for at in range(0, len(texts), 700):  # batch after batch, with the chunks of those before
+        assert [i.tolist() for i in encoder.encode(texts[at : at + 700])] == want[at : at + 700]
 
 
 def test_packing_round_trip(spark, docs, none):
@@ -442,27 +452,38 @@ def test_attention_sees_far_back_and_learns_from_both_slices(spark):
         assert not np.array_equal(found.p["distance"], start)
 
 
-@pytest.mark.parametrize("block", [3, 250])
-def test_near_copies_leave_the_pipeline(spark, block):
-    import corpus_pipeline
-
+def _near_texts():
+    """Texts, some with near copies on either side of similarity 0.8, and the least index each is connected to."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     texts = []
-    for _ in range(20):
-        base = [word() for _ in range(100)]
+    for n in [100] * 16 + [30, 12, 400, 6]:
+        base = [word() for _ in range(n)]
         texts.append(" ".join(base))
-        for spots in ([50], [50, 51, 52], [10, 90], [3, 30, 60, 80]):  # the last is below 0.8
+        for spots in ([50], [50, 51, 52], [10, 90], [3, 30, 60, 80]):  # at 100 words the last is below 0.8
             texts.append(" ".join(word() if n in spots else w for n, w in enumerate(base)))
-    texts += [None, "", " ", "one two", "One  two", "one three"]
+        texts.append(" ".join([*base, word()]))
+    texts += [None, "", " ", "one two", "One  two", "one three", "x " * 50_000]
     grams = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for t in texts]
     near = [(i, j) for i, a in enumerate(grams) for j, b in enumerate(grams) if a == b or len(a & b) * 5 >= 4 * len(a | b)]
-    label = local_components(len(texts), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+    return texts, local_components(len(texts), np.array([i for i, _ in near]), np.array([j for _, j in near]))
+
+
+@pytest.mark.parametrize(("tile", "block"), [(simhash.WIDE_TILE, simhash.BLOCK), (20, 3)])
+def test_near_copies_leave_the_pipeline(spark, tile, block):
+    import corpus_pipeline
+
+    texts, label = _near_texts()
     want = sorted({int(x) for x in label})
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r[0] for r in minhash.near_copy_roots(rows, block).collect()) == want and 40 <= len(want) < 60
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, h int")
+    got = simhash.drop_near_copies(rows, tile=tile, block=block)
+    assert got.columns == rows.columns and sorted(r["doc_id"] for r in got.collect()) == want and 45 <= len(want) < 80
+    assert simhash.drop_near_copies(rows.limit(0)).count() == 0
+    if tile == 20:
+        return
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()) == want
-    assert minhash.near_copy_roots(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([(7, "same text"), (7, "same text"), (7, "other text"), (None, "same text"), (None, "alone"), (None, "alone"), (3, "Same  TEXT"), (4, None), (None, "")], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.drop_near_copies(odd).collect())) == Counter([(3, "Same  TEXT"), (7, "other text"), (None, "alone"), (4, None)])
 
 
 def test_neighbouring_numbers_are_each_proposed_and_found():
