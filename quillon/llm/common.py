@@ -60,7 +60,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(frugal, schema)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The written table cuts the lineage and survives lost executors; what reads it twice
@@ -68,7 +68,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quillon-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path  # noqa: SLF001
     return out
@@ -89,11 +89,6 @@ def id_bucket(doc_id: int | None, modulus: int = 5) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
 
-def texts(column: pa.Array) -> list[str]:
-    """The texts of an Arrow column; nulls become empty."""
-    return [t or "" for t in column.to_pylist()]
-
-
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Label of each of ``n`` nodes: the smallest index reachable over the links ``a[i]-b[i]``."""
     label = np.arange(n)

@@ -1,474 +1,544 @@
 """Language-model scoring with a causal self-attention model over subword ids.
 
-Subword ids of a public tokenizer fall into classes: the most frequent ids one each, the next by
-which of those share their texts, all others by form and frequency. A self-attention layer predicts the class of the next id from the classes
-before it; within a class an id has its share of the training counts. A text's score is the log10
-probability of all its ids and of its end.
-
-* Counts of words and ids cover all training rows (crc32(doc_id) mod 5 is not 1).
-* The attention weights are trained in numpy where the data lies: every task descends on its own
-  slice of the training rows, a fixed fraction of them, and the weights are averaged by the tokens
-  they saw, once per round.
+A text's score is the log10 probability of all its subword ids and of its end. Given the ids before,
+
+    p(id) = p(class of id | window) * p(id | class, group of the last id)
+
+* Counts over all training rows (crc32(doc_id) mod 5 is not 1) give the discounted probability of
+  each id after each group of last ids; the ``GROUPS - 1`` most frequent ids are groups of their own.
+* Ids fall into classes, and groups get their features, by the company they keep in these counts.
+* A self-attention layer over the window's groups shifts the classes' log odds away from what the
+  last id alone says. Without its shift the model is the counted one.
+* The attention's weights are trained in numpy on every training row, once: rows are dealt by a hash
+  of their ids into logical shards of about ``SHARD`` ids, so the result does not depend on how the
+  table is partitioned. Shards descend from common weights; their results are averaged by the ids
+  they saw, in ``ROUNDS`` rounds of different shards.
 * Scoring cuts a text's ids into windows of ``WINDOW`` that overlap by half; the ids in a window's
   second half are scored, each once, with the whole window before them as context.
 
 Beside it stands the base score, unigrams of words. Frequent words (``HEAD``, a bounded table) are
-looked up in the task; all others are joined with the full table of counts.
+looked up in the task; all others are joined with the full table of counts. Every text is tokenized
+once; its ids are kept in the shared folder until the result is read.
 """
 
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ann import _unit as unit
 from .ann import kmeans
-from .common import id_bucket, map_arrow, materialize
-from .tokens import DEFAULT_TOKENIZER, TextEncoder
+from .common import BATCH_ROWS, id_bucket, map_arrow, materialize
+from .tokens import TextEncoder, together, vocabulary
 
-_WIDE = re.compile(r"\s \S?| \s")
-
-
-class ChunkTokenizer(TextEncoder):
-    def encode(self, texts):
-        return [a.astype("<u4").tobytes() for a in super().encode(texts)]
-
-
-def load_encoder(name):
-    return lambda texts: [a.tolist() for a in map(TextEncoder(name).one, texts)]
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: Ids of the vocabulary, the end's among them; all fit into 16 bits.
+VOCAB, END_ID = 50_257, 50_256
+GROUPS, CLASSES, FEATURES, WIDTH = 1024, 64, 64, 32
+WINDOW, STRIDE = 64, 32
+PAD, START = GROUPS, GROUPS + 1
+DISCOUNT = 0.75
+SHARD, ROUNDS = 4_000_000, 3
+HEAD = 200_000
+#: Windows of one step of descent, and of one scored batch: their scores stay in the processor's cache.
+STEP = 32
 
 
-OWN, CLUSTERS, FORMS, BANDS = 40, 23, 6, 4
-CLASSES, WIDTH = OWN + CLUSTERS + FORMS * BANDS, 16
-PROFILED = 2048
-WINDOW, STRIDE = 64, 32
-HEAD = 65_536
-PAD, BOS = CLASSES, CLASSES + 1
-END_ID = 50_256
-VOCAB = 50_257
+# --- the model ---------------------------------------------------------------------------------
 
 
 class AttentionModel:
-    """One causal self-attention layer over class numbers, with a direct table from the last class."""
+    """One causal self-attention layer over groups of ids that shifts the log odds of classes.
 
-    SHAPES = (("q", (CLASSES + 2, WIDTH)), ("k", (CLASSES + 2, WIDTH)), ("v", (CLASSES + 2, WIDTH)), ("key_bias", (CLASSES + 2,)), ("distance", (WINDOW,)), ("out", (WIDTH, CLASSES)), ("last", (CLASSES + 2, CLASSES)))
+    The groups' ``features`` are given, not learned: they come from the counts.
+    """
+
+    SHAPES = (("q", (FEATURES, WIDTH)), ("k", (FEATURES, WIDTH)), ("v", (FEATURES, WIDTH)), ("distance", (WINDOW,)), ("out", (WIDTH, CLASSES)), ("bias", (CLASSES,)))
+    SIZE = sum(math.prod(s) for _, s in SHAPES)
 
-    def __init__(self, flat: np.ndarray | None = None, prior: np.ndarray | None = None, seed: int = 5):
-        size = sum(math.prod(s) for _, s in self.SHAPES)
-        self.flat = (np.random.default_rng(seed).normal(0, 0.1, size) if flat is None else flat).astype(np.float32)
+    def __init__(self, features: np.ndarray, flat: np.ndarray | None = None, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.features = features
+        self.flat = (rng.normal(0, FEATURES**-0.5, self.SIZE) if flat is None else flat).astype(np.float32)
         self.p, at = {}, 0
         for name, shape in self.SHAPES:
             self.p[name] = self.flat[at : at + math.prod(shape)].reshape(shape)
             at += math.prod(shape)
         if flat is None:
-            self.p["key_bias"][:] = 0
             self.p["distance"][:] = -0.05 * np.arange(WINDOW)
-            self.p["last"][:] = 0 if prior is None else np.log(prior)[None, :]
-        i, j = np.arange(STRIDE, WINDOW)[:, None], np.arange(WINDOW)[None, :]
-        self.gap = np.maximum(i - j, 0)
-        self.future = np.where(j > i, np.float32(-1e9), np.float32(0))
-
-    def forward(self, x: np.ndarray) -> tuple:
-        """Class log-probabilities after each position in the windows' second halves."""
+            self.p["out"] *= 0.1
+            self.p["bias"][:] = 0
+        gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        self.gap, self.future = np.maximum(gap, 0), gap < 0
+        self.refresh()
+
+    def refresh(self) -> None:
+        """What follows from the weights for every group: queries, keys, and values beside a one;
+        padding has the value and the one of nothing."""
         p = self.p
-        query = x[:, STRIDE:]
-        q, k, v = p["q"][query], p["k"][x], p["v"][x]
-        scores = q @ k.transpose(0, 2, 1)
-        scores += p["distance"][self.gap] + self.future
-        bias = p["key_bias"][x]
-        bias[x == PAD] = -1e9
-        scores += bias[:, None, :]
-        own = np.arange(STRIDE)
-        scores[:, own, own + STRIDE] = np.maximum(scores[:, own, own + STRIDE], -30)  # padded queries see themselves
-        np.clip(scores, -1e9, 30, out=scores)
-        np.exp(scores, out=scores)
-        scores /= scores.sum(-1, keepdims=True)
-        mixed = scores @ v
-        z = mixed.reshape(-1, WIDTH) @ p["out"]
-        z += p["last"][query.reshape(-1)]
-        z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(1, keepdims=True)
-        z -= np.log(total)
-        e /= total
-        return z, e, q, k, v, scores, mixed, query
-
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Gradient of the mean loss over targets ``y`` (-1 none), in the layout of ``flat``."""
-        p = self.p
-        _, e, q, k, v, a, mixed, query = self.forward(x)
-        target = y.reshape(-1)
-        live = target >= 0
-        dz = e
-        dz[np.flatnonzero(live), target[live]] -= 1
-        dz[~live] = 0
-        dz /= max(1, live.sum())
-        hot = lambda c: (c.reshape(-1, 1) == np.arange(CLASSES + 2)[None, :]).astype(np.float32)
-        hot_q, hot_x = hot(query), hot(x)
-        g = {"out": mixed.reshape(-1, WIDTH).T @ dz, "last": hot_q.T @ dz}
-        d_mixed = (dz @ p["out"].T).reshape(mixed.shape)
-        d_a = d_mixed @ v.transpose(0, 2, 1)
-        d_s = a * (d_a - (a * d_a).sum(-1, keepdims=True))
-        g["v"] = hot_x.T @ (a.transpose(0, 2, 1) @ d_mixed).reshape(-1, WIDTH)
-        g["q"] = hot_q.T @ (d_s @ k).reshape(-1, WIDTH)
-        g["k"] = hot_x.T @ (d_s.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-        g["key_bias"] = hot_x.T @ d_s.sum(1).reshape(-1)
-        g["distance"] = np.bincount(self.gap.ravel(), (d_s.sum(0) * (self.future == 0)).ravel(), WINDOW)
+        self.q, self.k = self.features @ p["q"], self.features @ p["k"]
+        self.v = np.concatenate((self.features @ p["v"], np.ones((GROUPS + 2, 1), np.float32)), 1)
+        self.v[PAD] = 0
+        self.shift = np.where(self.future, np.float32(-1e9), p["distance"][self.gap])
+        high = float(np.sqrt((self.q * self.q).sum(1).max() * (self.k * self.k).sum(1).max())) + float(p["distance"].max())
+        self.cap = np.float32(60) if high > 60 else None  # else no exponential can overflow
+
+    def attend(self, x: np.ndarray, first: int) -> tuple:
+        """Queries (of the places from ``first`` on), keys, values, weights, mixtures and sums of weights."""
+        q, k, v = self.q[x[:, first:]], self.k[x], self.v[x]
+        e = q @ k.transpose(0, 2, 1)
+        e += self.shift[first:]
+        if self.cap is not None:
+            np.minimum(e, self.cap, out=e)
+        np.exp(e, out=e)
+        u = e @ v
+        total = u[:, :, WIDTH:] + np.float32(1e-30)
+        return q, k, v, e, u[:, :, :WIDTH] / total, total
+
+    def _odds(self, mixed: np.ndarray, prior: np.ndarray, last: np.ndarray) -> np.ndarray:
+        z = mixed @ self.p["out"]
+        z += self.p["bias"]
+        z += prior[last]
+        return np.clip(z, -80, 80, out=z)
+
+    def score(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Natural log probability of each class in ``goal`` (-1 none) after the windows' last places."""
+        first = x.shape[1] - goal.shape[1]
+        mixed, goal, last = self.attend(x, first)[4].reshape(-1, WIDTH), goal.reshape(-1), x[:, first:].reshape(-1)
+        if goal.min(initial=0) < 0:
+            live = goal >= 0
+            mixed, goal, last = mixed[live], goal[live], last[live]
+        z = self._odds(mixed, prior, last)
+        value = z[np.arange(len(goal)), goal].astype(np.float64)
+        np.exp(z, out=z)
+        return value - np.log(z.sum(1, dtype=np.float32))
+
+    def gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
+        """Gradient of the mean loss over the classes in ``goal`` (-1 none), in the layout of ``flat``."""
+        first = x.shape[1] - goal.shape[1]
+        q, k, v, e, mixed, total = self.attend(x, first)
+        flat, goal, last = mixed.reshape(-1, WIDTH), goal.reshape(-1), x[:, first:].reshape(-1)
+        z = self._odds(flat, prior, last)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        live = goal >= 0
+        z[np.flatnonzero(live), goal[live]] -= 1
+        if not live.all():
+            z[~live] = 0
+        z /= np.float32(max(1, live.sum()))
+        d_mixed = (z @ self.p["out"].T).reshape(mixed.shape)
+        d_u = np.concatenate((d_mixed, -(d_mixed * mixed).sum(2, keepdims=True)), 2)
+        d_u /= total
+        d_s = d_u @ v.transpose(0, 2, 1)
+        d_s *= e
+        d_v = e.transpose(0, 2, 1) @ np.ascontiguousarray(d_u[:, :, :WIDTH])
+        if (x == PAD).any():
+            d_v[x == PAD] = 0
+        rows = self.features[x].reshape(-1, FEATURES)
+        asked = rows if not first else self.features[x[:, first:]].reshape(-1, FEATURES)
+        g = {
+            "q": asked.T @ (d_s @ k).reshape(-1, WIDTH), "k": rows.T @ (d_s.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), "v": rows.T @ d_v.reshape(-1, WIDTH),
+            "distance": np.bincount(self.gap[first:].ravel(), np.where(self.future[first:], 0, d_s.sum(0)).ravel(), WINDOW), "out": flat.T @ z, "bias": z.sum(0),
+        }
         return np.concatenate([np.asarray(g[name], np.float32).ravel() for name, _ in self.SHAPES])
 
-    def descend(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.01) -> int:
-        """Adam steps over batches of windows; the number of targets seen."""
+    def descend(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], prior: np.ndarray, rate: float = 0.005) -> int:
+        """Adam steps over batches of windows and goals; the number of goals seen."""
         m, v, seen = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        for t, (x, y) in enumerate(batches, 1):
-            g = self.gradient(x, y)
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            self.flat -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-            seen += int((y >= 0).sum())
+        for t, (x, goal) in enumerate(batches, 1):
+            g = self.gradient(x, prior, goal)
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            self.flat -= np.float32(rate / (1 - 0.9**t)) * m / (np.sqrt(v * np.float32(1 / (1 - 0.99**t))) + np.float32(1e-8))
+            self.refresh()
+            seen += int((goal >= 0).sum())
         return seen
 
 
-def windows_of(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts' class numbers, the classes to predict in their second halves (-1 none)
-    and each window's text. A text starts after a block of padding, so no window spans two texts."""
-    parts, goals, owner = [], [], []
-    for n, s in enumerate(sequences):  # s ends with the end's class
-        blocks = -(-len(s) // STRIDE)
-        x = np.full((blocks + 1) * STRIDE, PAD, np.int16)
-        x[STRIDE] = BOS
-        x[STRIDE + 1 : STRIDE + len(s)] = s[:-1]
-        y = np.full(blocks * STRIDE, -1, np.int16)
-        y[: len(s)] = s
-        parts.append(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::STRIDE])
-        goals.append(y.reshape(blocks, STRIDE))
-        owner.append(np.full(blocks, n))
-    return np.concatenate(parts), np.concatenate(goals), np.concatenate(owner)
-
-
-def own_ids(counts: np.ndarray) -> np.ndarray:
-    """The ids with a class of their own: the most frequent ones, beside the end."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    return order[order != END_ID][: OWN - 1]
-
-
-def profiled_ids(counts: np.ndarray) -> np.ndarray:
-    """The next most frequent ids, which are grouped by the company they keep."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    return order[order != END_ID][OWN - 1 : OWN - 1 + PROFILED]
-
-
-def add_profiles(total: np.ndarray, ids: np.ndarray, own_of: np.ndarray, row_of: np.ndarray) -> None:
-    """Add to each profiled id's row, once for each of its places in a text, the shares of the own
-    ids among the text's own ids."""
-    own = own_of[ids]
-    share = np.bincount(own[own >= 0], minlength=OWN - 1)[: OWN - 1].astype(np.float32)
-    rows = row_of[ids]
-    rows, times = np.unique(rows[rows >= 0], return_counts=True)
-    total[rows] += times[:, None] * (share / max(1.0, share.sum()))[None, :]
-
-
-def id_forms(tokenizer: str) -> np.ndarray:
-    """The form of each id: after a space or not; ASCII letters, other letters, rest."""
-    from .tokens import load_tokenizer
-
-    t, out = load_tokenizer(tokenizer), np.zeros(VOCAB, np.int64)
-    for i in range(VOCAB):
-        text = t.decode([i])
-        body = text.strip()
-        out[i] = 3 * (text[:1] == " ") + (0 if body.isascii() and body.isalpha() else 1 if body.isalpha() else 2)
+def windows_of(groups: np.ndarray, classes: np.ndarray, many: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over texts' groups, the classes to predict in their last ``stride`` places (-1 none),
+    and each id's place among these. ``many`` ids of each text follow one another, its end the last.
+    No window spans two texts: a text starts after padding, if windows overlap."""
+    before = WINDOW - stride  # places of a window that only give context
+    blocks = -(-many // stride)
+    rows = blocks + bool(before)
+    x = np.full((int(rows.sum()), stride), PAD, np.int16)
+    goal = np.full((int(blocks.sum()), stride), -1, np.int16)
+    start, first, ends = np.cumsum(rows) - blocks, np.cumsum(blocks) - blocks, np.cumsum(many)
+    number = np.arange(int(many.sum())) - np.repeat(ends - many, many)
+    place = np.repeat(first * stride, many) + number
+    goal.reshape(-1)[place] = classes
+    flat = x.reshape(-1)
+    flat[start * stride] = START
+    inner = np.ones(len(number), bool)
+    inner[ends - 1] = False  # the end precedes nothing
+    flat[(np.repeat(start * stride, many) + number + 1)[inner]] = groups[inner]
+    if not before:
+        return x, goal, place
+    head = np.repeat(start, blocks) + np.arange(len(goal)) - np.repeat(first, blocks)
+    return np.concatenate((x[head - 1], x[head]), 1), goal, place
+
+
+# --- what is counted ---------------------------------------------------------------------------
+
+
+class Counts:
+    """The counted side of the model: groups, classes and probabilities of ids."""
+
+    def __init__(self, ids: np.ndarray, pairs: Iterator[tuple[int, np.ndarray, np.ndarray]]):
+        """``ids``: how often each occurs; ``pairs``: for a group, the ids that follow it and how often."""
+        self.order, self.group = ranked(ids)
+        self.used = max(1, int((ids > 0).sum()))  # columns of the tables, by rank; the last stands for all unseen ids
+        self.rank = np.minimum(np.argsort(self.order), self.used).astype(np.int32)
+        share = (ids + 0.5) / (ids.sum() + 0.5 * VOCAB)
+        base = share[self.order][: self.used]
+        rest = 1 - base.sum()
+        table = np.zeros((GROUPS + 2, self.used), np.float32)
+        for g, following, n in pairs:
+            table[g, self.rank[following]] = n
+        self.classes = id_classes(table)
+        self.features = group_features(table)
+        total = table.sum(1, keepdims=True, dtype=np.float64)
+        kinds = (table > 0).sum(1, keepdims=True)
+        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1)
+        members = np.append(self.classes, CLASSES - 1)[None, :] == np.arange(CLASSES)[:, None]
+        self.prior = np.empty((GROUPS + 2, CLASSES), np.float32)
+        self.inner = np.empty((GROUPS + 2, self.used + 1), np.float32)
+        for g in range(GROUPS + 2):
+            p = np.append(np.maximum(table[g] - DISCOUNT, 0) / max(total[g, 0], 1) + back[g] * base, back[g] * rest)
+            p = np.maximum(p, 1e-30)
+            kept = np.maximum(members @ p, 1e-30)
+            self.prior[g] = np.log(kept)
+            p /= kept[np.append(self.classes, CLASSES - 1)]
+            p[-1] /= max(1, VOCAB - self.used)  # one of the unseen ids
+            self.inner[g] = np.log10(np.maximum(p, 1e-38))
+        self.class_of = np.append(self.classes, CLASSES - 1)[self.rank].astype(np.int16)
+
+
+def ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids by falling frequency, and each id's group."""
+    order = np.lexsort((np.arange(VOCAB), -ids))
+    group = np.full(VOCAB, GROUPS - 1, np.int16)
+    group[order[: GROUPS - 1]] = np.arange(GROUPS - 1)
+    return order, group
+
+
+def id_classes(table: np.ndarray) -> np.ndarray:
+    """The class of each column of ``table`` (how often ids follow groups): a cluster of the like.
+
+    Columns are compared by the square roots of their shares, projected to fewer dimensions at
+    random; all columns are placed by the centres.
+    """
+    total = np.maximum(table.sum(0), 1e-9)
+    project = np.random.default_rng(7).normal(size=(len(table), 48)).astype(np.float32)
+    x = np.sqrt(table / total).T @ project
+    x[np.abs(x).sum(1) == 0] = 1
+    x = unit(x - x.mean(0) + 1e-9)
+    centre = kmeans(x[: 64 * CLASSES], CLASSES)
+    return np.argmax(x @ centre.T, 1).astype(np.int16)
+
+
+def group_features(table: np.ndarray) -> np.ndarray:
+    """What the attention sees of each group: the company it keeps, projected at random, and random
+    numbers of its own; padding has none."""
+    rng = np.random.default_rng(13)
+    after = np.sqrt(table / np.maximum(table.sum(1, keepdims=True), 1))
+    before = np.zeros((GROUPS + 2, GROUPS), np.float32)  # the groups before each group that is one id
+    n = min(GROUPS - 1, table.shape[1])
+    before[:n] = table[:GROUPS, :n].T
+    before = np.sqrt(before / np.maximum(before.sum(1, keepdims=True), 1))
+    half = FEATURES // 4
+    parts = [after @ rng.normal(size=(table.shape[1], half)), before @ rng.normal(size=(GROUPS, half)), rng.normal(size=(GROUPS + 2, FEATURES - 2 * half))]
+    parts = [(x - x.mean(0)) * x.any(1, keepdims=True) for x in parts]  # none of groups without counts
+    out = np.concatenate([x * math.sqrt(x.shape[1]) / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9) for x in parts], 1).astype(np.float32)
+    out[PAD] = 0
     return out
 
 
-def id_classes(counts: np.ndarray, profiles: np.ndarray, forms: np.ndarray) -> np.ndarray:
-    """The class of each id: own ids, the end, clusters of profiled ids; all others by form, in
-    bands of about equal counts."""
-    out = np.full(len(counts), -1, np.int16)
-    out[own_ids(counts)] = np.arange(OWN - 1)
-    rows = profiled_ids(counts)
-    seen = profiles.sum(1) > 0
-    if seen.any():
-        x = unit(profiles[seen])
-        x = unit(x - x.mean(0) + 1e-9)
-        centre = kmeans(x, CLUSTERS)
-        out[rows[seen]] = OWN + np.argmax(x @ centre.T, 1)
-    out[END_ID] = OWN - 1
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    rest = order[out[order] < 0]
-    for f in range(FORMS):
-        mine = rest[forms[rest] == f]
-        mass = np.cumsum(counts[mine] + 0.5)
-        if len(mine):
-            out[mine] = OWN + CLUSTERS + f * BANDS + np.minimum((mass * BANDS / mass[-1] - 1e-9).astype(int), BANDS - 1)
-    return out
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_FOLD[0x09 : 0x0D + 1] = 0x20
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts (A-Z lower-cased), the number of each occurrence's word and of its text."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = _FOLD[np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]] if raw is not None and len(texts) else np.empty(0, np.uint8)
+    folded = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]) if len(texts) else np.zeros(1, np.int64)), pa.py_buffer(data))
+    split = pc.split_pattern(folded, " ")
+    flat = split.flatten()
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    real = pc.not_equal(flat, "")
+    found = flat.filter(real).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy().astype(np.int64), owner[real.to_numpy(zero_copy_only=False).astype(bool)]
 
 
 def _held(doc_id: int | None) -> bool:
     return id_bucket(doc_id) == 1
 
 
-def _id_bytes(i: int) -> bytes:
-    return int(i).to_bytes(4, "little")
+class _Sums:
+    """Counts by word, merged now and then."""
 
+    def __init__(self):
+        self.parts: list[pa.Table] = []
 
-def count_training(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """``kind, token, c`` over all training rows: words (kind 0, the end as the empty word) and
-    subword ids (kind 1, little-endian).
+    def add(self, words: pa.Array, n: np.ndarray) -> None:
+        self.parts.append(pa.table({"token": words.cast(pa.large_binary()), "c": n}))
+        if sum(map(len, self.parts)) > 1_500_000:
+            self.parts = [self.merged()]
 
-    Tasks count the chunks between spaces as they stand; only distinct chunks are then cut into
-    words and ids. Texts where a space meets other white space, whose ids depend on more than the
-    chunk, are cut whole, as in scoring.
-    """
+    def merged(self) -> pa.Table:
+        if not self.parts:
+            return pa.table({"token": pa.array([], pa.large_binary()), "c": pa.array([], pa.int64())})
+        return pa.concat_tables(self.parts).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"])
 
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids = load_encoder(tokenizer), np.zeros(VOCAB, np.int64)
-        found = first, rest, words = Counter(), Counter(), Counter()
 
-        def spill() -> Iterator[pa.RecordBatch]:
-            for form, some in zip(("first", "rest", "word"), found, strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([form] * len(some), pa.string()), pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], ["form", "chunk", "c"])
-                some.clear()
+def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Each text with its ids (little-endian 16-bit numbers, without the end), and the counts of its task.
 
-        for b in batches:
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                if not _held(doc):
-                    text = t.as_py() or ""
-                    if _WIDE.search(text):
-                        words.update(w.decode() for w in _words(text))
-                        words[""] += 1
-                        ids += np.bincount(np.array(encoder([text])[0], np.int64), minlength=VOCAB)
-                    else:
-                        head, *tail = text.split(" ")
-                        first[head] += 1
-                        rest.update(tail)
-            if sum(map(len, found)) > 400_000:
-                yield from spill()
-        yield from spill()
-        at = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(["id"] * len(at), pa.string()), pa.array(list(map(str, at.tolist())), pa.string()), pa.array(ids[at])], ["form", "chunk", "c"])
+    ``kind`` 0: ``row, doc_id, held, text, ids``; 1: a training word (the end as the empty word) as
+    ``token`` and its count ``c``; 2: a training id, likewise, as 4 little-endian bytes.
+    """
+    table = vocabulary(tokenizer)
+    if table is None or max(table.values()) >= END_ID:
+        raise ValueError(f"{tokenizer} is no vocabulary of ranks below {END_ID}")
+    names = ["kind", "row", "doc_id", "held", "text", "ids", "token", "c"]
+    kinds = [pa.int8(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
 
-    counted = map_arrow(docs, chunks, "form string, chunk string, c long").groupBy("form", "chunk").agg(F.sum("c").alias("c"))
+    def batch(kind: int, size: int, **given: pa.Array) -> pa.RecordBatch:
+        cols = [given[n].cast(k) if n in given else pa.nulls(size, k) for n, k in zip(names[1:], kinds[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int8)), *cols], names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ids = load_encoder(tokenizer), np.zeros(VOCAB, np.int64)
-        for b in batches:
-            words: Counter = Counter()
-            texts, times = [], []
-            for form, text, n in zip(b.column("form").to_pylist(), b.column("chunk").to_pylist(), b.column("c").to_pylist(), strict=True):
-                if form == "id":
-                    ids[int(text)] += n
-                    continue
-                if form == "word":
-                    words[text.encode()] += n
-                    continue
-                for w in _words(text):
-                    words[w] += n
-                if form == "first":
-                    words[b""] += n  # each text has one first chunk, and one end
-                texts.append(" " + text if form == "rest" else text)
-                times.append(n)
-            found = encoder(texts)
-            flat = np.array([i for f in found for i in f], np.int64)
-            ids += np.bincount(flat, np.repeat(np.array(times, np.int64), np.array(list(map(len, found)), np.int64)), VOCAB).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["kind", "token", "c"])
-        at = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array([_id_bytes(i) for i in at.tolist()], pa.binary()), pa.array(ids[at])], ["kind", "token", "c"])
-
-    return map_arrow(counted, cut, "kind int, token binary, c long").groupBy("kind", "token").agg(F.sum("c").alias("c"))
-
-
-def _batches(sequences: Iterator[np.ndarray], size: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Windows of the sequences, ``size`` at a time."""
-    x_wait: list[np.ndarray] = []
-    y_wait: list[np.ndarray] = []
-    have = 0
-    for s in sequences:
-        x, y, _ = windows_of([s])
-        x_wait.append(x)
-        y_wait.append(y)
-        have += len(x)
-        if have >= size:
-            x, y = np.concatenate(x_wait), np.concatenate(y_wait)
-            for at in range(0, have - size + 1, size):
-                yield x[at : at + size], y[at : at + size]
-            x_wait, y_wait = [x[have - have % size :]], [y[have - have % size :]]
-            have %= size
-    if have:
-        yield np.concatenate(x_wait), np.concatenate(y_wait)
-
-
-def train(docs: DataFrame, counts: DataFrame, tokenizer: str, fraction: int = 10, rounds: int = 2) -> tuple[AttentionModel, np.ndarray, np.ndarray]:
-    """The attention model, each id's class, and each id's log10 share within its class.
-
-    Every round reads another ``1/fraction`` of the training rows by id hash, so what training
-    sees grows with the input; the first round's rows also serve the classes. A task hands over at
-    most 320 KB; the driver adds them up one by one.
-    """
-    c = np.zeros(VOCAB, np.int64)
-    for token, n in counts.filter("kind = 1").select("token", "c").collect():  # at most VOCAB rows
-        c[int.from_bytes(token, "little")] = n
-    c[END_ID] = sum(r[0] for r in counts.filter("kind = 0 and token = X''").select("c").collect())
-    end = np.array([END_ID], "<u4").tobytes()
-
-    def texts_ids(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[np.ndarray]:
-        encoder = ChunkTokenizer(tokenizer)
-        for b in batches:
-            rows = [n for n, d in enumerate(b.column("doc_id").to_pylist()) if not _held(d) and zlib.crc32(f"lm:{d}".encode()) % fraction == part]
-            for at in range(0, len(rows), 100):
-                for raw in encoder.encode([b.column("text")[n].as_py() or "" for n in rows[at : at + 100]]):
-                    yield np.frombuffer(raw + end, "<u4")
-
-    own_of, row_of = np.full(VOCAB, -1, np.int64), np.full(VOCAB, -1, np.int64)
-    own_of[own_ids(c)], row_of[profiled_ids(c)] = np.arange(OWN - 1), np.arange(PROFILED)
-
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((PROFILED, OWN - 1), np.float32)
-        for ids in texts_ids(batches, 0):
-            add_profiles(total, ids, own_of, row_of)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if total.any() else [], pa.binary())], ["total"])
-
-    profiles = np.zeros((PROFILED, OWN - 1))
-    for (raw,) in materialize(map_arrow(docs, profile, "total binary"), "profiles").toLocalIterator():
-        profiles += np.frombuffer(raw, np.float32).reshape(profiles.shape)
-    classes = id_classes(c, profiles, id_forms(tokenizer))
-    mass = np.bincount(classes, c + 0.5, CLASSES)
-    share = np.log10((c + 0.5) / mass[classes])
-    model = AttentionModel(prior=(mass + 1e-9) / mass.sum())
-    for turn in range(rounds):
-        flat = model.flat.copy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        def descend(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            mine = AttentionModel(flat.copy())
-            seen = mine.descend(_batches(classes[ids] for ids in texts_ids(batches, turn)))
-            yield pa.RecordBatch.from_arrays([pa.array([mine.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["flat", "seen"])
+        row = TaskContext.get().partitionId() << 40
+        encoder, ids, words = TextEncoder(tokenizer), np.zeros(VOCAB, np.int64), _Sums()
+        for b in together(batches):
+            held = np.array([_held(d) for d in b.column("doc_id").to_pylist()], bool)
+            found, many = encoder(b.column("text"))
+            ids += np.bincount(found[np.repeat(~held, many)], minlength=VOCAB)
+            ids[END_ID] += int((~held).sum())
+            distinct, code, owner = words_of(b.column("text"))
+            n = np.bincount(code[~held[owner]], minlength=len(distinct))
+            words.add(distinct.filter(pa.array(n > 0)), n[n > 0])
+            cut = np.concatenate(([0], np.cumsum(many))) * 2
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(many), [None, pa.py_buffer(cut), pa.py_buffer(found.astype("<u2"))])
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                size = min(BATCH_ROWS, b.num_rows - at)
+                yield batch(0, size, row=pa.array(np.arange(row, row + size)), doc_id=b.column("doc_id").slice(at, size), held=pa.array(held[at : at + size]), text=b.column("text").slice(at, size), ids=raw.slice(at, size))
+                row += size
+        merged = words.merged()
+        for at in range(0, len(merged), 50_000):
+            part = merged.slice(at, 50_000).combine_chunks()
+            yield batch(1, len(part), token=part.column("token").combine_chunks(), c=part.column("c").combine_chunks())
+        yield batch(1, 1, token=pa.array([b""], pa.binary()), c=pa.array([int(ids[END_ID])]))
+        at = np.flatnonzero(ids)
+        yield batch(2, len(at), token=pa.array([int(i).to_bytes(4, "little") for i in at], pa.binary()), c=pa.array(ids[at]))
 
-        total, seen = np.zeros(len(flat)), 0
-        for raw, n in materialize(map_arrow(docs, descend, "flat binary, seen long"), "weights").toLocalIterator():
-            if n:
-                total += n * np.frombuffer(raw, np.float32).astype(np.float64)
-                seen += n
-        if seen:
-            model = AttentionModel(total / seen)
-    return model, classes, share
+    return map_arrow(docs, run, "kind byte, row long, doc_id long, held boolean, text string, ids binary, token binary, c long")
 
 
-class Scorer:
-    """Log-probabilities of given targets under a model, without what only training needs.
+def training_counts(made: DataFrame) -> DataFrame:
+    """``kind, token, c`` over all training rows of :func:`tokenized`."""
+    return made.filter("kind > 0").groupBy("kind", "token").agg(F.sum("c").alias("c")).filter("c > 0")
 
-    A key's bias multiplies its value, and the weights' sum is one more value, so attention is two
-    batched products and one exponential.
-    """
 
-    def __init__(self, model: AttentionModel):
-        p = model.p
-        bias = np.exp(np.clip(p["key_bias"].astype(np.float64), -40, 40)).astype(np.float32)
-        bias[PAD] = 0
-        self.q, self.k, self.out, self.last = p["q"], p["k"], p["out"], p["last"]
-        self.v = np.concatenate((p["v"] * bias[:, None], bias[:, None]), 1)
-        self.shift = p["distance"][model.gap] + model.future
-        high = float(np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.k, axis=1).max() + p["distance"].max())
-        self.cap = 60.0 if high > 60 else None  # else no sum can overflow
-
-    def __call__(self, x: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        query = x[:, STRIDE:]
-        s = self.q[query] @ self.k[x].transpose(0, 2, 1)
-        s += self.shift
-        if self.cap is not None:
-            np.minimum(s, self.cap, out=s)
-        np.exp(s, out=s)
-        mixed = (s @ self.v[x]).reshape(-1, WIDTH + 1)
-        live = np.flatnonzero(goal >= 0)
-        mixed = mixed[live] if len(live) < len(goal) else mixed
-        z = (mixed[:, :WIDTH] / (mixed[:, WIDTH:] + np.float32(1e-30))) @ self.out
-        z += self.last[query.reshape(-1)[live]]
-        np.clip(z, -80, 80, out=z)
-        value = z[np.arange(len(live)), goal[live]]
-        np.exp(z, out=z)
-        return value.astype(np.float64) - np.log(z.sum(1, dtype=np.float32))
+def _flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with their ends, and how many each text has."""
+    raw = column.cast(pa.large_binary())
+    cut = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    many = np.diff(cut) // 2
+    held = np.frombuffer(raw.buffers()[2], np.uint8)[cut[0] : cut[-1]].view("<u2") if raw.buffers()[2] is not None else np.empty(0, "<u2")
+    ends = np.cumsum(many + 1) - 1
+    out = np.empty(int((many + 1).sum()), np.int64)
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner], out[ends] = held, END_ID
+    return out, many + 1
 
 
-def score_sequences(model: AttentionModel, sequences: list[np.ndarray], size: int = 256) -> np.ndarray:
-    """Log10 probability of each sequence of classes."""
-    x, y, owner = windows_of(sequences)
-    out, score = np.zeros(len(sequences)), Scorer(model)
-    for at in range(0, len(x), size):
-        goal = y[at : at + size].reshape(-1)
-        which = np.repeat(owner[at : at + size], STRIDE)[goal >= 0]
-        out += np.bincount(which, score(x[at : at + size], goal), len(sequences))
-    return out / math.log(10)
+def count_pairs(made: DataFrame, ids: np.ndarray) -> DataFrame:
+    """``g, following``: for each group that occurs, the ids that follow it in training rows, with
+    their numbers (``id, n``). At most ``GROUPS + 1`` rows of ``VOCAB`` entries."""
+    order, group = ranked(ids)
+    rank, used = np.argsort(order), max(1, int((ids > 0).sum()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((GROUPS + 2) * used, np.int32)  # touched where ids occur; at most 206 MB
+        for b in batches:
+            if b.num_rows:
+                flat, many = _flat_ids(b.column("ids"))
+                before = np.empty(len(flat), np.int64)
+                before[1:] = group[flat[:-1]]
+                before[np.cumsum(many) - many] = START
+                np.add.at(found, before * used + rank[flat], 1)
+        at = np.flatnonzero(found)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array((part // used).astype(np.int32)), pa.array(order[part % used].astype(np.int32)), pa.array(found[part].astype(np.int64))], ["g", "id", "n"])
+
+    cells = map_arrow(made.filter("kind = 0 and not held").select("ids"), run, "g int, id int, n long")
+    return cells.groupBy("g", "id").agg(F.sum("n").alias("n")).groupBy("g").agg(F.collect_list(F.struct("id", "n")).alias("following"))
+
+
+# --- training ----------------------------------------------------------------------------------
+
+
+def _batches(texts: Iterator[tuple[np.ndarray, np.ndarray]], counts: Counts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows and goals of the texts, ``STEP`` at a time."""
+    x_wait, goal_wait = np.empty((0, WINDOW), np.int16), np.empty((0, WINDOW), np.int16)
+    for ids, many in texts:
+        x, goal, _ = windows_of(counts.group[ids], counts.class_of[ids], many, WINDOW)
+        x, goal = np.concatenate((x_wait, x)), np.concatenate((goal_wait, goal))
+        full = len(x) - len(x) % STEP
+        for at in range(0, full, STEP):
+            yield x[at : at + STEP], goal[at : at + STEP]
+        x_wait, goal_wait = x[full:], goal[full:]
+    if len(x_wait):
+        yield x_wait, goal_wait
+
+
+def train(made: DataFrame, counts: Counts, total: int, shard: int = SHARD, rounds: int = ROUNDS) -> AttentionModel:
+    """The attention model, descended over all training rows of :func:`tokenized`.
+
+    ``total``: their ids. There are as many logical shards as give each about ``shard`` ids; what
+    goes to the driver are the sums of all shards' weights, one row for each weight.
+    """
+    spark = made.sparkSession
+    shards = rounds * max(1, -(-total // (shard * rounds)))
+    rows = made.filter("kind = 0 and not held").select(F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int").alias("shard"), F.coalesce("doc_id", F.lit(0)).alias("d"), "ids")
+    model, held = AttentionModel(counts.features), spark.sparkContext.broadcast(counts)
+    for turn in range(rounds):
+        flat = model.flat.copy()
 
-def score_documents(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        def descend(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat) -> Iterator[pa.RecordBatch]:
+            counts, sums, seen = held.value, np.zeros(AttentionModel.SIZE), 0
+            for texts in _by_shard(batches):
+                mine = AttentionModel(counts.features, flat.copy())
+                n = mine.descend(_batches(texts, counts), counts.prior)
+                sums += n * mine.flat.astype(np.float64)
+                seen += n
+            if seen:
+                for at in range(0, len(sums) + 1, 20_000):
+                    part = np.append(sums, seen)[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["at", "total"])
+
+        dealt = rows.filter(F.col("shard") % rounds == turn).repartition(shards // rounds, F.floor(F.col("shard") / rounds)).sortWithinPartitions("shard", "d", F.xxhash64("ids"))
+        found = map_arrow(dealt.select("shard", "ids"), descend, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
+        sums = np.zeros(AttentionModel.SIZE + 1)
+        for at, value in found.collect():  # one row for each weight
+            sums[at] = value
+        if sums[-1]:
+            model = AttentionModel(counts.features, sums[:-1] / sums[-1])
+    return model
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """For each run of rows of one shard, the ids of its batches; rows come sorted by shard."""
+    parts = (b.slice(int(i), int(j - i)) for b in batches if b.num_rows for cut in [_runs(b.column("shard").to_numpy())] for i, j in zip(cut[:-1], cut[1:], strict=True))
+    waiting: list[pa.RecordBatch] = []
+
+    def texts(shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        while waiting and waiting[0].column("shard")[0].as_py() == shard:
+            yield _flat_ids(waiting.pop().column("ids"))
+            waiting.extend(x for x in [next(parts, None)] if x is not None)
+
+    waiting.extend(x for x in [next(parts, None)] if x is not None)
+    while waiting:
+        yield texts(waiting[0].column("shard")[0].as_py())
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(np.diff(values)) + 1, [len(values)]))
+
+
+# --- scoring -----------------------------------------------------------------------------------
+
+
+def score_ids(model: AttentionModel, counts: Counts, ids: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Log10 probability of each text; ``many`` ids of each follow one another, its end the last."""
+    x, goal, place = windows_of(counts.group[ids], counts.class_of[ids], many)
+    found = np.zeros(goal.shape)
+    for at in range(0, len(x), STEP):
+        part = goal[at : at + STEP]
+        found[at : at + STEP][part >= 0] = model.score(x[at : at + STEP], counts.prior, part)
+    last = np.empty(len(ids), np.int64)
+    last[1:] = counts.group[ids[:-1]]
+    last[np.cumsum(many) - many] = START
+    each = found.reshape(-1)[place] / math.log(10) + counts.inner[last, counts.rank[ids]]
+    return np.add.reduceat(each, np.cumsum(many) - many) if len(many) else np.empty(0)
+
+
+def fit(docs: DataFrame, tokenizer: str = TOKENIZER, shard: int = SHARD) -> tuple[DataFrame, DataFrame, Counts, AttentionModel]:
+    """The tokenized table, the training counts, the counted model and the attention model."""
+    made = materialize(tokenized(docs, tokenizer), "tokens", "zstd")
+    counted = materialize(training_counts(made), "counts")
+    ids = np.zeros(VOCAB, np.int64)
+    for token, n in counted.filter("kind = 2").select("token", "c").collect():  # at most VOCAB rows
+        ids[int.from_bytes(token, "little")] = n
+    pairs = ((r["g"], *(np.array(c, np.int64) for c in zip(*r["following"], strict=True))) for r in count_pairs(made, ids).toLocalIterator())
+    counts = Counts(ids, pairs)
+    return made, counted, counts, train(made, counts, int(ids.sum()), shard)
+
+
+def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, head: int = HEAD, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_ids`` for every row.
 
     ``held_out``: crc32(doc_id as text) mod 5 is 1 (a null id counts as empty text and as training).
-    Null and empty texts are the end alone. Without training rows all counts are 0 and the model is
-    its starting point. Repeated rows give repeated rows; an empty table gives none; further columns
-    are not read.
+    Null and empty texts are the end alone; very long texts are read whole, in windows. Without
+    training rows all counts are 0 and the model is its starting point. Repeated rows give repeated
+    rows with the same scores but for rounding; an empty table gives none; further columns, whatever their names, are
+    not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = materialize(count_training(docs, tokenizer), "counts")
-    model, classes, share = train(docs, counts, tokenizer)
-    words = counts.filter("kind = 0").select(F.col("token").alias("word"), "c")
+    made, counted, counts, model = fit(docs, tokenizer, shard)
+    words = counted.filter("kind = 1").select(F.col("token").alias("word"), "c")
     total, distinct = words.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     base = math.log10(total + 0.5 * (distinct + 1))
     # The most frequent words: at most ``head`` of them, and the end.
-    top = {bytes(w): n for w, n in words.orderBy(F.desc("c"), "word").limit(head).collect()}
-    top.update({b"": n for _, n in words.filter("word = X''").collect()})
-    top.setdefault(b"", 0)
-    value = {w: (math.log10(n + 0.5), n > 0) for w, n in top.items()}
-    end = np.array([END_ID], "<u4").tobytes()
-    flat = model.flat
+    top = words.orderBy(F.desc("c"), "word").limit(head).toPandas()
+    ends = next((r[0] for r in words.filter("word = X''").select("c").collect()), 0)
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((counts, model.flat, pa.array(list(map(bytes, top["word"])), pa.large_binary()).cast(pa.large_string()), np.log10(top["c"].to_numpy(np.float64) + 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        encoder, mine = ChunkTokenizer(tokenizer), AttentionModel(flat)
-        for batch in batches:
-            for cut in range(0, batch.num_rows, 200):
-                b = batch.slice(cut, 200)
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                docs_ = b.column("doc_id").to_pylist()
-                ids = [np.frombuffer(raw + end, "<u4") for raw in encoder.encode(texts)]
-                inner = np.array([share[i].sum() for i in ids])
-                scored = score_sequences(mine, [classes[i] for i in ids]) + inner
-                tokens, known, sums, rare, often = [], [], [], [], []
-                for t in texts:
-                    found = Counter(_words(t))
-                    s, k = value[b""]
-                    n = 1
-                    far, times, k = [], [], int(k)
-                    for w, m in found.items():
-                        n += m
-                        hit = value.get(w)
-                        if hit is None:
-                            far.append(w)
-                            times.append(m)
-                        else:
-                            s += m * hit[0]
-                            k += m * hit[1]
-                    tokens.append(n), known.append(k), sums.append(s), rare.append(far), often.append(times)
-                cols = [
-                    pa.array(np.arange(row, row + len(texts))), b.column("doc_id"), pa.array([_held(d) for d in docs_], pa.bool_()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()),
-                    pa.array(sums, pa.float64()), pa.array(scored), pa.array([len(i) for i in ids], pa.int64()), pa.array(rare, pa.list_(pa.binary())), pa.array(often, pa.list_(pa.int64())),
-                ]
-                row += len(texts)
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "n_ids", "rare", "often"])
+        counts, flat, known, value = held.value
+        mine = AttentionModel(counts.features, flat)
+        value = np.append(value, 0.0)
+        for b in together(batches):
+            n = b.num_rows
+            ids, many = _flat_ids(b.column("ids"))
+            ends_at = np.cumsum(many)
+            score = np.concatenate([score_ids(mine, counts, ids[ends_at[i] - many[i] : ends_at[j - 1]], many[i:j]) for i, j in _slices(many)])
+            distinct, code, owner = words_of(b.column("text"))
+            place = pc.fill_null(pc.index_in(distinct, value_set=known), -1).to_numpy().astype(np.int64)
+            often = place[code]
+            near = np.bincount(owner, value[often], n) + math.log10(ends + 0.5)
+            have = np.bincount(owner[often >= 0], minlength=n) + (ends > 0)
+            far = often < 0
+            pair, times = np.unique(owner[far] * max(1, len(distinct)) + code[far], return_counts=True)
+            cut = np.searchsorted(pair // max(1, len(distinct)), np.arange(n + 1)).astype(np.int32)
+            rare = pa.ListArray.from_arrays(pa.array(cut), distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.binary()))
+            cols = [
+                b.column("row"), b.column("doc_id"), b.column("held"), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(have), pa.array(near), pa.array(score), pa.array(many),
+                rare, pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int64))),
+            ]
+            for at in range(0, n, BATCH_ROWS):
+                yield pa.RecordBatch.from_arrays([c.slice(at, BATCH_ROWS) for c in cols], ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "n_ids", "rare", "often"])
 
     kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, sum double, score double, n_ids long, rare array<binary>, often array<long>"
-    scored = materialize(map_arrow(docs, run, kind), "scored")
+    scored = materialize(map_arrow(made.filter("kind = 0").select("row", "doc_id", "held", "text", "ids"), run, kind), "scored", "zstd")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.often").alias("m"))
     joined = each.join(words, "word", "left").groupBy("row").agg(
         F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known")
@@ -477,3 +547,13 @@ def score_documents(docs: DataFrame, tokenizer: str = DEFAULT_TOKENIZER, head: i
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score", "n_ids",
     )
+
+
+def _slices(many: np.ndarray, ids: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``ids`` ids together."""
+    at, ends = 0, np.cumsum(many)
+    while at < len(many):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + ids)))
+        yield at, to
+        at = to

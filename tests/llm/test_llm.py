@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillon.llm import ann, components, decontam, lm, packing, pii, quality, sharding, simhash, tokens, toxicity, urlfilter
+from quillon.llm import ann, components, decontam, packing, pii, quality, sharding, simhash, tokens, toxicity, urlfilter
 from quillon.llm.common import local_components, materialize
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 400
@@ -358,51 +358,7 @@ def test_decontamination_against_brute_force(spark, docs, none, block_bytes):
     assert decontam.decontaminate(none, bench).count() == 0 == decontam.decontaminate(docs, bench.limit(0)).filter("contaminated").count()
 
 
-# --- 10 ----------------------------------------------------------------------------------------
-
-
-def test_attention_gradient():
-    rng = np.random.default_rng(1)
-    model = lm.AttentionModel(prior=np.full(lm.CLASSES, 1 / lm.CLASSES))
-    x, y, _ = lm.windows_of([rng.integers(0, lm.CLASSES, n) for n in (5, 70, 33)])
-
-    def loss(flat):
-        m = lm.AttentionModel(flat)
-        z, goal = m.forward(x)[0], y.reshape(-1)
-        live = np.flatnonzero(goal >= 0)
-        return -float(z[live, goal[live]].astype(float).mean())
-
-    g = model.gradient(x, y)
-    at = np.argsort(-np.abs(g))[[0, 5, 50, 300, 700]]
-    for i in at:
-        up, down = model.flat.copy(), model.flat.copy()
-        up[i] += 0.02
-        down[i] -= 0.02
-        assert (loss(up) - loss(down)) / 0.04 == pytest.approx(g[i], rel=0.05, abs=2e-4)
-
-
-def test_attention_is_causal_and_scores_each_token_once():
-    rng = np.random.default_rng(2)
-    model = lm.AttentionModel(prior=np.full(lm.CLASSES, 1 / lm.CLASSES))
-    s = rng.integers(0, lm.CLASSES, 100)
-    x, y, owner = lm.windows_of([s, s[:3]])
-    assert (y >= 0).sum() == 103 and y[owner == 0][y[owner == 0] >= 0].tolist() == s.tolist()
-    changed = s.copy()
-    changed[60:] = 0
-    a, b = lm.windows_of([s])[0], lm.windows_of([changed])[0]
-    assert np.allclose(model.forward(a)[0][:61], model.forward(b)[0][:61], atol=1e-5)
-    assert lm.score_sequences(model, [s, s[:3]])[1] == pytest.approx(lm.score_sequences(model, [s[:3]])[0], abs=1e-4)
-
-
-def test_base_score_against_brute_force(docs, none):
-    rows = lm.score_documents(docs, head=2).collect()
-    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) + [""]
-    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1
-    c = Counter(w for i, t, _ in ROWS if not held(i) for w in words(t))
-    total = sum(c.values())
-    want = Counter((i, held(i), len(words(t)), sum(c[w] > 0 for w in words(t)), total, round(sum(math.log10((c[w] + 0.5) / (total + 0.5 * (len(c) + 1))) for w in words(t)), 6)) for i, t, _ in ROWS)
-    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows) == want
-    assert all(r["score"] < 0 for r in rows) and lm.score_documents(none).count() == 0
+# --- the pipeline and the cases of reviews ------------------------------------------------------
 
 
 def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
@@ -425,33 +381,6 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left)
 
 
-def test_scorer_equals_the_model():
-    rng = np.random.default_rng(3)
-    model = lm.AttentionModel(rng.normal(0, 0.4, lm.AttentionModel().flat.size))
-    texts = [rng.integers(0, lm.CLASSES, n).astype(np.int16) for n in (1, 5, lm.STRIDE, lm.STRIDE + 1, 333)]
-    x, y, owner = lm.windows_of(texts)
-    z, goal = model.forward(x)[0], y.reshape(-1)
-    live = np.flatnonzero(goal >= 0)
-    want = np.bincount(np.repeat(owner, lm.STRIDE)[live], z[live, goal[live]].astype(float), len(texts)) / math.log(10)
-    assert np.allclose(lm.score_sequences(model, texts), want, atol=1e-3)
-
-
-def test_attention_sees_far_back_and_learns_from_both_slices(spark):
-    rng = np.random.default_rng(4)
-    model = lm.AttentionModel(rng.normal(0, 0.4, lm.AttentionModel().flat.size))
-    s = rng.integers(0, lm.CLASSES, 100)
-    changed = s.copy()
-    changed[20] = (s[20] + 1) % lm.CLASSES
-    a, b = (model.forward(lm.windows_of([x])[0])[0] for x in (s, changed))
-    assert not np.allclose(a[60], b[60], atol=1e-6)  # 40 ids back
-    start = lm.AttentionModel().p["distance"]
-    for rest in (0, 1, 10, 11):  # a tenth of the training rows in each of two rounds
-        ids = [i for i in range(3000) if zlib.crc32(f"lm:{i}".encode()) % 20 == rest and zlib.crc32(str(i).encode()) % 5 != 1][:20]
-        rows = spark.createDataFrame([(i, "some words of a text " * 20) for i in ids], "doc_id long, text string")
-        found = lm.train(rows, materialize(lm.count_training(rows, tokens.DEFAULT_TOKENIZER), "c"), tokens.DEFAULT_TOKENIZER)[0]
-        assert not np.array_equal(found.p["distance"], start)
-
-
 def _near_texts():
     """Texts, some with near copies on either side of similarity 0.8, and the least index each is connected to."""
     rng = random.Random(12)
@@ -525,19 +454,6 @@ def test_number_runs_equal_brute_force():
         assert bare == want
 
 
-def test_id_counts_against_brute_force(spark, docs):
-    wide = ["def f(x):\n        return  x\n\n    # end", "a   b    c\n  d", "   ", "one two\nthree four", " lead and trail ", "tab\t \tgap", ""]
-    rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(100 + i, t) for i, t in enumerate(wide * 3)], "doc_id long, text string"))
-    ids, words, tok = Counter(), Counter(), tokens.load_tokenizer()
-    for r in rows.collect():
-        if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1:
-            ids.update(tok.encode(r[1] or "", add_special_tokens=False).ids)
-            words.update([*(r[1] or "").encode().lower().split(), b""])
-    found = lm.count_training(rows, tokens.DEFAULT_TOKENIZER).collect()
-    assert {int.from_bytes(r["token"], "little"): r["c"] for r in found if r["kind"] == 1} == dict(ids)
-    assert {bytes(r["token"]): r["c"] for r in found if r["kind"] == 0} == dict(words)
-
-
 @pytest.mark.parametrize("block", [30, 2000])
 def test_pairs_found_from_one_side_or_elsewhere_count_for_both(spark, monkeypatch, block):
     rng = np.random.default_rng(17)
@@ -558,18 +474,6 @@ def test_pairs_found_from_one_side_or_elsewhere_count_for_both(spark, monkeypatc
     assert links.sum() >= 0.99 * near.sum() and (block == 30 or links.tolist() == near.sum(1).tolist())
 
 
-def test_ids_beyond_the_profiled_ones_have_classes_too():
-    counts = np.maximum(0, 60_000 - np.arange(lm.VOCAB) * 2)
-    profiles = np.random.default_rng(3).random((lm.PROFILED, lm.OWN - 1))
-    profiles[:500] = 0  # not seen
-    classes = lm.id_classes(counts, profiles, lm.id_forms(tokens.DEFAULT_TOKENIZER))
-    assert classes.min() == 0 and classes.max() < lm.CLASSES and classes[lm.END_ID] == lm.OWN - 1
-    shares = np.bincount(classes, counts + 0.5, lm.CLASSES) / (counts + 0.5).sum()
-    rest = np.concatenate((lm.profiled_ids(counts)[:500], np.arange(lm.OWN + lm.PROFILED, lm.END_ID)))
-    assert len(set(classes[rest].tolist())) >= 20 and shares[np.unique(classes[rest])].max() < 0.25
-    assert not set(classes[rest].tolist()) & set(classes[lm.profiled_ids(counts)[500:]].tolist())
-
-
 def test_written_shards_hold_every_row(spark, docs, tmp_path):
     assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
     rows = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(50, "plumless"), (50, "buckeroo"), (None, "x"), (None, None)], "doc_id long, text string"))
