@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, minhash, packing, pii, toxicity
+from quillon.llm import decontam, packing, pii, simhash, toxicity
 from quillon.llm.common import materialize
 
 
@@ -29,12 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles of Jaccard similarity 0.8 or more, and what
-    such links connect) the document of smallest id stays, once.
-
-    Rows without an id cannot be told apart by it and stay.
-    """
-    kept = docs.join(minhash.near_copy_roots(docs), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionAll(docs.filter("doc_id is null"))
+    such links connect) the document of smallest id stays, once; one without an id stays only in a
+    group that has no other."""
+    return simhash.drop_near_copies(docs, similarity=0.8, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +47,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as pieces placed in sequences of at most 2048 tokens."""
-    return packing.pack(docs, capacity=2048)
+    """Documents as pieces, with their token ids, placed in sequences of at most 2048 tokens."""
+    return packing.pack(docs, capacity=2048, with_ids=True)
 
 
 STAGES = [
