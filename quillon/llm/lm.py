@@ -45,9 +45,9 @@ WINDOW, STRIDE = 64, 32
 PAD, START = GROUPS, GROUPS + 1
 DISCOUNT = 0.75
 SHARD, ROUNDS = 4_000_000, 3
-HEAD = 200_000
+HEAD = 65_536
 #: Windows of one step of descent, and of one scored batch: their scores stay in the processor's cache.
-STEP = 32
+STEP = 64
 
 
 # --- the model ---------------------------------------------------------------------------------
@@ -93,7 +93,7 @@ class AttentionModel:
         """Queries (of the places from ``first`` on), keys, values, weights, mixtures and sums of weights."""
         q, k, v = self.q[x[:, first:]], self.k[x], self.v[x]
         e = q @ k.transpose(0, 2, 1)
-        e += self.shift[first:]
+        e += self.shift[first : x.shape[1], : x.shape[1]]
         if self.cap is not None:
             np.minimum(e, self.cap, out=e)
         np.exp(e, out=e)
@@ -121,6 +121,14 @@ class AttentionModel:
 
     def gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over the classes in ``goal`` (-1 none), in the layout of ``flat``."""
+        first, many = x.shape[1] - goal.shape[1], max(1, int((goal >= 0).sum()))
+        total = np.zeros(self.SIZE, np.float32)
+        for low in range(first, x.shape[1], STRIDE):  # no place sees a later one, so the first need not meet the last
+            high = min(low + STRIDE, x.shape[1])
+            total += self._gradient(x[:, :high], prior, goal[:, low - first : high - first], many)
+        return total
+
+    def _gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray, many: int) -> np.ndarray:
         first = x.shape[1] - goal.shape[1]
         q, k, v, e, mixed, total = self.attend(x, first)
         flat, goal, last = mixed.reshape(-1, WIDTH), goal.reshape(-1), x[:, first:].reshape(-1)
@@ -131,20 +139,23 @@ class AttentionModel:
         z[np.flatnonzero(live), goal[live]] -= 1
         if not live.all():
             z[~live] = 0
-        z /= np.float32(max(1, live.sum()))
+        z /= np.float32(many)
         d_mixed = (z @ self.p["out"].T).reshape(mixed.shape)
         d_u = np.concatenate((d_mixed, -(d_mixed * mixed).sum(2, keepdims=True)), 2)
         d_u /= total
         d_s = d_u @ v.transpose(0, 2, 1)
         d_s *= e
-        d_v = e.transpose(0, 2, 1) @ np.ascontiguousarray(d_u[:, :, :WIDTH])
+        back = d_s.transpose(0, 2, 1)
+        d_kv = np.concatenate((back @ q, e.transpose(0, 2, 1) @ np.ascontiguousarray(d_u[:, :, :WIDTH])), 2)
         if (x == PAD).any():
-            d_v[x == PAD] = 0
-        rows = self.features[x].reshape(-1, FEATURES)
-        asked = rows if not first else self.features[x[:, first:]].reshape(-1, FEATURES)
+            d_kv[x == PAD] = 0
+        rows = self.features[x]
+        asked = rows[:, first:].reshape(-1, FEATURES)
+        kv = rows.reshape(-1, FEATURES).T @ d_kv.reshape(-1, 2 * WIDTH)
+        gap, future = self.gap[first : x.shape[1], : x.shape[1]], self.future[first : x.shape[1], : x.shape[1]]
         g = {
-            "q": asked.T @ (d_s @ k).reshape(-1, WIDTH), "k": rows.T @ (d_s.transpose(0, 2, 1) @ q).reshape(-1, WIDTH), "v": rows.T @ d_v.reshape(-1, WIDTH),
-            "distance": np.bincount(self.gap[first:].ravel(), np.where(self.future[first:], 0, d_s.sum(0)).ravel(), WINDOW), "out": flat.T @ z, "bias": z.sum(0),
+            "q": asked.T @ (d_s @ k).reshape(-1, WIDTH), "k": kv[:, :WIDTH], "v": kv[:, WIDTH:],
+            "distance": np.bincount(gap.ravel(), np.where(future, 0, d_s.sum(0)).ravel(), WINDOW), "out": flat.T @ z, "bias": z.sum(0),
         }
         return np.concatenate([np.asarray(g[name], np.float32).ravel() for name, _ in self.SHAPES])
 
@@ -433,7 +444,8 @@ def train(made: DataFrame, counts: Counts, total: int, shard: int = SHARD, round
                     part = np.append(sums, seen)[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["at", "total"])
 
-        dealt = rows.filter(F.col("shard") % rounds == turn).repartition(shards // rounds, F.floor(F.col("shard") / rounds)).sortWithinPartitions("shard", "d", F.xxhash64("ids"))
+        # by range, so that every task has a shard
+        dealt = rows.filter(F.col("shard") % rounds == turn).repartitionByRange(shards // rounds, "shard").sortWithinPartitions("shard", "d", F.xxhash64("ids"))
         found = map_arrow(dealt.select("shard", "ids"), descend, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
         sums = np.zeros(AttentionModel.SIZE + 1)
         for at, value in found.collect():  # one row for each weight
@@ -507,10 +519,10 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, head: int = HEA
     total = total or 0
     base = math.log10(total + 0.5 * (distinct + 1))
     # The most frequent words: at most ``head`` of them, and the end.
-    top = words.orderBy(F.desc("c"), "word").limit(head).toPandas()
+    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
     ends = next((r[0] for r in words.filter("word = X''").select("c").collect()), 0)
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((counts, model.flat, pa.array(list(map(bytes, top["word"])), pa.large_binary()).cast(pa.large_string()), np.log10(top["c"].to_numpy(np.float64) + 0.5)))
+    held = spark.sparkContext.broadcast((counts, model.flat, top.column("word").combine_chunks().cast(pa.large_binary()).cast(pa.large_string()), np.log10(top.column("c").to_numpy() + 0.5)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, flat, known, value = held.value
