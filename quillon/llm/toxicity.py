@@ -7,8 +7,9 @@ and unlabelled ones: with class prior ``p`` the risk is
     p * E_toxic[loss(+)] + max(0, E_unlabelled[loss(-)] - p * E_toxic[loss(-)])
 
 and where the bracket turns negative its gradient is reversed, so the estimate cannot be driven
-below zero by overfitting. Training reads a bounded sample (``max_positive``, ``max_unlabelled``,
-the rows of smallest id hash); every text is scored whole.
+below zero by overfitting. Training reads a bounded sample of the labelled rows, those of smallest
+id hash: ``max_positive`` toxic ones, and ``max_unlabelled`` taken without looking at their label, which
+are the unlabelled texts; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -133,16 +134,18 @@ def _trained(id_col: str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 2000, max_unlabelled: int = 6000) -> ToxicityModel:
     """A model from rows whose crc32(doc_id) mod 5 is not 0. ``labels`` has ``doc_id, toxic``.
 
-    Only confirmed toxic rows serve as labelled; the unlabelled sample is drawn from all documents.
-    The class prior is the share of toxic rows among the labelled training rows.
+    Only confirmed toxic rows serve as labelled. The unlabelled sample is drawn from all rows of
+    ``labels``, toxic or not, so the class prior, the share of toxic rows among them, is its own.
+    Ids that are null or no document's, and null marks, are not read; of several marks of an id the
+    highest counts; repeated documents count each; null, empty and very long texts are whole texts;
+    without a toxic row, or with empty tables, every score is near 0; further columns are not read.
     """
     marked = labels.filter("doc_id is not null and toxic is not null").filter(_trained("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = marked.agg(F.count("*"), F.sum("toxic")).first()
     prior = (toxic or 0) / total if total else 0.0
     pick = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    here = docs.select("doc_id").filter("doc_id is not null").filter(_trained("doc_id"))
     p = pick(marked.filter("toxic = 1").select("doc_id"), max_positive).withColumn("positive", F.lit(True))
-    u = pick(here.distinct(), max_unlabelled).withColumn("positive", F.lit(False))
+    u = pick(marked.select("doc_id"), max_unlabelled).withColumn("positive", F.lit(False))
     # At most max_positive + max_unlabelled ids: a bounded side.
     rows = docs.select("doc_id", "text").join(F.broadcast(p.unionAll(u)), "doc_id").select("positive", "text")
 
@@ -178,7 +181,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
+    """``docs`` without the rows that score 0.5 or more, with all their columns, whatever their names.
+
+    Null and empty texts have the score of the bias, very long ones are read whole; rows without an
+    id and repeated rows are judged like others; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
