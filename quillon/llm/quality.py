@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, max_target: int = 4000, buckets: i
 
 
 def gumbel(doc_id: int | None, seed: int) -> float:
-    raw = zlib.crc32(f"{seed}:{doc_id}".encode()) << 21 | zlib.crc32(f"{doc_id}:{seed}".encode()) >> 11
+    raw = xxhash.xxh64_intdigest(str(doc_id), seed) >> 11
     return -math.log(-math.log((raw + 0.5) / (1 << 53)))
 
 
@@ -125,7 +126,8 @@ def importance_resample(docs: DataFrame, labels: DataFrame, fraction: float | No
 
     The sample has ``fraction`` of the rows (default: the share of good rows among labelled ones);
     rows that share the last key, such as repeats of a row, are selected together. Null and empty
-    texts have no n-grams and log ratio 0; an empty table gives no rows; further columns are not read.
+    texts have no n-grams and log ratio 0, very long ones count whole; a null id has a noise of its
+    own; an empty table gives no rows; further columns, whatever their names, are not read.
     """
     ratio, share = train(docs, labels, max_target)
     rows = materialize(score(docs, ratio, seed), "quality")
