@@ -1,14 +1,14 @@
 """Byte-balanced sharding by histogram sort.
 
-Rows are ordered by ``(xxhash64(text), doc_id)``. The boundaries between shards are found without
+Rows are ordered by ``(xxhash64(text), doc_id, number of the row)``. The boundaries between shards are found without
 sorting: every round counts the exact bytes and rows that lie below a set of candidate boundaries
 over all partitions, and the brackets around each target shrink to the candidates next to it.
 When every splitter is within tolerance, the rows move once, into ranges that are finer than
 shards, so that no task ever holds a whole shard.
 
 Equal texts are neighbours in this order. A splitter falls between two groups of equal texts where
-one such place is within the tolerance, and inside a group (by ``doc_id``) only where none is, as
-for a group larger than a shard.
+one such place is within the tolerance, and inside a group (by ``doc_id``, then by a number that each row
+gets when the keys are written) only where none is, as for a group larger than a shard.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, materialize
 
 _HALF = 1 << 63
-_LOW = 1 << 64
+#: Keys have three parts of 64 bits; below the first lie this many keys, in all this many.
+_LOW, _ALL = 1 << 128, 1 << 192
 
 
 def text_size(text: Column) -> Column:
@@ -35,20 +36,16 @@ def text_crc32(text: Column) -> Column:
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary")).cast("long")
 
 
-def _packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Signed pairs as 16-byte strings in the same order."""
-    both = np.empty((len(high), 2), dtype=">u8")
-    both[:, 0] = high.astype(np.int64).view(np.uint64) ^ np.uint64(_HALF)
-    both[:, 1] = low.astype(np.int64).view(np.uint64) ^ np.uint64(_HALF)
-    return np.ascontiguousarray(both).view("S16").ravel()
-
-
 def _probe_bytes(probes: list[int]) -> np.ndarray:
-    return np.frombuffer(b"".join(p.to_bytes(16, "big") for p in probes), dtype="S16")
+    return np.frombuffer(b"".join(p.to_bytes(24, "big") for p in probes), dtype="S24")
 
 
 def _keys_of(batch: pa.RecordBatch) -> np.ndarray:
-    return _packed(batch.column("h").to_numpy(zero_copy_only=False), batch.column("k").to_numpy(zero_copy_only=False))
+    """The rows' signed parts as 24-byte strings in the same order."""
+    parts = np.empty((batch.num_rows, 3), dtype=">u8")
+    for i, name in enumerate("hku"):
+        parts[:, i] = batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(_HALF)
+    return np.ascontiguousarray(parts).view("S24").ravel()
 
 
 def _counts(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
@@ -64,7 +61,7 @@ def _counts(keys: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
         used = np.flatnonzero(rows)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(size[used]), pa.array(rows[used])], ["at", "size", "n"])
 
-    found = map_arrow(keys.select("h", "k", "size"), count, "at long, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n")).collect()
+    found = map_arrow(keys.select("h", "k", "u", "size"), count, "at long, size long, n long").groupBy("at").agg(F.sum("size"), F.sum("n")).collect()
     size, rows = np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
     for at, s, n in found:
         size[at], rows[at] = s, n
@@ -75,11 +72,11 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], fan: int
     """For each ``(bytes below, tolerance)`` the composite key of a boundary.
 
     Brackets shrink ``fan``-fold a round, first over hashes and, where a single hash's group holds
-    the target and both its ends are out of tolerance, over ids inside that group.
+    the target and both its ends are out of tolerance, over ids and rows inside that group.
     """
     # state: low key, bytes below it, high key, bytes below it; low's rows lie left of the target
     total = keys.agg(F.sum("size")).first()[0] or 0
-    open_ = {i: (0, 0, 1 << 128, total) for i in range(len(targets))}
+    open_ = {i: (0, 0, _ALL, total) for i in range(len(targets))}
     done: dict[int, int] = {}
 
     def settle(i: int) -> None:
@@ -113,7 +110,7 @@ def find_splitters(keys: DataFrame, targets: list[tuple[float, float]], fan: int
                     break
             open_[i] = (lo, lo_b, hi, hi_b)
             settle(i)
-    return [min(done[i], (1 << 128) - 1) for i in range(len(targets))]
+    return [min(done[i], _ALL - 1) for i in range(len(targets))]
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, with_text: bool = False) -> DataFrame:
@@ -122,9 +119,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
     The law is ``bytes``: each shard's bytes are within ``tolerance`` of an even share at each
     boundary, or as near as the row at the boundary allows. ``slot`` counts from 0 without gaps in
     the order of ``(text hash, doc_id)``. ``grown_shard`` is null under this law. A null text has
-    no bytes and size 1; null ids order first; rows that are wholly equal take slots in any
-    order; an empty table gives no rows; further columns are not read. ``with_text`` adds the
-    row's own ``text``.
+    no bytes and size 1; very long texts count whole; null ids order first; rows that are wholly
+    equal are told apart by the order in which the keys were written, so they can lie in different
+    shards; an empty table gives no rows; further columns, whatever their names, are not read.
+    ``with_text`` adds the row's own ``text``.
     """
     spark = docs.sparkSession
     carried = ["text"] if with_text else []
@@ -133,7 +131,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), text_size(text).alias("size"), text_crc32(text).alias("text_crc32"),
             F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), *([text.alias("text")] if with_text else []),
-        ).withColumn("k", F.coalesce("doc_id", F.lit(-_HALF))),
+        ).withColumns({"k": F.coalesce("doc_id", F.lit(-_HALF)), "u": F.monotonically_increasing_id()}),
         "shard",
     )
     total = keys.agg(F.sum("size")).first()[0] or 0
@@ -154,9 +152,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, tolerance: float = 0.001,
             at = np.searchsorted(edges, _keys_of(b), side="right").astype(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at), pa.array(start_of[at])], [*b.schema.names, "range", "start"])
 
-    kind = "doc_id long, size long, text_crc32 long, h long, " + ("text string, " if with_text else "") + "k long, range long, start long"
+    kind = "doc_id long, size long, text_crc32 long, h long, " + ("text string, " if with_text else "") + "k long, u long, range long, start long"
     placed = map_arrow(keys, place, kind)
-    rank = F.row_number().over(W.partitionBy("range").orderBy("h", "k", "size", "text_crc32"))
+    rank = F.row_number().over(W.partitionBy("range").orderBy("h", "k", "u"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("range") / fine).cast("int").alias("shard"),
         (F.col("start") + rank - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carried,
@@ -171,6 +169,11 @@ def _counts_at(keys: DataFrame, cuts: list[int]) -> list[int]:
 
 
 def write_shards(docs: DataFrame, path: str, **kw: object) -> None:
-    """Write the texts of ``docs`` under ``path``, one folder per shard, in slot order inside files."""
+    """Write the texts of ``docs`` under ``path``, one folder per shard, in slot order inside files.
+
+    Every row is written, with its null, empty or very long text, its null id, and as often as it
+    occurs; an empty table makes an empty folder; columns other than the two are left out. The texts
+    are exchanged once: a task that has a range of a shard writes it.
+    """
     placed = shard_by_bytes(docs, with_text=True, **kw).select("doc_id", "shard", "slot", "text")
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
