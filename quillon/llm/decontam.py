@@ -17,10 +17,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, materialize
 
 WINDOW = 8
 SAMPLE = 8
@@ -222,8 +223,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     ``ITEMS``; these columns have names of their own, so none of ``docs``' columns is lost.
 
     A benchmark of any size works: it is read in blocks of bounded size, each of which passes once
-    over the texts and adds to the spans found before. Null and empty texts have no words; an empty
-    benchmark hits nothing; a null item id counts as empty text; items with one id are one item.
+    over the texts and adds to the spans found before; between two passes the texts are written, so
+    no stage holds two blocks. Null and empty texts have no words, very long ones are searched whole;
+    rows with a null id and repeated rows count each; an empty benchmark hits nothing; a null item id
+    counts as empty text; items with one id are one item.
     """
     held = [f.name for f in docs.schema.fields if f.name not in (WORDS, SPANS, ITEMS)]
     out = docs.select(*held).withColumns({WORDS: F.lit(0).cast("long"), SPANS: F.array().cast("array<struct<start:int,end:int>>"), ITEMS: F.array().cast("array<string>")})
@@ -233,9 +236,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
     while True:
         after = next(blocks, None)
         finish = None if after is not None or clean_below is None else _cleaner(text_col, clean_below)
-        out = map_arrow(out, _search_block(Phrases(block, window), text_col, finish), schema)
+        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))  # of block_bytes of text at most
+        out = map_arrow(out, _search_block(phrases, text_col, finish), schema)
         if after is None:
             return out
+        out = materialize(out, "contamination")
         block = after
 
 
@@ -265,10 +270,9 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search_block(phrases: Phrases, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None):  # noqa: ANN202
-    """The closure carries the block: its size is bounded by ``block_bytes``."""
-
+def _search_block(held: Broadcast, text_col: str, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = held.value
         get = phrases.vocab.get
         waiting: list[pa.RecordBatch] = []
         numbers: list[np.ndarray] = []
@@ -312,7 +316,13 @@ def _search_block(phrases: Phrases, text_col: str, finish: Callable[[pa.RecordBa
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", min_items: int = 2) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row."""
+    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row.
+
+    Null and empty texts have no words, very long ones are searched whole; null ids stay null, repeated
+    rows give repeated rows; an item that occurs several times, or under several rows, counts once; an
+    empty table gives no rows, an empty benchmark no hits; further columns, whatever their names, are
+    not read.
+    """
     rows = contamination(docs.select(F.col(id_col).alias("doc_id"), "text"), benchmark, window)
     size = F.aggregate(SPANS, F.lit(0).cast("long"), lambda a, s: a + s.end - s.start)
     return rows.select(
