@@ -13,11 +13,14 @@
 6. The reported classes that share a shard are compared exactly, so each pair found counts for both
    ends. A pair is counted in one shard only, the lowest that holds both. Blocks report degrees and
    spanning forests, so a group of n close vectors costs about n rows.
+7. The recall is audited: a sample's links, by brute force, against those counted.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_components, map_arrow, materialize
+from .common import discard, local_components, map_arrow, materialize
 from .components import connected_components
 
 #: Rows that k-means reads, centroids that are sent to tasks, rows of a block.
@@ -188,9 +191,10 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
     return rows, rows.filter("fit").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
-def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 32, block: int = BLOCK) -> DataFrame:
+def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 32, block: int = BLOCK, passing: list[DataFrame] | None = None) -> DataFrame:
     """``node, other, degree``: for each class ``rep`` weighted counts of linked vectors (``other``
-    null) and links of a spanning forest (``degree`` null). Classes are ``rep, embedding, n``."""
+    null) and links of a spanning forest (``degree`` null). Classes are ``rep, embedding, n``.
+    ``passing`` collects the tables that may go once the result has been written."""
     many = classes.count()
     dims = [r[0] for r in classes.select(F.size("embedding")).distinct().collect()]
     centres: dict[int, np.ndarray] = {}
@@ -259,6 +263,8 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
     again = materialize(members.join(linked, "rep"), "again")
     columns = ["rep", "embedding", "n", "shards"]
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    if passing is not None:
+        passing += [assigned, members, linked, again]
     pairs = again.select("shard", "part", every.alias("slice"), *columns, F.lit(False).alias("asks")).unionAll(
         again.select("shard", every.alias("part"), F.col("part").alias("slice"), *columns, F.lit(True).alias("asks"))
     )
@@ -295,13 +301,17 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
 
     Links join vectors of cosine ``threshold`` or more, in double precision, equal vectors
     included. Vectors that are null, empty or zero or hold a null or non-finite component link with
-    nothing, nor do vectors of different length or rows without an id. ``component_id`` is the
-    smallest ``vec_id`` reachable, ``kept`` whether it is the row's own. An empty table gives no
-    rows; further columns are not read.
+    nothing, nor do vectors of different length or rows without an id. Repeated rows are linked
+    vectors; ``component_id`` is the smallest ``vec_id`` reachable, ``kept`` whether it is the row's
+    own. Very long vectors are compared whole; an empty table gives no rows; further columns,
+    whatever their names, are not read.
     """
     rows, classes = vector_classes(vectors, id_col, vec_col)
     rows, classes = materialize(rows, "vectors"), materialize(classes, "classes")
-    found = materialize(near_links(classes, threshold, **search), "links")
+    passing: list[DataFrame] = []
+    found = materialize(near_links(classes, threshold, passing=passing, **search), "links")
+    for df in passing:
+        discard(df)
     degree = found.filter("degree is not null").groupBy(F.col("node").alias("rep")).agg(F.sum("degree").alias("d"))
     component = connected_components(found.filter("other is not null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     full = classes.join(degree, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
@@ -311,36 +321,40 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
     return joined.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def audit_recall(vectors: DataFrame, threshold: float = 0.95, every: int = 50, block: int = 2000) -> tuple[int, int]:
-    """Links of the rows whose id is divisible by ``every`` against all rows, by brute force in
-    blocks of queries, and how many of them :func:`embedding_components` counted."""
-    rows, _ = vector_classes(vectors, "vec_id", "embedding")
-    asked = rows.filter(f"fit and vec_id % {every} = 0").select("vec_id", "embedding")
-    found = {r[0]: r[1] for r in embedding_components(vectors, threshold).filter(f"vec_id % {every} = 0").select("vec_id", "n_links").collect()}
-    totals = [0, 0]
+def audited_components(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", asked: int = 2000, enough: float = 0.9, **search: float) -> DataFrame:
+    """:func:`embedding_components` with its measured ``recall`` in every row.
 
-    def settle(waiting: list) -> None:
-        ids, q = np.array([r[0] for r in waiting]), _unit(np.array([r[1] for r in waiting]))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``asked`` vectors (those of smallest id hash) are compared with all by brute force; ``recall`` is
+    the share of their links that were counted, 1 where they have none. Below ``enough`` a warning
+    is raised.
+    """
+    out = materialize(embedding_components(vectors, threshold, id_col, vec_col, **search), "components")
+    total, found = audit_recall(vectors, out, threshold, id_col, vec_col, asked)
+    recall = found / total if total else 1.0
+    if recall < enough:
+        warnings.warn(f"{recall:.3f} of the links of {asked} audited vectors were found", stacklevel=2)
+    return out.withColumn("recall", F.lit(recall))
+
+
+def audit_recall(vectors: DataFrame, components: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", asked: int = 2000) -> tuple[int, int]:
+    """Links of ``asked`` vectors with all others, by brute force, and how many of them ``components`` counts."""
+    rows = vector_classes(vectors, id_col, vec_col)[0].filter("fit")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(asked).select("vec_id", "embedding").collect()
+    parts = []
+    for d in {len(r[1]) for r in sample}:
+        ids, q = np.array([r[0] for r in sample if len(r[1]) == d]), _unit(np.array([r[1] for r in sample if len(r[1]) == d]))
+
+        def count(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(q), np.int64)
             for b in batches:
                 if b.num_rows:
-                    x = _unit(np.stack(b.column("embedding").to_numpy(zero_copy_only=False)))
-                    total += (q @ x.T >= threshold).sum(1)
+                    total += (q @ _unit(np.stack(b.column("embedding").to_numpy(zero_copy_only=False))).T >= threshold).sum(1)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["vec_id", "n"])
 
-        same = rows.filter("fit").filter(F.size("embedding") == q.shape[1]).select("embedding")
-        for i, n in map_arrow(same, count, "vec_id long, n long").groupBy("vec_id").agg(F.sum("n") - 1).collect():
-            totals[0] += n
-            totals[1] += min(n, found.get(i, 0))
-
-    waiting: dict[int, list] = {}
-    for r in asked.toLocalIterator():
-        mine = waiting.setdefault(len(r[1]), [])
-        mine.append(r)
-        if len(mine) == block:
-            settle(waiting.pop(len(r[1])))
-    for mine in waiting.values():
-        settle(mine)
-    return totals[0], totals[1]
+        parts.append(map_arrow(rows.filter(F.size("embedding") == d).select("embedding"), count, "vec_id long, n long"))
+    if not parts:
+        return 0, 0
+    true = reduce(DataFrame.unionAll, parts).groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))  # not with itself
+    counted = components.select("vec_id", "n_links").join(F.broadcast(true), "vec_id")  # at most ``asked`` rows
+    got = counted.agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
+    return got[0] or 0, got[1] or 0

@@ -44,7 +44,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.embedding_components(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+    return ann.audited_components(_read(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
