@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -14,26 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what the session names in ``spark.checkpoint.dir``. Where that is unset a
-    temporary folder serves in local mode; on a cluster it must be set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
-    return _LOCAL_DIRS[app]
-
+from ..sources.store import shared_folder
 
 #: Rows and bytes of one Arrow batch: texts are long, and a batch is held several times over.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -67,7 +47,7 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     computes it once.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/quillon-{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillon-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillon_path = path  # noqa: SLF001

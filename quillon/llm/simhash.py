@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_components, map_arrow, materialize
+from .common import discard, local_components, map_arrow, materialize
 from .components import connected_components
 
 SEED = 42
@@ -319,7 +319,10 @@ def near_copy_rows(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, i
 
     found = connected_components(_either(units, ["component", "k1", "k2"], verify, "u long, v long"))
     final = classes.join(found, "node", "left").groupBy(F.coalesce("component", "node").alias("class")).agg(F.min("who").alias("who"))
-    return materialize(final.select("who.*"), "kept")
+    kept = materialize(final.select("who.*"), "kept")
+    for df in (classes, groups):
+        discard(df)
+    return kept
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

@@ -58,7 +58,7 @@ def test_base_spans_equal_the_patterns():
     for _ in range(20_000):
         t = "".join(random.choice(parts) for _ in range(random.randint(0, 25)))
         assert pii.base_spans(t) == {k: [m.span() for m in re.finditer(p, t) if ok(m[0])] for k, (p, ok) in PLAIN.items()}
-    assert pii.base_spans("9" * 200_000 + ".1.2.3") == {k: [] for k in pii.KINDS}
+    assert pii.base_spans("9" * 200_000 + ".1.2.3") == {k: [] for k in pii.BASE_KINDS}
 
 
 def test_pii(docs, none):
@@ -66,7 +66,7 @@ def test_pii(docs, none):
     assert len(got) == 10 and (got[7]["n_email"], got[7]["n_ip"], got[7]["n_card"], got[7]["n_phone"]) == (1, 1, 1, 1)
     line = "email:5:26,ip:73:83,card:52:71,phone:30:48"
     assert got[7]["spans"].startswith("email:5:26,ip:") and got[3]["spans"] == "" and got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert got[7]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in pii.base_spans(ROWS[6][1])[k]).encode()).hexdigest() and line.count(",") == 3
+    assert got[7]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in pii.BASE_KINDS for a, b in pii.base_spans(ROWS[6][1])[k]).encode()).hexdigest() and line.count(",") == 3
     clean = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
     assert clean[7] == "mail [EMAIL] or [PHONE], [CARD], [IP]" and clean[3] is None and clean[1] == ROWS[0][1]
     assert pii.pii_spans(none).count() == 0
@@ -120,6 +120,42 @@ def test_toxicity_ignores_held_out_labels(spark):
     assert toxicity.train(texts, labels).weights == toxicity.train(texts, flipped).weights
 
 
+def test_quality_against_brute_force(spark):
+    """Log ratios and keys from plain counts over the hashed n-grams, and the sample they give."""
+    texts, labels, _ = _marked(spark, 120)
+    rows = quality.importance_resample(texts, labels, fraction=0.3).collect()
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    hasher = quality._Hasher(quality.BUCKETS)
+    grams = {r["doc_id"]: hasher(r["text"]).tolist() for r in texts.collect()}
+    chosen = {i for i, q in mark.items() if q == 1 and i in grams and zlib.crc32(str(i).encode()) % 5 != 0}
+    raw, target = Counter(g for v in grams.values() for g in v), Counter(g for i in chosen for g in grams[i])
+    n_raw, n_target = sum(raw.values()) + quality.BUCKETS, sum(target.values()) + quality.BUCKETS
+    want = {i: sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in v) for i, v in grams.items()}
+    assert all(r["log_ratio"] == pytest.approx(want[r["doc_id"]], abs=1e-6) for r in rows)
+    keys = {i: w + quality.gumbel(i, 17) for i, w in want.items()}
+    best = sorted(keys, key=lambda i: -keys[i])[: round(0.3 * len(rows))]
+    assert {r["doc_id"] for r in rows if r["selected"]} == set(best)
+
+
+def test_risk_of_positive_and_unlabelled_against_plain_sums():
+    """The fitted weights against descent on the corrected risk written out, with finite differences."""
+    rng = np.random.default_rng(3)
+    rows = lambda n, p: [np.flatnonzero(rng.random(40) < p).astype(np.int32) for _ in range(n)]
+    lean, plain = np.r_[np.full(6, 0.7), np.full(34, 0.1)], np.r_[np.full(6, 0.02), np.full(34, 0.1)]
+    positive, unlabelled = rows(60, lean), rows(150, plain) + rows(20, lean)
+    model = toxicity.ToxicityModel.fit(positive, unlabelled, 0.1)
+    assert set(model.weights) <= set(range(6)) and len(model.weights) >= 4
+
+    def risk(weights, bias):
+        z = lambda sets: np.array([bias + sum(weights.get(int(f), 0) for f in s) for s in sets])
+        p, u = z(toxicity.without_copies(positive)), z(toxicity.without_copies(unlabelled))
+        minus = lambda x: np.log1p(np.exp(x)).mean()
+        return 0.1 * np.log1p(np.exp(-p)).mean() + max(0.0, minus(u) - 0.1 * minus(p))
+
+    at = risk(model.weights, model.bias)
+    assert at < risk({}, math.log(0.1 / 0.9)) and all(at <= risk({**model.weights, f: w + d}, model.bias) + 0.01 for f, w in model.weights.items() for d in (-1, 1))
+
+
 def test_quality(spark, docs, none):
     texts, labels, bad = _marked(spark)
     rows = quality.importance_resample(texts, labels, fraction=0.5).collect()
@@ -259,8 +295,10 @@ def test_embeddings_against_brute_force(spark):
     assert [got[i]["component_id"] for i in range(len(x))] == label.tolist()
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905)) and got[907]["component_id"] == 906
     assert ann.embedding_components(df.limit(0)).count() == 0
-    true, found = ann.audit_recall(df, every=10)
-    assert found >= 0.9 * true > 0
+    audited = ann.audited_components(df, asked=100).collect()
+    assert {r["recall"] for r in audited} == {1.0} and len(audited) == len(got) and ann.audit_recall(df, ann.embedding_components(df), asked=100)[0] > 0
+    with pytest.warns(UserWarning, match="found"):
+        ann.audited_components(df, threshold=0.95, asked=100, enough=1.1).count()
 
 
 def test_small_blocks_find_the_same(spark):
@@ -284,6 +322,11 @@ def test_sharding(spark, docs, none):
         by.setdefault(r["shard"], []).append(r)
     assert sorted(by) == list(range(16)) and all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
     assert max(abs(sum(r["size"] for r in v) - total / 16) for v in by.values()) < 120
+    same = spark.range(400).selectExpr("cast(null as long) as doc_id", "'one text of many copies' as text").unionAll(spark.range(400).selectExpr("id", "concat('text ', id)"))
+    sizes = Counter()
+    for r in sharding.shard_by_bytes(same, 8).collect():
+        sizes[r["shard"]] += r["size"]
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 60
     odd = sharding.shard_by_bytes(docs, 4).collect()
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in ROWS)
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in odd) == want and {r["law"] for r in odd} == {"bytes"}
@@ -437,6 +480,33 @@ def test_neighbouring_numbers_are_each_proposed_and_found():
     assert found >= 0.95 * total > 400
 
 
+def test_added_spans_in_text_that_others_wrote():
+    """Spans that the base patterns miss, in sentences that the generator of examples did not write."""
+    wanted = [
+        ('export API_TOKEN="%s" before the build', "secret", "4f2a9c0e77b1d35a6e8894c2f013ab7d5e6f9012"), ("TOKEN = '%s'!! AND MORE", "secret", "9F2A9C0E77B1D35A6E8894C2F013AB7D5E6F9012"),
+        ("the password: %s was rotated", "secret", "hunter2Horse9"), ("Authorization: Bearer %s", "secret", "eyJhbGciOiJIUzI1NiJ9abcDEF0123456789"), ("set secret = %s;", "secret", "Zk3QmT81vRb0LwYx5NcE"),
+        ("ring me on %s after six", "phone", "(617) 555-0142"), ("Tel. %s or by post", "phone", "212-555-0187"), ("our fax is %s.", "phone", "0049 891 5550123"),
+        ("write to %s for a copy", "email", "jane.roe (at) example (dot) org"), ("contact %s today", "email", "press[at]example.com"), ("the host %s answered", "ip", "10.20[.]30.41".replace("10.20[.]30.41", "10[.]20[.]30[.]41")),
+        ("charge card %s now", "card", "4111.1111.1111.1111"),
+    ]
+    clean = ["commit 4f2a9c0e77b1d35a6e8894c2f013ab7d5e6f9012 fixed it", "see src/quill/module_2/file_name and v3-20240101-final", "sha256 checksum 9c0e77b1d35a6e8894c2f013ab7d5e6f90129c0e77b1d35a6e8894c2f013ab7d", "ISBN 9780306406157 has 312 pages", "from 2019-03-04 to 2020-05-06", "version 3.14.15.926 of the tool", "order 9807915762804490 shipped", "look at home. dot the letter", "between 1200 and 1350 units, 17 at most"]
+    texts = [t % v for t, _, v in wanted] + clean
+    _, full = pii.find_spans(texts, pii.span_model())
+    found = [{(k, t[a:b]) for k, v in f.items() for a, b in v} for t, f in zip(texts, full, strict=True)]
+    hits = sum((k, v) in f for (_, k, v), f in zip(wanted, found, strict=False))
+    wrong = sum(map(len, found)) - hits
+    assert hits >= 0.9 * len(wanted) and wrong <= 1
+
+
+@pytest.mark.parametrize("text", ["dot" + " " * 1_000_000, "a at " * 200_000, "a@" * 300_000, "a1" * 500_000, "9" * 1_000_000, "+" * 1_000_000, "a:" * 500_000, '"=' * 500_000])
+def test_very_long_awkward_texts_take_no_longer_than_their_length(text):
+    import time
+
+    began = time.process_time()
+    pii.find_spans([text], pii.span_model())
+    assert time.process_time() - began < 8  # about 0.1 to 1 s; squares of the length would take hours
+
+
 def test_number_runs_equal_brute_force():
     rng = random.Random(22)
     parts = ["1", "22", "333", "4444", "55555", " ", "-", ".", "/", "(", ")", " - ", "   ", "a", "+", ", "]
@@ -449,7 +519,7 @@ def test_number_runs_equal_brute_force():
             for b in range(a + 7, len(t) + 1):
                 s = t[a:b]
                 n = sum(map(str.isdigit, s))
-                if n <= 19 and re.fullmatch(r"[0-9]+(?:[ ().\-/]{1,3}[0-9]+)*", s) and not re.search("[0-9A-Za-z]$", t[:a]) and not re.match("[0-9A-Za-z]", t[b:]):
+                if n <= 19 and len(re.findall("[0-9]+", s)) <= pii.GROUPS and re.fullmatch(r"[0-9]+(?:[ ().\-/]{1,3}[0-9]+)*", s) and not re.search("[0-9A-Za-z]$", t[:a]) and not re.match("[0-9A-Za-z]", t[b:]):
                     want |= {(k, a, b) for k, low, high in (("card", 12, 19), ("phone", 7, 15)) if low <= n <= high}
         assert bare == want
 
