@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,10 +16,9 @@ def tokens(text: Column) -> Column:
 
 
 def query_tokens(text: str) -> list[str]:
-    """The tokens of a query, distinct, in order of appearance."""
-    runs = re.split(r"[\W_]+", text)
-    out = [t.lower() for t in runs if len(t.encode()) >= 2 and all(c.isalnum() or unicodedata.category(c)[0] in "LMN" for c in t)]
-    return list(dict.fromkeys(out))
+    """The tokens of a query, distinct, in order of appearance: the same runs as :func:`tokens`."""
+    runs = regex.split(r"[^\p{Alphabetic}\p{N}]+", text)
+    return list(dict.fromkeys(t.lower() for t in runs if len(t.encode()) >= 2))
 
 
 def idf(n: Column, df: Column) -> Column:

@@ -60,6 +60,7 @@ def batch_nearest(df: DataFrame, field: str, queries: DataFrame, query_field: st
         ids, asked = pa.array([r[0] for r in rows], to_arrow_type(queries.schema["_id"].dataType)), np.array([r[1] for r in rows], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: tuple[pa.Array, np.ndarray, np.ndarray] | None = None  # ids, each query's best rows of them and scores
             for b in batches:
                 lists = b.column("v")
                 fits = np.flatnonzero(np.diff(np.asarray(lists.offsets)) == asked.shape[1])
@@ -67,14 +68,23 @@ def batch_nearest(df: DataFrame, field: str, queries: DataFrame, query_field: st
                     continue
                 chosen = b.take(pa.array(fits))
                 vectors = np.asarray(chosen.column("v").flatten(), np.float64).reshape(-1, asked.shape[1])
-                s = _scores(vectors, asked, metric)
-                k = min(top_k, s.shape[1])
-                order = chosen.column("_id").to_numpy(zero_copy_only=False)
-                best = np.lexsort((np.broadcast_to(np.argsort(np.argsort(order, kind="stable")), s.shape), -s), axis=1)[:, :k]
-                flat = best.ravel()
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.repeat(np.arange(len(asked)), k))), chosen.column("_id").take(pa.array(flat)), pa.array(np.take_along_axis(s, best, 1).ravel())], ["query_id", "_id", "score"]
-                )
+                s, found = _scores(vectors, asked, metric), chosen.column("_id")
+                rows = np.broadcast_to(np.arange(len(found)), s.shape)
+                if best is not None:
+                    rows, s = np.concatenate((best[1], rows + len(best[0])), 1), np.concatenate((best[2], s), 1)
+                    found = pa.concat_arrays([best[0], found])
+                place = np.argsort(np.argsort(found.to_numpy(zero_copy_only=False), kind="stable"))[rows]
+                top = np.lexsort((place, -s), axis=1)[:, :top_k]
+                rows, s = np.take_along_axis(rows, top, 1), np.take_along_axis(s, top, 1)
+                kept, at = np.unique(rows, return_inverse=True)
+                best = found.take(pa.array(kept)), at.reshape(rows.shape), s
+            if best is not None:
+                at = best[1]
+                for q in range(0, len(at), 500):
+                    part = at[q : q + 500]
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(np.repeat(np.arange(q, q + len(part)), part.shape[1]))), best[0].take(pa.array(part.ravel())), pa.array(best[2][q : q + 500].ravel())], ["query_id", "_id", "score"]
+                    )
 
         return df.select("_id", F.col(field).alias("v")).filter("v is not null").mapInArrow(run, f"query_id {q_kind}, _id {id_kind}, score double")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import B, K1, bm25_term, idf, query_tokens, tokens
@@ -27,30 +27,60 @@ def corpus_stats(df: DataFrame, field: str) -> DataFrame:
     return lengths(df, field).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_len"))
 
 
-def _frequency(token: str) -> Column:
-    return F.size(F.filter("__tokens", lambda x: x == token))
+def index_postings(df: DataFrame, field: str) -> DataFrame:
+    """``token, _id, tf, len``: the postings of a text field with each document's number of tokens."""
+    held = df.filter(F.col(field).isNotNull()).select("_id", tokens(F.col(field)).alias("__t"))
+    each = held.select("_id", F.size("__t").cast("long").alias("len"), F.explode("__t").alias("token"))
+    return each.groupBy("token", "_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+
+
+def _best(df: DataFrame, top_k: int) -> DataFrame:
+    return df.orderBy(F.desc("score"), F.asc("_id")).limit(min(top_k, INT_MAX))
+
+
+def _none(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.lit(0.0)).filter(F.lit(False))
+
+
+#: Best documents up to this many are sent to the tasks that read them.
+FEW = 10_000
+
+
+def search_postings(df: DataFrame, found: DataFrame, n: int, total: int, query: str, top_k: int = 10, filter: object = None, k1: float = K1, b: float = B) -> DataFrame:  # noqa: A002
+    """:func:`search_text` from stored postings: ``found`` holds those of the query's tokens, ``n`` and
+    ``total`` are the corpus' documents and tokens. Only the best documents are read."""
+    if top_k <= 0 or not n or not query_tokens(query):
+        return _none(df)
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row for each query token
+    term = bm25_term(F.col("tf"), F.col("len"), F.lit(total / n), idf(F.lit(n), F.col("df")), k1, b)
+    scored = found.join(F.broadcast(counts), "token").groupBy("_id").agg(F.sum(term).alias("score"))
+    narrowed = compile_filter(filter, df.schema)
+    if narrowed is not None:
+        scored = scored.join(df.filter(narrowed).select("_id"), "_id", "left_semi")
+    best = _best(scored, top_k)
+    return _best(df.join(F.broadcast(best) if top_k <= FEW else best, "_id").select(*df.columns, "score"), top_k)
 
 
 def search_text(df: DataFrame, field: str, query: str, top_k: int = 10, filter: object = None, k1: float = K1, b: float = B) -> DataFrame:  # noqa: A002
     """``df``'s best documents with ``score``: any query token counts, scores add up, best first,
     ties by ``_id``. ``filter`` narrows the candidates, not the corpus statistics.
 
-    Frequencies of the few query tokens are plain columns, so the only exchanges are the one-row
-    statistics and the final top-k.
+    Without an index every text is read. The frequencies of the few query tokens come from one pass
+    over a text's tokens; as the output of a generator they are computed once, not in every filter
+    and term that names them. The only exchanges are the one-row statistics and the final top-k.
     """
     asked = query_tokens(query)
     if top_k <= 0 or not asked:
-        return df.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-    tfs = [f"__tf{i}" for i in range(len(asked))]
-    base = df.filter(F.col(field).isNotNull()).withColumn("__tokens", tokens(F.col(field)))
-    base = base.withColumn("__len", F.size("__tokens")).withColumns({c: _frequency(t) for c, t in zip(tfs, asked, strict=True)})
-    stats = base.agg(F.count(F.lit(1)).alias("__n"), F.avg("__len").alias("__avg"), *(F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in tfs))
-    candidates = base
+        return _none(df)
     narrowed = compile_filter(filter, df.schema)
-    if narrowed is not None:
-        candidates = candidates.filter(narrowed)
-    candidates = candidates.filter(reduce(lambda x, y: x | y, (F.col(c) > 0 for c in tfs)))
-    joined = candidates.crossJoin(F.broadcast(stats))  # one row of statistics
-    terms = [bm25_term(F.col(c), F.col("__len"), F.col("__avg"), idf(F.col("__n"), F.col(f"{c}_df")), k1, b) for c in tfs]
-    scored = joined.withColumn("score", reduce(lambda x, y: x + y, terms)).select(*df.columns, "score")
-    return scored.orderBy(F.desc("score"), F.asc("_id")).limit(min(top_k, INT_MAX))
+    candidate = F.lit(True) if narrowed is None else F.coalesce(narrowed, F.lit(False))
+    frequency = lambda t: F.size(F.filter("__t", lambda x: x == t))
+    kept = df.filter(F.col(field).isNotNull()).select(*df.columns, candidate.alias("__candidate"), tokens(F.col(field)).alias("__t"))
+    once = F.array(F.struct(F.size("__t").alias("len"), F.array(*map(frequency, asked)).alias("tf")))
+    base = kept.select(*df.columns, "__candidate", F.explode(once).alias("__f"))
+    tf = lambda i: F.col("__f.tf")[i]
+    stats = base.agg(F.count(F.lit(1)).alias("__n"), F.avg("__f.len").alias("__avg"), *(F.count_if(tf(i) > 0).alias(f"__df{i}") for i in range(len(asked))))
+    some = base.filter("__candidate").filter(reduce(lambda x, y: x | y, (tf(i) > 0 for i in range(len(asked)))))
+    joined = some.crossJoin(F.broadcast(stats))  # one row of statistics
+    terms = [bm25_term(tf(i), F.col("__f.len"), F.col("__avg"), idf(F.col("__n"), F.col(f"__df{i}")), k1, b) for i in range(len(asked))]
+    return _best(joined.withColumn("score", reduce(lambda x, y: x + y, terms)).select(*df.columns, "score"), top_k)

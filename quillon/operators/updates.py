@@ -130,7 +130,7 @@ def delete_many(df: DataFrame, filter: object = None) -> DataFrame:  # noqa: A00
 def delete_one(df: DataFrame, filter: object = None) -> DataFrame:  # noqa: A002
     found = compile_filter(filter, df.schema)
     first = (df if found is None else df.filter(found)).agg(F.min("_id").alias("__first"))
-    return df.crossJoin(F.broadcast(first)).filter(~(F.col("_id").eqNullSafe(F.col("__first")))).drop("__first")
+    return df.crossJoin(F.broadcast(first)).filter(~F.coalesce(F.col("_id") == F.col("__first"), F.lit(False))).drop("__first")  # one row
 
 
 def insert_many(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -142,6 +142,9 @@ def insert_many(df: DataFrame, new: DataFrame) -> DataFrame:
     return df.unionByName(new, allowMissingColumns=True)
 
 
-def upsert(df: DataFrame, new: DataFrame) -> DataFrame:
-    """Documents of ``new`` replace those of ``df`` with the same id, whole."""
-    return df.join(new.select("_id"), "_id", "left_anti").unionByName(new, allowMissingColumns=True)
+def upsert(df: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Documents of ``new`` replace those of ``df`` with the same id, whole. Of documents of ``new``
+    with the same id the one of greatest ``order`` counts, without ``order`` the one of greatest hash."""
+    by = F.col(order) if order else F.xxhash64(*(c for c in new.columns if c != "_id"), F.lit(0))
+    one = new.groupBy("_id").agg(F.max_by(F.struct(*(f"`{c}`" for c in new.columns)), by).alias("__d")).select("__d.*")
+    return df.join(new.select("_id"), "_id", "left_anti").unionByName(one, allowMissingColumns=True)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import EngineError
 from .functions import crypto, dynamic, ids
 from .functions.text import idf, tokens
 from .operators import find as reads
 from .operators import hybrid, knn, shape, sync, text_search, updates
 from .plans.pipeline import aggregate
 from .sources import io
+from .sources.collection import Collection, Database
+from .sources.store import shared_folder
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -462,12 +466,6 @@ def changes_since(spark: SparkSession, sf: str) -> DataFrame:
     return live.changes(table(spark, sf, "events"), {"event_type": "click"}, 100).select("_id", "event_type")
 
 
-@query("SELECT 'orders' AS collection, CASE o_orderstatus WHEN 'F' THEN 'delete' ELSE 'insert' END AS op, count(*) AS n FROM orders WHERE o_orderkey > 1000 GROUP BY 1, 2")
-def audit_filter(spark: SparkSession, sf: str) -> DataFrame:
-    log = table(spark, sf, "orders").select("_id", F.lit("orders").alias("collection"), F.when(F.col("o_orderstatus") == "F", "delete").otherwise("insert").alias("op"))
-    return reads.find(log, {"collection": "orders", "_id": {"$gt": 1000}}).groupBy("collection", "op").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT c_custkey AS _id, c_name FROM customer")
 def field_encryption(spark: SparkSession, sf: str) -> DataFrame:
     """Names sealed and opened again."""
@@ -476,9 +474,218 @@ def field_encryption(spark: SparkSession, sf: str) -> DataFrame:
     return crypto.decrypt_fields(sealed, {"c_name": "string"}, key)
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS n_valid FROM part")
 def derive_doc_id(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select(F.col("p_partkey"), ids.derived_id_column("part", F.col("p_partkey")).alias("_id"))
+    """An id for every part: none twice, each of the right form."""
+    made = table(spark, sf, "part").select(ids.derived_id_column("part", F.col("p_partkey")).alias("id"))
+    return made.agg(F.count("id").alias("n"), F.count_distinct("id").alias("n_distinct"), F.count_if(F.col("id").rlike(f"^[0-7][{ids.ALPHABET}]{{25}}$")).alias("n_valid"))
+
+
+# Ids that every client must derive alike.
+@query("SELECT * FROM (VALUES ('sku-123', '56GC678DQYWW1Z98HPYJ90WVKH'), ('sku-\u00f1-\U0001f4a1', '5NZ0PGNM2CF0BTHN0AAX8CWPAA')) v(key, _id)")
+def derive_known_ids(spark: SparkSession, sf: str) -> DataFrame:
+    keys = spark.createDataFrame([("sku-123",), ("sku-\u00f1-\U0001f4a1",)], "key string")
+    return keys.select("key", ids.derived_id_column("products", F.col("key")).alias("_id"))
+
+
+# --- collections: each query makes its own, in the folder that the session shares --------------
+
+
+def _database(spark: SparkSession) -> Database:
+    return Database(spark, f"{shared_folder(spark)}/quillon-db-{uuid.uuid4().hex}")
+
+
+def _filled(spark: SparkSession, sf: str, name: str, fields: Sequence[str], caller: str | None = None) -> Collection:
+    made = _database(spark).collection(name, caller)
+    made.insert_many(table(spark, sf, name).select("_id", *fields))
+    return made
+
+
+@query("SELECT c_custkey AS _id, CASE WHEN c_acctbal < 0 THEN 'owes' ELSE c_mktsegment END AS c_mktsegment, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer WHERE c_nationkey <> 3 UNION ALL SELECT c_custkey + 10000000, 'copy', 1.0 FROM customer WHERE c_custkey % 10 = 0")
+def collection_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Insert, update, delete and insert again; read what is left."""
+    c = _filled(spark, sf, "customer", ["c_mktsegment", "c_acctbal", "c_nationkey"])
+    c.delete_many({"c_nationkey": 3})
+    c.update_many({"c_acctbal": {"$lt": 0}}, {"$set": {"c_mktsegment": "owes", "c_acctbal": 0.0}})
+    more = table(spark, sf, "customer").filter("c_custkey % 10 = 0")
+    c.insert_many(more.select((F.col("_id") + 10000000).cast("int").alias("_id"), F.lit("copy").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal"), F.lit(0).alias("c_nationkey")))
+    return c.find(fields=["c_mktsegment", "c_acctbal"])
+
+
+@query("SELECT s_suppkey AS _id, s_name, s_acctbal FROM supplier WHERE s_nationkey <> 4")
+def compact_keeps_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments merged and old files deleted: the same documents."""
+    c = _filled(spark, sf, "supplier", ["s_name", "s_acctbal", "s_nationkey"])
+    c.delete_many({"s_nationkey": 4})
+    c.compact(vacuum=True)
+    return c.find(fields=["s_name", "s_acctbal"])
+
+
+@query("SELECT s_suppkey AS _id, CASE WHEN s_suppkey % 4 = 0 THEN 'third' ELSE s_name END AS s_name FROM supplier")
+def upsert_repeated_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a batch's documents with one id the last counts."""
+    held = table(spark, sf, "supplier").select("_id", "s_name", F.lit(0).alias("at"))
+    some = held.filter("_id % 4 = 0")
+    batch = some.withColumns({"s_name": F.lit("first"), "at": F.lit(1)}).unionAll(some.withColumns({"s_name": F.lit("third"), "at": F.lit(3)})).unionAll(some.withColumns({"s_name": F.lit("second"), "at": F.lit(2)}))
+    return updates.upsert(held, batch, "at").select("_id", "s_name")
+
+
+_EDITED = "(SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN text || ' zebra zebra' ELSE text END AS text, lang FROM documents WHERE lang <> 'fr')"
+
+
+@query(_bm25(["zebra", "the", "thing"]).replace("FROM documents", f"FROM {_EDITED}") + " SELECT doc_id AS _id, round(s, 6) AS score FROM scored ORDER BY s DESC, doc_id LIMIT 25")
+def fts_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored text index after a delete and an upsert."""
+    c = _filled(spark, sf, "documents", ["text", "lang"])
+    c.create_text_index("text")
+    c.delete_many({"lang": "fr"})
+    edited = c.find().filter("_id % 10 = 7").withColumn("text", F.concat("text", F.lit(" zebra zebra")))
+    c.replace_many(edited.drop("_changed_at"))
+    return _hits(c.search_text("text", "Zebra THE thing", 25))
+
+
+@query(_bm25(["the", "thing"]).replace("FROM documents", f"FROM {_EDITED}") + " SELECT doc_id AS _id, round(s, 6) AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'de') ORDER BY s DESC, doc_id LIMIT 10")
+def fts_index_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    c = _filled(spark, sf, "documents", ["text", "lang"])
+    c.create_text_index("text")
+    edited = c.find().filter("_id % 10 = 7").withColumn("text", F.concat("text", F.lit(" zebra zebra")))
+    c.replace_many(edited.drop("_changed_at"))
+    c.delete_many({"lang": "fr"})
+    c.compact()
+    return _hits(c.search_text("text", "the thing", 10, filter={"lang": "de"}))
+
+
+@query("SELECT op, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT 'insert' AS op, p_partkey AS id FROM part UNION ALL SELECT 'update', p_partkey FROM part WHERE p_size > 40 UNION ALL SELECT 'delete', p_partkey FROM part WHERE p_size = 1) GROUP BY op")
+def change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The row-level feed of a collection's commits."""
+    c = _filled(spark, sf, "part", ["p_size"])
+    c.update_many({"p_size": {"$gt": 40}}, {"$inc": {"p_size": 1}})
+    c.delete_many({"p_size": 1})
+    return c.db.changes().groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("doc_id").cast("long")).alias("ids"))
+
+
+@query("SELECT 'part' AS collection, op, 'job' AS caller, count(DISTINCT id) AS n FROM (SELECT 'update' AS op, p_partkey AS id FROM part WHERE p_size > 40 UNION ALL SELECT 'delete', p_partkey FROM part WHERE p_size = 1) GROUP BY op")
+def audit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit entries after the inserts': one for each document and write."""
+    c = _filled(spark, sf, "part", ["p_size"], caller="job")
+    last = c.db.audit_log("part", "insert").agg(F.max("_id")).first()[0]
+    c.update_many({"p_size": {"$gt": 40}}, {"$inc": {"p_size": 1}})
+    c.delete_many({"p_size": 1})
+    return c.db.audit_log(since=last).groupBy("collection", "op", "caller").agg(F.count_distinct("_id").alias("n"))
+
+
+@query("SELECT n_nationkey AS _id, n_name FROM nation WHERE n_regionkey <> 2")
+def snapshot_restore(spark: SparkSession, sf: str) -> DataFrame:
+    c = _filled(spark, sf, "nation", ["n_name", "n_regionkey"])
+    c.delete_many({"n_regionkey": 2})
+    path = f"{c.db.store.base}-copy"
+    c.db.export_snapshot(path)
+    return Database.restore_snapshot(spark, path, f"{path}-back").collection("nation").find(fields=["n_name"])
+
+
+@query("SELECT * FROM (VALUES ('nation', 'field:n_name,n_regionkey'), ('nation', 'text:n_name'), ('region', 'field:r_name'), ('region', 'vector:v')) v(collection, index)")
+def list_collections_and_indexes(spark: SparkSession, sf: str) -> DataFrame:
+    c = _filled(spark, sf, "nation", ["n_name", "n_regionkey"])
+    c.create_index("n_name", "n_regionkey"), c.create_text_index("n_name"), c.create_index("gone"), c.drop_index("gone")
+    r = c.db.collection("region")
+    r.insert_many(table(spark, sf, "region"))
+    r.create_index("r_name"), r.create_vector_index("v", 3)
+    return spark.createDataFrame([(n, i) for n in c.db.collections() for i in c.db.collection(n).indexes()], "collection string, index string")
+
+
+@query("SELECT o_orderkey AS _id, CASE WHEN o_orderkey % 7 = 0 THEN 'late' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_custkey + 5 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(NULL AS VARCHAR) ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def update_several_operators(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "orders").withColumn("seven", F.col("_id") % 7)
+    out = updates.update_many(df, {"seven": 0}, {"$set": {"o_orderstatus": "late"}, "$inc": {"o_custkey": 5}, "$unset": {"o_orderpriority": True}})
+    return out.select("_id", "o_orderstatus", F.col("o_custkey").cast("int").alias("o_custkey"), "o_orderpriority")
+
+
+@query("SELECT n_nationkey AS _id, CASE WHEN n_nationkey = 11 THEN 'ELEVEN' ELSE n_name END AS n_name FROM nation WHERE n_nationkey <> 12")
+def update_and_delete_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    c = _filled(spark, sf, "nation", ["n_name"])
+    c.update_one({"_id": 11}, {"$set": {"n_name": "ELEVEN"}})
+    c.delete_one({"_id": 12})
+    return c.find(fields=["n_name"])
+
+
+@query("SELECT * FROM (VALUES (1, 25), (2, 24), (3, 24)) v(look, n)")
+def watch_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """What a watch sees after each of several writes; looks without a write see nothing."""
+    c = _filled(spark, sf, "nation", ["n_name", "n_regionkey"])
+    seen, w = [c.count()], live.watch(c, {})
+    for write in (lambda: c.delete_one({"n_regionkey": 1}), lambda: None, lambda: c.update_many({"n_regionkey": 2}, {"$set": {"n_name": "x"}})):
+        write()
+        found = w.try_next()
+        if found is not None:
+            seen.append(found.count())
+    return spark.createDataFrame(list(enumerate(seen, 1)), "look int, n int")
+
+
+@query("SELECT s_name, s_acctbal, s_nationkey FROM supplier")
+def import_exported_json(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines out and in again."""
+    path = f"{shared_folder(spark)}/quillon-json-{uuid.uuid4().hex}"
+    io.export_json(table(spark, sf, "supplier").select("_id", "s_name", "s_acctbal", "s_nationkey"), path)
+    back = io.import_json(spark, path, "supplier", "s_name string, s_acctbal double, s_nationkey int")
+    return back.select("s_name", "s_acctbal", "s_nationkey")
+
+
+@query("SELECT r_regionkey AS _id, r_name FROM region")
+def import_exported_array(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/quillon-json-{uuid.uuid4().hex}"
+    io.export_json(table(spark, sf, "region").select("_id", "r_name", F.col("r_regionkey").alias("key")), path, lines=False)
+    return io.import_json(spark, path, "region", "key int, r_name string").select(F.col("key").alias("_id"), "r_name")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS _id, n_name, '[' || n_regionkey || ',2]' AS pair FROM nation")
+def export_csv_header(spark: SparkSession, sf: str) -> DataFrame:
+    """CSV with a header, read by it: an empty first value leaves its field out."""
+    path = f"{shared_folder(spark)}/quillon-csv-{uuid.uuid4().hex}"
+    io.export_csv(table(spark, sf, "nation").select("_id", "n_name", F.array("n_regionkey", F.lit(2)).alias("pair"), F.lit(None).cast("string").alias("none")), path)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+_REFUSED = [("$where", {"$where": 1}), ("two operators' names", {"a": {"$near": 1}}), ("a list", [1]), ("or of nothing", {"$or": 5}), ("regex", {"a": {"$regex": "("}}), ("in", {"a": {"$in": 3}})]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n.replace(chr(39), chr(39) * 2)}', 'InvalidFilter')" for n, _ in _REFUSED) + ") v(name, code)")
+def filter_parse_errors(spark: SparkSession, sf: str) -> DataFrame:
+    held, found = table(spark, sf, "nation"), []
+    for name, spec in _REFUSED:
+        try:
+            reads.find(held, spec)
+        except EngineError as e:
+            found.append((name, e.code))
+    return spark.createDataFrame(found, "name string, code string")
+
+
+@query("SELECT * FROM (VALUES ('insert', 'VectorDimensionMismatch'), ('upsert', 'VectorDimensionMismatch'), ('update', 'VectorDimensionMismatch'), ('query', 'VectorDimensionMismatch'), ('compound', 'CompoundIndexMultipleArrays')) v(name, code)")
+def write_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Dimensions and compound arrays are checked on every path."""
+    c = _database(spark).collection("v")
+    one = c.insert({"v": [1.0, 2.0], "tags": ["x"]})
+    c.create_vector_index("v", 2), c.create_index("v", "n")
+    tries = {
+        "insert": lambda: c.insert({"v": [1.0]}), "upsert": lambda: c.upsert([{"_id": one, "v": [1.0, 2.0, 3.0]}]), "update": lambda: c.update_many({}, {"$push": {"v": 1.0}}),
+        "query": lambda: c.find_nearest("v", [1.0]), "compound": lambda: c.create_index("v", "tags"),
+    }
+    found = []
+    for name, attempt in tries.items():
+        try:
+            attempt()
+        except EngineError as e:
+            found.append((name, e.code))
+    return spark.createDataFrame(found, "name string, code string")
+
+
+@query("SELECT true AS enough")
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the approximate search finds nine of ten of the exact nearest, over 20 queries."""
+    vectors = table(spark, sf, "embeddings")
+    index = knn.ApproximateIndex(vectors, "embedding")
+    asked = vectors.filter("vec_id < 20").select("embedding").collect()
+    both = [({r["_id"] for r in knn.find_nearest(vectors, "embedding", list(q[0]), 10).collect()}, {r["_id"] for r in index.find_nearest(list(q[0]), 10).collect()}) for q in asked]
+    return spark.createDataFrame([(sum(len(a & b) for a, b in both) >= 9 * len(both),)], "enough boolean")
 
 
 # --- documents without a schema ----------------------------------------------------------------

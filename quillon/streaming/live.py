@@ -6,9 +6,11 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -54,15 +56,17 @@ def watch_aggregate(collection, pipeline: object) -> Watch:  # noqa: ANN001
 
 
 class Subscription:
-    """A first snapshot at once, then one whenever the result differs. ``poll()`` looks once; a
-    snapshot is a bounded page of rows, so the query should be a limited or aggregated one."""
+    """A first snapshot at once, then one whenever the result differs. ``poll()`` looks once. A
+    snapshot goes to the driver, so one of more than ``most`` rows is refused."""
 
-    def __init__(self, live: Watch, deliver: Callable[[list[Row]], None]):
-        self.live, self.deliver, self.last = live, deliver, None
+    def __init__(self, live: Watch, deliver: Callable[[list[Row]], None], most: int = 100_000):
+        self.live, self.deliver, self.last, self.most = live, deliver, None, most
         self._send(live.query())
 
     def _send(self, df: DataFrame) -> bool:
-        rows = df.collect()
+        rows = df.limit(self.most + 1).collect()
+        if len(rows) > self.most:
+            raise EngineError("ChangesetTooLarge", f"the result has more than {self.most} rows")
         shape = json.dumps([r.asDict(recursive=True) for r in rows], default=str, sort_keys=True)
         if shape == self.last:
             return False
@@ -128,22 +132,40 @@ def send(url: str, event: dict, headers: dict | None = None, opener: Callable =
     return False
 
 
-def webhook(url: str, collections: Iterable[str] | None = None, exclude: Iterable[str] = (), headers: dict | None = None) -> Callable[[DataFrame, int], None]:
+def webhook(url: str, failed: str, collections: Iterable[str] | None = None, exclude: Iterable[str] = (), headers: dict | None = None, post: Callable[[str, dict, dict | None], bool] = send) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink for a change feed ``collection, op, doc_id, ts, ...``: one request per
-    document change, a document's changes in order."""
+    document change, a document's changes in order. What could not be delivered is appended to the
+    table at ``failed``."""
     allowed, hidden = None if collections is None else frozenset(collections), frozenset(exclude)
 
-    def deliver(rows: Iterable[Row]) -> None:
-        for row in rows:
-            send(url, {k: v for k, v in row.asDict(recursive=True).items() if k not in hidden}, headers)
-
-    def work(batch: DataFrame, _: int) -> None:
+    def work(batch: DataFrame, number: int) -> None:
         chosen = batch if allowed is None else batch.filter(F.col("collection").isin(*allowed))
-        chosen.repartition("doc_id").sortWithinPartitions("doc_id", "ts").foreachPartition(deliver)
+        names = chosen.columns
+
+        def deliver(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                sent = [post(url, {k: v for k, v in r.items() if k not in hidden}, headers) for r in rows.to_dict("records")]
+                yield rows[[not x for x in sent]][names]
+
+        ordered = chosen.repartition("collection", "doc_id").sortWithinPartitions("collection", "doc_id", "ts")
+        ordered.mapInPandas(deliver, chosen.schema).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(failed)
 
     return work
 
 
+def deliver_changes(database, since: dict[str, int], work: Callable[[DataFrame, int], None]) -> dict[str, int]:  # noqa: ANN001
+    """Hand the commits after ``since`` to a sink; the generations to go on from. Kept by the caller,
+    they make delivery at least once."""
+    now = {n: database.collection(n).manifest()["generation"] for n in database.collections()}
+    feed = database.changes(since).filter(_until(now))
+    work(feed, max(now.values(), default=0))
+    return now
+
+
+def _until(now: dict[str, int]) -> Column:
+    return reduce(lambda a, b: a | b, ((F.col("collection") == n) & (F.col("generation") <= g) for n, g in now.items()), F.lit(False))
+
+
 def stream_of(spark, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:  # noqa: ANN001
     """A directory of parquet files as a stream."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.errors import EngineError
 from quillon.functions import crypto, dynamic, ids
-from quillon.operators import find, shape, sync, updates
+from quillon.operators import find, shape, sync, text_search, updates
 from quillon.sources import io
 from quillon.sources.collection import Database
 from quillon.streaming import live
@@ -38,6 +39,8 @@ def test_deletes_and_inserts(spark):
     assert [d["_id"] for d in docs(updates.delete_many(df, {"s": "a"}))] == [2]
     assert [d["_id"] for d in docs(updates.delete_one(df, {"s": "a"}))] == [2, 3]
     assert [d["_id"] for d in docs(updates.delete_one(df, {"s": "none"}))] == [1, 2, 3]
+    bare = df.unionAll(spark.createDataFrame([(None, "b")], "_id int, s string"))
+    assert updates.delete_one(bare, {"s": "none"}).count() == 4 and updates.upsert(df, df.limit(1).unionAll(df.limit(1))).count() == 3
     assert updates.delete_many(df).count() == 0
     new = spark.createDataFrame([(3, "z"), (4, "y")], "_id int, s string")
     assert [d["s"] for d in docs(updates.upsert(df, new))] == ["a", None, "z", "y"]
@@ -47,10 +50,14 @@ def test_deletes_and_inserts(spark):
         assert e.value.code == "DuplicateId"
 
 
-def test_ids():
+def test_ids(spark):
+    # fixed values: ids that every client derives alike
     assert ids.derived_id("products", "sku-123") == "56GC678DQYWW1Z98HPYJ90WVKH"
     assert ids.derived_id("", "") == "6J535PJ40THJQQH49BE174M53Z"
     assert ids.derived_id("products", "sku-ñ-💡") == "5NZ0PGNM2CF0BTHN0AAX8CWPAA"
+    keys = ["", "sku-ñ-💡", "x" * 300, *map(str, range(200))]
+    found = spark.createDataFrame([(k,) for k in [*keys, None]], "k string").select("k", ids.derived_id_column("products", F.col("k")).alias("id")).collect()
+    assert all(r["id"] == (None if r["k"] is None else ids.derived_id("products", r["k"])) for r in found) and len(found) == len(keys) + 1
     made = [ids.new_id(1000) for _ in range(100)]
     assert made == sorted(made) and all(map(ids.is_id, made)) and not ids.is_id("x" * 26)
 
@@ -84,6 +91,97 @@ def test_collection_life(db):
             db.collection(bad)
 
 
+def _scores(df):
+    return [(r["_id"], round(r["score"], 9)) for r in df.select("_id", "score").collect()]
+
+
+def test_the_text_index_follows_every_write(spark, db):
+    c = db.collection("t")
+    made = c.insert_many([{"_id": ids.new_id(), "n": i, "body": " ".join(["tea"] * (i % 4) + ["ink"] * (i % 3) + ["filler"] * i)} for i in range(20)])
+    c.create_text_index("body")
+
+    def same():
+        for ask, how in (("tea", {}), ("ink TEA zebra", {"filter": {"n": {"$gt": 5}}}), ("gone", {}), ("filler", {"top_k": 3, "k1": 2.0, "b": 0.1})):
+            want = _scores(text_search.search_text(c.find(), "body", ask, **how))
+            assert _scores(c.search_text("body", ask, **how)) == want
+        return len(_scores(c.search_text("body", "tea ink", 100)))
+
+    assert same() == 18
+    c.delete_many({"n": {"$lt": 4}})
+    assert same() == 15
+    c.update_many({"n": 12}, {"$set": {"body": "Tea, \u0939\u093f\u0928\u094d\u0926\u0940 \u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22"}})
+    assert same() == 16 and c.search_text("body", "\u0939\u093f\u0928\u094d\u0926\u0940").count() == 1 == c.search_text("body", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22").count()
+    c.upsert([{"_id": made[5], "n": 5, "body": "nothing"}, {"_id": made[5], "n": 6, "body": "ink"}, {"_id": ids.new_id(), "body": None}])
+    assert c.find_by_id(made[5])["n"] == 6 and same() == 16
+    c.compact(vacuum=True)
+    assert same() == 16 and len(c.manifest()["segments"]) == 1 and len([n for n in db.store.names("t") if n.startswith("seg-")]) == 2
+    plan = c.search_text("body", "tea")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan  # no text is tokenized again
+
+
+def test_writes_cost_what_they_touch(spark, db):
+    c = db.collection("s")
+    rows = spark.range(1000).selectExpr("cast(id AS string) AS _id", "id AS n", "array(cast(id AS double)) AS v")
+    c.insert_many(rows)
+    before = {n for n in db.store.names("s") if n.startswith("seg-")}
+    assert c.update_many({"n": {"$lt": 3}}, {"$inc": {"n": 5000}}) == 3
+    new, = {n for n in db.store.names("s") if n.startswith("seg-")} - before
+    assert c._table(new).count() == 3 and c.count() == 1000 and c.count({"n": {"$gte": 5000}}) == 3
+    assert c.update_many({"n": -1}, {"$set": {"n": 0}}) == 0 and c.delete_many({"n": {"$gte": 5000}}) == 3 and c.generation == 3
+    feed = c.changes(1).groupBy("op").count().collect()
+    assert {r["op"]: r["count"] for r in feed} == {"update": 3, "delete": 3} and c.changes(3).count() == 0
+    assert all(live.json.loads(r["doc"])["n"] >= 5000 for r in c.changes(1).filter("op = 'update'").collect())
+    c.create_vector_index("v", 1), c.create_index("v", "w")
+    for bad, code in ({"v": [1.0, 2.0]}, "VectorDimensionMismatch"), ({"v": None, "n": "text"}, "TypeError"), ({"v": [1.0], "w": [1]}, "CompoundIndexMultipleArrays"):
+        with pytest.raises(EngineError) as e:
+            c.upsert([{"_id": ids.new_id(), **bad}])
+        assert e.value.code == code
+    c.compact()
+    assert c.count() == 997 and c.generation == 3 and c.changes(1).count() == 6
+    c.compact(vacuum=True)
+    with pytest.raises(EngineError):
+        c.changes(1)
+
+
+def test_of_two_writers_one_fails(db, monkeypatch):
+    a, b = db.collection("two"), db.collection("two")
+    a.insert({"n": 1})
+    read = a.manifest()
+    b.insert({"n": 2})
+    monkeypatch.setattr(a, "manifest", lambda: read)
+    with pytest.raises(EngineError) as e:
+        a.insert({"n": 3})
+    monkeypatch.undo()
+    assert e.value.code == "Storage" and sorted(r["n"] for r in a.find().collect()) == [1, 2]
+    a.insert({"n": 3})
+    assert a.count() == 3
+
+
+def test_many_small_writes_compact_by_themselves(db, monkeypatch):
+    from quillon.sources import collection
+
+    monkeypatch.setattr(collection, "SEGMENTS", 3)
+    c = db.collection("many")
+    for i in range(5):
+        c.insert({"n": i})
+    assert c.count() == 5 and len(c.manifest()["segments"]) <= 3 and c.generation == c.manifest()["changed"]
+
+
+def test_changes_reach_the_webhook_and_failures_are_kept(spark, db, tmp_path):
+    c = db.collection("hook")
+    one = c.insert({"n": 1, "secret": "x"})
+    c.update_many({}, {"$set": {"n": 2}})
+    c.delete_by_id(one)
+    c.insert({"n": 3, "secret": "y"})
+    failed = "file://" + str(tmp_path / "failed")
+    sink = live.webhook("http://nowhere", failed, ["hook"], exclude=["doc"], post=lambda url, event, headers: "doc" not in event and event["op"] != "update")
+    now = live.deliver_changes(db, {}, sink)
+    lost = spark.read.parquet(failed).collect()
+    assert [(r["op"], r["doc_id"]) for r in lost] == [("update", one)] and now == {"hook": 4} and live.json.loads(lost[0]["doc"])["n"] == 2
+    live.deliver_changes(db, now, sink)
+    assert spark.read.parquet(failed).count() == 1
+
+
 def test_snapshot_and_migrations(spark, db, tmp_path):
     db.collection("a").insert({"n": 1})
     db.user_version = 3
@@ -207,8 +305,6 @@ def test_webhook_retries():
 
 
 def test_shape_versions(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(1, "a b", None), (2, "c", 1), (3, "d", 7)], "_id int, name string, _v int")
     up = shape.migrate(df, [{"first": F.split("name", " ")[0]}, {"name": F.upper("name")}])
     assert [(d["name"], d["first"], d["_v"]) for d in docs(up)] == [("A B", "a", 2), ("C", None, 2), ("d", None, 7)]
