@@ -2,7 +2,9 @@
 
 1. Equal vectors form one class; classes are compared, weighted by their sizes.
 2. Classes go to the shards of their nearest few centroids, so shards overlap. Centroids come from
-   k-means on a bounded sample. A shard above ``block`` rows is cut into blocks by a hash.
+   k-means on a bounded sample. Where there are more classes than the centroids sent to tasks can
+   part, wide shards are parted again by centroids of their own, which only their rows meet; so
+   shards stay small at any size. A shard above ``block`` rows is cut into blocks by a hash.
 3. In each block a proximity graph is built and pruned robustly: a neighbour is dropped if it is
    closer, by the factor ``alpha``, to a neighbour already taken. The adjacency lists that a class
    gets in its shards are united.
@@ -191,7 +193,42 @@ def vector_classes(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataF
     return rows, rows.filter("fit").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
 
 
-def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 32, block: int = BLOCK, passing: list[DataFrame] | None = None) -> DataFrame:
+#: Rows of a wide shard that its own centroids are learned from, and that are placed by them at once.
+PART_SAMPLE, PART_ROWS = 20_000, 50_000
+
+
+def _parted(placed: DataFrame, block: int, overlap: int) -> DataFrame:
+    """``rep, embedding, n, shard``: rows of shards above two blocks go to the nearest of centroids of
+    that shard, the others stay where they are."""
+    wide = placed.groupBy("shard").agg(F.count("*").alias("rows")).filter(F.col("rows") > 2 * block)
+    # At most CENTROIDS rows for each vector length.
+    wide = F.broadcast(wide.select("shard", F.ceil(F.col("rows") / (block // 2)).alias("k"), F.ceil(F.col("rows") / PART_SAMPLE).alias("every"), F.ceil(F.col("rows") / PART_ROWS).cast("int").alias("slices")))
+    rows = placed.select("rep", "embedding", "n", "shard").join(wide, "shard")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        centre = kmeans(_unit(_matrix(pdf.sort_values("rep")["embedding"])), int(pdf["k"].iloc[0]))
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "rep": np.arange(len(centre)), "embedding": list(centre)})
+
+    sample = rows.filter(F.pmod(F.xxhash64("rep", F.lit(3)), F.col("every")) == 0).select("shard", "rep", "embedding", "k")
+    learned = materialize(sample.groupBy("shard").applyInPandas(learn, "shard long, rep long, embedding array<double>"), "centroids")
+    asking = rows.select("shard", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int").alias("slice"), "rep", "embedding", "n")
+    given = learned.join(wide, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "rep", "embedding", F.lit(None).cast("long").alias("n"))
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        centre, asks = pdf[pdf["n"].isna()].sort_values("rep"), pdf[~pdf["n"].isna()]
+        if asks.empty or centre.empty:
+            return asks[["rep", "embedding", "n", "shard"]].astype({"n": "int64"})
+        c, x = _matrix(centre["embedding"]).astype(np.float32), _unit(_matrix(asks["embedding"])).astype(np.float32)
+        near = np.concatenate([np.argsort(-(x[i : i + 4096] @ c.T), axis=1, kind="stable")[:, :overlap] for i in range(0, len(x), 4096)])
+        at = np.repeat(np.arange(len(x)), near.shape[1])
+        part = asks.iloc[at]
+        return pd.DataFrame({"rep": part["rep"].to_numpy(), "embedding": part["embedding"].to_numpy(), "n": part["n"].to_numpy(np.int64), "shard": (part["shard"].to_numpy(np.int64) + 1 << 24) + near.ravel()})
+
+    moved = asking.unionByName(given).groupBy("shard", "slice").applyInPandas(place, "rep long, embedding array<double>, n long, shard long")
+    return placed.select("rep", "embedding", "n", "shard").join(wide, "shard", "left_anti").select("rep", "embedding", "n", "shard").unionByName(moved)
+
+
+def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, degree: int = 24, pool: int = 64, alpha: float = 1.2, beam: int = 32, block: int = BLOCK, most: int = CENTROIDS, passing: list[DataFrame] | None = None) -> DataFrame:
     """``node, other, degree``: for each class ``rep`` weighted counts of linked vectors (``other``
     null) and links of a spanning forest (``degree`` null). Classes are ``rep, embedding, n``.
     ``passing`` collects the tables that may go once the result has been written."""
@@ -200,7 +237,7 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
     centres: dict[int, np.ndarray] = {}
     for d in dims:  # vectors of different length never link
         part = classes.filter(F.size("embedding") == d)
-        k = int(min(CENTROIDS, max(1, part.count() // (block // 2)))) if len(dims) > 1 else int(min(CENTROIDS, max(1, many // (block // 2))))
+        k = int(min(most, max(1, (part.count() if len(dims) > 1 else many) // (block // 2))))
         sample = part.orderBy(F.xxhash64("rep"), "rep").limit(min(SAMPLE, 64 * k)).select("embedding").toPandas()
         centres[d] = kmeans(_unit(_matrix(sample["embedding"])), k).astype(np.float32)
     base = dict(zip(sorted(centres), np.cumsum([0, *(len(centres[d]) for d in sorted(centres))]).tolist(), strict=False))
@@ -223,9 +260,13 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
 
     assigned = materialize(map_arrow(classes.select("rep", "embedding", "n"), assign, "rep long, embedding array<double>, n long, shards array<long>"), "shards")
     placed = assigned.withColumn("shard", F.explode("shards"))
-    # At most CENTROIDS rows for each vector length.
-    sizes = F.broadcast(placed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    members = placed.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    if many > most * block:
+        placed = materialize(_parted(placed, block, overlap), "parted")
+        homes = placed.groupBy("rep").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
+        placed = placed.join(homes, "rep")
+    # A row for each shard: at most ``most`` for each vector length, unless shards were parted.
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = placed.join(F.broadcast(sizes) if many <= most * block else sizes, "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = materialize(members, "members")
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +316,8 @@ def near_links(classes: DataFrame, threshold: float = 0.95, overlap: int = 3, de
         if asks.empty or has.empty:
             return pd.DataFrame({"node": [], "other": [], "degree": []})
         ids, ask_ids, n = has["rep"].to_numpy(), asks["rep"].to_numpy(), has["n"].to_numpy()
-        homes = [np.stack([np.pad(v, (0, overlap - len(v)), constant_values=-1) for v in f["shards"]]) for f in (asks, has)]
+        wide = max(map(len, pdf["shards"]))
+        homes = [np.stack([np.pad(v, (0, wide - len(v)), constant_values=-1) for v in f["shards"]]) for f in (asks, has)]
         nodes_ = np.unique(np.concatenate((ids, ask_ids)))
         at_ask, at_has = np.searchsorted(nodes_, ask_ids), np.searchsorted(nodes_, ids)
         count, label = np.zeros(len(asks), np.int64), np.arange(len(nodes_))
