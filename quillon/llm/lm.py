@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .ann import _unit as unit
 from .ann import kmeans
 from .common import BATCH_ROWS, id_bucket, map_arrow, materialize
-from .tokens import TextEncoder, together, vocabulary
+from .tokens import TOGETHER, TextEncoder, together, vocabulary
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Ids of the vocabulary, the end's among them; all fit into 16 bits.
@@ -88,6 +88,7 @@ class AttentionModel:
         self.shift = np.where(self.future, np.float32(-1e9), p["distance"][self.gap])
         high = float(np.sqrt((self.q * self.q).sum(1).max() * (self.k * self.k).sum(1).max())) + float(p["distance"].max())
         self.cap = np.float32(60) if high > 60 else None  # else no exponential can overflow
+        self.steep = float(np.sqrt((self.v[:, :WIDTH] ** 2).sum(1).max() * (p["out"] ** 2).sum(0).max())) + float(p["bias"].max()) > 60
 
     def attend(self, x: np.ndarray, first: int) -> tuple:
         """Queries (of the places from ``first`` on), keys, values, weights, mixtures and sums of weights."""
@@ -105,7 +106,7 @@ class AttentionModel:
         z = mixed @ self.p["out"]
         z += self.p["bias"]
         z += prior[last]
-        return np.clip(z, -80, 80, out=z)
+        return np.clip(z, -80, 80, out=z) if self.steep else z
 
     def score(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Natural log probability of each class in ``goal`` (-1 none) after the windows' last places."""
@@ -334,7 +335,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         encoder, ids, words = TextEncoder(tokenizer), np.zeros(VOCAB, np.int64), _Sums()
-        for b in together(batches):
+        for b in together(batches, bound=TOGETHER // 2):
             held = np.array([_held(d) for d in b.column("doc_id").to_pylist()], bool)
             found, many = encoder(b.column("text"))
             ids += np.bincount(found[np.repeat(~held, many)], minlength=VOCAB)
@@ -528,7 +529,7 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, head: int = HEA
         counts, flat, known, value = held.value
         mine = AttentionModel(counts.features, flat)
         value = np.append(value, 0.0)
-        for b in together(batches):
+        for b in together(batches, bound=TOGETHER // 2):
             n = b.num_rows
             ids, many = _flat_ids(b.column("ids"))
             ends_at = np.cumsum(many)
