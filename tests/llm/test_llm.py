@@ -272,7 +272,27 @@ def test_plan_places_each_piece_once(seed):
             at += n
         assert at <= 2048
     bound = -(-sum(k * v for k, v in counts.items()) // 2048)
-    assert len(spots) == plan.sequences <= bound * 1.15 + 2
+    assert len(spots) == plan.sequences <= max(bound * 1.001 + 1, len(_first_fit(counts)))
+
+
+def _first_fit(counts):
+    """Plain first fit of the lengths, longest first: the room left in each sequence."""
+    room = []
+    for k in sorted(counts.elements(), reverse=True):
+        for i, r in enumerate(room):
+            if r >= k:
+                room[i] -= k
+                break
+        else:
+            room.append(2048 - k)
+    return room
+
+
+def test_plan_is_near_the_bound_where_gaps_can_be_filled():
+    rng = random.Random(9)
+    counts = Counter(min(2048, int(rng.lognormvariate(6, 1)) + 1) for _ in range(40_000))
+    bound = -(-sum(k * v for k, v in counts.items()) // 2048)
+    assert packing.Plan(counts).sequences <= bound * 1.001 + 1
 
 
 # --- 6 -----------------------------------------------------------------------------------------
@@ -307,6 +327,8 @@ def test_small_blocks_find_the_same(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     one = sorted(map(tuple, ann.embedding_components(df).collect()))
     cut = sorted(map(tuple, ann.embedding_components(df, block=30).collect()))
+    parted = sorted(map(tuple, ann.embedding_components(df, block=20, most=2).collect()))  # centroids of centroids
+    assert sum(a == b for a, b in zip(one, parted, strict=True)) >= 0.9 * len(one)
     assert sum(a == b for a, b in zip(one, cut, strict=True)) >= 0.9 * len(one)
 
 
@@ -404,24 +426,48 @@ def test_decontamination_against_brute_force(spark, docs, none, block_bytes):
 # --- the pipeline and the cases of reviews ------------------------------------------------------
 
 
-def test_pipeline_stages_keep_columns_and_clean_rows(spark, tmp_path):
+def test_every_pipeline_stage_does_its_work_and_leaves_clean_rows(spark, tmp_path):
     import corpus_pipeline
 
-    texts, labels, _ = _marked(spark, 120)
-    rows = texts.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars", "1 as items")
-    rows = rows.unionAll(rows.filter("doc_id < 5").withColumn("doc_id", rows["doc_id"] + 1000)).unionAll(rows.filter("doc_id = 7"))
-    rows = rows.unionAll(rows.limit(1).selectExpr("cast(null as long)", "cast(null as string)", "lang", "source", "cast(null as long)", "items"))
+    texts, labels, _ = _marked(spark, 150)
+    rng = random.Random(31)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    base, one, two = words(120), words(12), words(12)
+    near = base.replace(base.split()[60], "changed")
+    own = [
+        (2000, base), (2001, near), (2002, f"{words(40)} {one} {words(5)} {two} {words(40)}"), (2003, f"{words(40)} {one} {words(40)}"),
+        (2004, f"{words(20)} bob@example.com or 10.1.2.3 {words(20)}"), (2005, f'{words(20)} token = "4f2a9c0e77b1d35a6e8894c2f013ab7d5e6f9012" {words(20)}'), (2006, words(3000)),
+    ]
+    made = texts.unionAll(spark.createDataFrame(own, "doc_id long, text string"))
+    made = made.unionAll(texts.filter("doc_id < 5").selectExpr("doc_id + 1000", "text")).unionAll(texts.filter("doc_id = 7")).unionAll(spark.createDataFrame([(None, None), (None, "clean words of no one")], "doc_id long, text string"))
+    rows = made.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as long) as n_chars", "1 as items")
     rows.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([("1", "nothing that any text here holds at all")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("1", one), ("2", two)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, str(tmp_path)), name)
         assert docs.columns == rows.columns
-    left = [r["doc_id"] for r in docs.collect()]
-    assert len(left) == len(set(left)) and None in left and not any(i is not None and i >= 1000 for i in left)
-    assert docs.filter("doc_id is not null").join(rows.dropDuplicates(["doc_id"]), ["doc_id", "text"]).count() == len(left) - 1
-    assert corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(left)
+        seen.append(Counter((r["doc_id"], r["text"]) for r in docs.collect()))
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in docs.collect())
+    given = Counter((r["doc_id"], r["text"]) for r in rows.collect())
+    gone = [sorted(i for i, _ in (x - y).elements() if i is not None) for x, y in zip([given, *seen], seen, strict=False)]
+    bad = {i for i, t in given if t and re.search("vile|nasty", t)}
+    assert bad >= set(gone[0]) and len(gone[0]) >= 0.7 * sum(given[k] for k in given if k[0] in bad)
+    assert set(gone[1]) == {i for i in (2001, 1000, 1001, 1002, 1003, 1004, 7) if i not in gone[0]}
+    assert gone[2] == [2002, 2003] and not any(i == 2002 for i, _ in seen[2]) and next(t for i, t in seen[2] if i == 2003).count("\n") == 1 and one not in next(t for i, t in seen[2] if i == 2003)
+    assert gone[3] == [2004, 2005] and {i: t for i, t in seen[3]}[2004].count("[EMAIL]") == 1 == {i: t for i, t in seen[3]}[2004].count("[IP]") and "[SECRET]" in {i: t for i, t in seen[3]}[2005]
+    assert (None, None) in seen[3] and (None, "clean words of no one") in seen[3]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tok, found = tokens.load_tokenizer(), {}
+    for r in packed:
+        assert len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
+        if r["doc_id"] is not None:
+            found.setdefault(r["doc_id"], {})[r["start"]] = r["ids"]
+    joined = {i: [x for _, ids in sorted(p.items()) for x in ids] for i, p in found.items()}
+    assert joined == {i: tok.encode(t, add_special_tokens=False).ids + [0] for i, t in seen[3] if i is not None} and len(found[2006]) > 1
+    bound = -(-sum(r["length"] for r in packed) // 2048)
+    assert len({r["sequence_id"] for r in packed}) <= bound + 1
 
 
 def _near_texts():
