@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -31,9 +32,17 @@ def get(path: str, doc: str = "doc") -> Column:
     return F.try_variant_get(F.col(doc), "$" + steps, "variant")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def kind(value: Column) -> Column:
     """``missing null bool int float string array object``."""
-    schema = F.schema_of_variant(value)
+    return _once(F.schema_of_variant(value), lambda schema: _kind(value, schema))
+
+
+def _kind(value: Column, schema: Column) -> Column:
     return (
         F.when(value.isNull(), "missing").when(F.is_variant_null(value), "null").when(schema == "BOOLEAN", "bool").when(schema == "BIGINT", "int")
         .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), "float").when(schema == "STRING", "string").when(schema.startswith("ARRAY"), "array").otherwise("object")
@@ -87,16 +96,16 @@ def _test(node: filters.Test) -> Column:
         want = json.dumps(node.value, separators=(",", ":"), ensure_ascii=False)
         same = lambda v: F.to_json(v) == F.to_json(F.parse_json(F.lit(want)))
         return same(value) | F.coalesce(F.exists(_elements(value), same), F.lit(False))
-    test = lambda v: _scalar(v, op, node.value)
-    return F.coalesce(test(value), F.lit(False)) | F.coalesce(F.exists(_elements(value), lambda e: F.coalesce(test(e), F.lit(False))), F.lit(False))
+    one = lambda v, k: F.coalesce(_scalar(v, k, op, node.value), F.lit(False))
+    inner = lambda v: F.exists(F.try_variant_get(v, "$", "array<variant>"), lambda e: _once(kind(e), lambda k: one(e, k)))
+    return _once(value, lambda v: _once(kind(v), lambda k: F.when(k == "array", F.coalesce(inner(v), F.lit(False))).otherwise(one(v, k))))
 
 
 def _elements(value: Column) -> Column:
     return F.when(kind(value) == "array", F.try_variant_get(value, "$", "array<variant>"))
 
 
-def _scalar(value: Column, op: str, wanted: object) -> Column:
-    k = kind(value)
+def _scalar(value: Column, k: Column, op: str, wanted: object) -> Column:
     number = F.try_variant_get(value, "$", "double")
     whole = F.try_variant_get(value, "$", "bigint")
     text = F.try_variant_get(value, "$", "string")

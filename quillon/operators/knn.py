@@ -104,6 +104,63 @@ def batch_nearest(df: DataFrame, field: str, queries: DataFrame, query_field: st
     return out.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("query_id", "rank", "_id", "score")
 
 
+class CellIndex:
+    """Vectors by the nearest of a few centres, for cosine and euclidean; a search reads few cells.
+
+    The centres come from k-means over a bounded sample (``sample`` rows of smallest id hash); every
+    vector is placed. Cells hold about the square root of the rows, so a search that probes ``probes``
+    cells reads that many times the root.
+    """
+
+    def __init__(self, centres: np.ndarray, metric: str):
+        self.centres, self.metric = centres, metric
+
+    @classmethod
+    def fit(cls, df: DataFrame, field: str, metric: str = "cosine", sample: int = 50_000, most: int = 4096, rounds: int = 10) -> CellIndex:
+        if metric == "dot":
+            raise EngineError("InvalidOperation", "an approximate index has no dot metric")
+        held = df.filter(F.col(field).isNotNull())
+        n = held.count()
+        rows = held.orderBy(F.xxhash64("_id"), "_id").limit(sample).select(field).collect()  # at most ``sample`` rows
+        x = _scaled(np.array([r[0] for r in rows], np.float64), metric) if rows else np.zeros((1, 0))
+        centres = x[: min(most, max(1, round(n**0.5)), len(x))].copy()
+        for _ in range(rounds):
+            near = np.concatenate([_nearest(x[i : i + 4096], centres)[:, 0] for i in range(0, len(x), 4096)])
+            total, size = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+            np.add.at(total, near, x)
+            centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+        return cls(centres, metric)
+
+    def cells(self, df: DataFrame, field: str) -> DataFrame:
+        """``cell, _id, v``: every vector of the centres' length with its cell."""
+        width, metric, centres = self.centres.shape[1], self.metric, self.centres
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    x = np.asarray(b.column("v").flatten(), np.float64).reshape(-1, width)
+                    cell = np.concatenate([_nearest(_scaled(x[i : i + 4096], metric), centres)[:, 0] for i in range(0, len(x), 4096)])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), b.column("_id"), b.column("v")], ["cell", "_id", "v"])
+
+        kind = f"cell int, _id {df.schema['_id'].dataType.simpleString()}, v {df.schema[field].dataType.simpleString()}"
+        return df.filter(F.size(field) == width).select("_id", F.col(field).alias("v")).mapInArrow(run, kind)
+
+    def probed(self, query: Sequence[float], probes: int) -> list[int]:
+        return _nearest(_scaled(np.array([query], np.float64), self.metric), self.centres)[0, :probes].tolist()
+
+
+def _scaled(x: np.ndarray, metric: str) -> np.ndarray:
+    if metric != "cosine":
+        return x
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.where(size > 0, size, 1)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centres' numbers from the nearest on, for each row."""
+    return np.argsort((centres * centres).sum(1) - 2 * x @ centres.T, axis=1, kind="stable")
+
+
 class ApproximateIndex:
     """Random-projection hashing on unit vectors; cosine and euclidean only."""
 

@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +75,8 @@ class Database:
         held = {}
         for name in self.collections():
             manifest = self.collection(name).manifest()
-            for part in [*_files(manifest), *(n for m in self.collection(name).manifests() for n in [m["audit"]] if n)]:
+            centres = [f"centres.{i['slot']}" for i in manifest["indexes"].values() if i.get("kind") == "cells"]
+            for part in [*_files(manifest), *centres, *(n for m in self.collection(name).manifests() for n in [m["audit"]] if n)]:
                 self.store.copy(f"{name}/{part}", to, f"{name}/{part}")
             self.store.copy(f"{name}/manifests", to, f"{name}/manifests")
             held[name] = manifest["generation"]
@@ -122,7 +124,7 @@ class Database:
 def _files(manifest: dict) -> list[str]:
     """The tables a manifest names."""
     found = [p["name"] for kind in ("segments", "gone") for p in manifest[kind]]
-    return found + [f"{n}.text.{about['slot']}" for key, about in manifest["indexes"].items() if key.startswith("text:") for n in about["segments"]]
+    return found + [f"{n}.{about['kind']}.{about['slot']}" for about in manifest["indexes"].values() if "slot" in about for n in about["segments"]]
 
 
 class Collection:
@@ -212,13 +214,12 @@ class Collection:
             out["segments"] = before["segments"] + ([{"name": name("seg"), "at": at}] if n.get("seg") else [])
             indexes = {}
             for key, about in before["indexes"].items():
-                if key.startswith("text:"):
-                    about = dict(about)
-                    if n.get("gone"):
-                        lost = self._text_stats(gone, about["field"])
-                        about["n"], about["total"] = about["n"] - lost[0], about["total"] - lost[1]
-                    if n.get("seg"):
-                        made.append(self._index_text(rows, about, name("seg")))
+                about = dict(about)
+                if "n" in about and n.get("gone"):
+                    lost = self._text_stats(gone, about["field"])
+                    about["n"], about["total"] = about["n"] - lost[0], about["total"] - lost[1]
+                if "slot" in about and n.get("seg"):
+                    made.append(self._index_segment(rows, about, name("seg")))
                 indexes[key] = about
             audit = None
             if self.caller is not None:
@@ -249,13 +250,13 @@ class Collection:
             rows = self._save(df.repartitionByRange("_id").sortWithinPartitions("_id"), name)
             indexes = {}
             for key, about in before["indexes"].items():
-                if key.startswith("text:"):
-                    about = {**about, "segments": [], "n": 0, "total": 0}
-                    self._index_text(rows, about, name)
+                if "slot" in about:
+                    about = {**about, "segments": [], **({"n": 0, "total": 0} if "n" in about else {})}
+                    self._index_segment(rows, about, name)
                 indexes[key] = about
             self._publish(before, segments=[{"name": name, "at": at}], gone=[], indexes=indexes)
         if vacuum:
-            kept = {"manifests", *_files(self.manifest()), *(m["audit"] for m in self.manifests())}
+            kept = {"manifests", *_files(self.manifest()), *(m["audit"] for m in self.manifests()), *(f"centres.{i['slot']}" for i in self.indexes().values() if i.get("kind") == "cells")}
             self._delete([n for n in self.db.store.names(self.name) if n not in kept])
 
     def changes(self, since: int = 0) -> DataFrame:
@@ -318,20 +319,27 @@ class Collection:
         df = self._frame()
         if not about["segments"]:
             return df.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-        at = {s["name"]: s["at"] for s in manifest["segments"]}
-        asked = lambda n: self._table(f"{n}.text.{about['slot']}").filter(F.col("token").isin(*text_search.query_tokens(query)))
-        found = self._alive([(at[n], asked(n)) for n in about["segments"]], manifest)
+        found = self._stored(manifest, about, lambda df: df.filter(F.col("token").isin(*text_search.query_tokens(query))))
         return text_search.search_postings(df, found, about["n"], about["total"], query, top_k, filter, **tuned)
 
-    def find_nearest(self, field: str, query: Sequence[float], top_k: int = 10, filter: object = None) -> DataFrame:  # noqa: A002
-        about = self._need("vector", field, "VectorIndexNotFound")
+    def find_nearest(self, field: str, query: Sequence[float], top_k: int = 10, filter: object = None, probes: int = 16) -> DataFrame:  # noqa: A002
+        """The nearest documents: exact, or among those of the ``probes`` nearest cells of an
+        approximate index. A filter makes it exact, and so do cells with too few vectors."""
+        about, manifest = self._need("vector", field, "VectorIndexNotFound"), self.manifest()
+        if about.get("segments") and not filter:
+            knn.check_dimensions(query, about["dimensions"])
+            cells = self._cells(about).probed(query, probes)
+            found = self._stored(manifest, about, lambda df: df.filter(F.col("cell").isin(*cells)))
+            best = knn.find_nearest(found.select("_id", "v"), "v", query, top_k, about["metric"]).select("_id", "score")
+            if top_k <= text_search.FEW and best.count() == top_k:
+                return self._frame().join(F.broadcast(best), "_id").select(*self._frame().columns, "score").orderBy(F.desc("score"), F.asc("_id"))
         return knn.find_nearest(self._frame(), field, query, top_k, about["metric"], filter, about["dimensions"])
 
-    def hybrid_search(self, text_field: str, query: str, vector_field: str, vector: Sequence[float], top_k: int = 10, **options: object) -> DataFrame:
-        self._need("text", text_field, "IndexNotFound")
-        about = self._need("vector", vector_field, "VectorIndexNotFound")
-        knn.check_dimensions(vector, about["dimensions"])
-        return hybrid.hybrid_search(self._frame(), text_field, query, vector_field, vector, top_k, about["metric"], **options)
+    def hybrid_search(self, text_field: str, query: str, vector_field: str, vector: Sequence[float], top_k: int = 10, filter: object = None, candidates: int | None = None, k: float = 60.0, text_weight: float = 1.0, vector_weight: float = 1.0, **tuned: float) -> DataFrame:  # noqa: A002
+        """Both searches, the text's from its stored index, fused by rank."""
+        pool = candidates if candidates is not None else max(4 * top_k, 20)
+        near = self.find_nearest(vector_field, vector, pool, filter)
+        return hybrid.fuse(self.search_text(text_field, query, pool, filter, **tuned), near, top_k, k, text_weight, vector_weight)
 
     # --- writes -------------------------------------------------------------------------------
 
@@ -451,24 +459,38 @@ class Collection:
     def _text_stats(self, df: DataFrame, field: str) -> tuple[int, int]:
         return tuple(text_search.corpus_stats(df, field).first()) if field in df.columns else (0, 0)
 
-    def _index_text(self, rows: DataFrame, about: dict, segment: str) -> str:
-        """The postings of a segment, sorted by token so that a search reads few row groups."""
-        name = f"{segment}.text.{about['slot']}"
+    def _index_segment(self, rows: DataFrame, about: dict, segment: str) -> str:
+        """What a stored index holds of a segment: postings sorted by token, or vectors sorted by
+        cell, so that a search reads few row groups."""
+        name = f"{segment}.{about['kind']}.{about['slot']}"
         if about["field"] in rows.columns:
-            text_search.index_postings(rows, about["field"]).repartitionByRange("token", "_id").sortWithinPartitions("token", "_id").write.parquet(f"{self.db.store.base}/{self.name}/{name}")
-            found = self._text_stats(rows, about["field"])
+            if about["kind"] == "text":
+                held, by = text_search.index_postings(rows, about["field"]), "token"
+                found = self._text_stats(rows, about["field"])
+                about["n"], about["total"] = about["n"] + found[0], about["total"] + found[1]
+            else:
+                held, by = self._cells(about).cells(rows, about["field"]), "cell"
+            held.repartitionByRange(by, "_id").sortWithinPartitions(by, "_id").write.parquet(f"{self.db.store.base}/{self.name}/{name}")
             about["segments"] = [*about["segments"], segment]
-            about["n"], about["total"] = about["n"] + found[0], about["total"] + found[1]
         return name
 
+    def _stored(self, manifest: dict, about: dict, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The rows of a stored index that ``rows`` selects, without documents that are gone."""
+        at = {s["name"]: s["at"] for s in manifest["segments"]}
+        return self._alive([(at[n], rows(self._table(f"{n}.{about['kind']}.{about['slot']}"))) for n in about["segments"]], manifest)
+
+    def _cells(self, about: dict) -> knn.CellIndex:
+        held = self._table(f"centres.{about['slot']}").orderBy("cell").collect()  # at most 4,096 rows
+        return knn.CellIndex(np.array([r["centre"] for r in held], np.float64), about["metric"])
+
     def create_text_index(self, field: str) -> None:
         """Postings of every segment, kept up to date by every write."""
         manifest = self.manifest()
         if f"text:{field}" in manifest["indexes"]:
             return
-        about = {"field": field, "slot": uuid.uuid4().hex[:8], "segments": [], "n": 0, "total": 0}
+        about = {"kind": "text", "field": field, "slot": uuid.uuid4().hex[:8], "segments": [], "n": 0, "total": 0}
         for s in manifest["segments"]:
-            self._index_text(self._table(s["name"]), about, s["name"])
+            self._index_segment(self._table(s["name"]), about, s["name"])
         now = self._read(manifest)
         about["n"], about["total"] = (0, 0) if now is None else self._text_stats(now, field)  # without documents that are gone
         self._index(f"text:{field}", about)
@@ -476,10 +498,24 @@ class Collection:
     def drop_text_index(self, field: str) -> None:
         self._index(f"text:{field}", None)
 
-    def create_vector_index(self, field: str, dimensions: int, metric: str = "cosine") -> None:
+    def create_vector_index(self, field: str, dimensions: int, metric: str = "cosine", approximate: bool = False) -> None:
+        """An index of exact search, or with ``approximate`` one whose cells are stored with every
+        segment. Its centres are those of the vectors at the time; to renew them, drop and create it."""
         if metric not in knn.METRICS or dimensions < 1:
             raise EngineError("InvalidOperation", "a vector index has dimensions and a known metric")
-        self._index(f"vector:{field}", {"field": field, "dimensions": dimensions, "metric": metric})
+        manifest, about = self.manifest(), {"field": field, "dimensions": dimensions, "metric": metric}
+        if f"vector:{field}" in manifest["indexes"]:
+            return
+        if approximate:
+            now = self._read(manifest)
+            now = now.filter(F.size(field) == dimensions) if now is not None and field in now.columns else None
+            about |= {"kind": "cells", "slot": uuid.uuid4().hex[:8], "segments": []}
+            index = knn.CellIndex.fit(now, field, metric) if now is not None else knn.CellIndex(np.zeros((1, dimensions)), metric)
+            rows = [(i, c.tolist()) for i, c in enumerate(index.centres)]
+            self._save(self.db.spark.createDataFrame(rows, "cell int, centre array<double>"), f"centres.{about['slot']}")
+            for s in manifest["segments"]:
+                self._index_segment(self._table(s["name"]), about, s["name"])
+        self._index(f"vector:{field}", about)
 
     def drop_vector_index(self, field: str) -> None:
         if f"vector:{field}" not in self.manifest()["indexes"]:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import EngineError
 from quillon.functions import crypto, dynamic, ids
-from quillon.operators import find, shape, sync, text_search, updates
+from quillon.operators import find, hybrid, knn, shape, sync, text_search, updates
 from quillon.sources import io
 from quillon.sources.collection import Database
 from quillon.streaming import live
@@ -115,6 +115,12 @@ def test_the_text_index_follows_every_write(spark, db):
     assert c.find_by_id(made[5])["n"] == 6 and same() == 16
     c.compact(vacuum=True)
     assert same() == 16 and len(c.manifest()["segments"]) == 1 and len([n for n in db.store.names("t") if n.startswith("seg-")]) == 2
+    v = c.find().select("_id", F.array(F.col("n").cast("double"), F.lit(1.0)).alias("v"), "body", "n")
+    d = db.collection("both")
+    d.insert_many(v)
+    d.create_text_index("body"), d.create_vector_index("v", 2)
+    want = hybrid.hybrid_search(v, "body", "tea ink", "v", [1.0, 2.0], 5, filter={"n": {"$gt": 4}}).collect()
+    assert d.hybrid_search("body", "tea ink", "v", [1.0, 2.0], 5, filter={"n": {"$gt": 4}}).collect() == want and len(want) == 5
     plan = c.search_text("body", "tea")._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan  # no text is tokenized again
 
@@ -143,6 +149,37 @@ def test_writes_cost_what_they_touch(spark, db):
         c.changes(1)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_the_stored_approximate_index_follows_every_write(spark, db, metric):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 12))
+    x = np.repeat(base, 50, 0) + rng.normal(scale=0.2, size=(2000, 12))
+    frame = lambda ids, v: spark.createDataFrame([(int(i), a.tolist()) for i, a in zip(ids, v, strict=True)], "_id long, v array<double>")
+    c = db.collection("ann")
+    c.insert_many(frame(range(1000), x[:1000]))
+    c.create_vector_index("v", 12, metric, approximate=True)
+    c.insert_many(frame(range(1000, 2000), x[1000:]))
+    c.delete_many({"_id": {"$lt": 100}})
+    c.replace_many(frame(range(100, 200), x[1900:]))
+
+    def recall():
+        right = 0
+        for q in rng.choice(2000, 8, replace=False):
+            want = {r["_id"] for r in knn.find_nearest(c.find(), "v", x[q].tolist(), 10, metric).collect()}
+            got = c.find_nearest("v", x[q].tolist(), 10).collect()
+            assert [r["score"] for r in got] == sorted((r["score"] for r in got), reverse=True) and all(r["_id"] >= 100 for r in got)
+            right += len(want & {r["_id"] for r in got})
+        return right / 80
+
+    assert recall() >= 0.9
+    c.compact(vacuum=True)
+    assert recall() >= 0.9 and c.find_nearest("v", x[0].tolist(), 2500).count() == 1900
+    with pytest.raises(EngineError):
+        db.collection("ann2").create_vector_index("v", 12, "dot", approximate=True) or knn.CellIndex.fit(c.find(), "v", "dot")
+
+
 def test_of_two_writers_one_fails(db, monkeypatch):
     a, b = db.collection("two"), db.collection("two")
     a.insert({"n": 1})
