@@ -10,9 +10,14 @@ K1, B = 1.2, 0.75
 _SPLIT = r"[^\p{IsAlphabetic}\p{N}]+"
 
 
+def raw_tokens(text: Column) -> Column:
+    """Runs of letters and digits as they stand, also those too short for a token, and empty ones at the ends."""
+    return F.split(text, _SPLIT)
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits of at least two bytes, lower-cased; null for null."""
-    return F.transform(F.filter(F.split(text, _SPLIT), lambda t: F.octet_length(t) >= 2), F.lower)
+    return F.transform(F.filter(raw_tokens(text), lambda t: F.octet_length(t) >= 2), F.lower)
 
 
 def query_tokens(text: str) -> list[str]:

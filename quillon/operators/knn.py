@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..errors import EngineError
@@ -16,6 +19,8 @@ from ..functions.vector import METRICS, score
 from ..plans.filters import matching
 from ..plans.pipeline import INT_MAX
 
+#: Vectors from this length on are scored in numpy, if no more rows than this are asked for.
+LONG, KEPT = 128, 10_000
 #: Query vectors that travel to the tasks at once.
 QUERY_BLOCK = 4096
 
@@ -30,10 +35,54 @@ def find_nearest(df: DataFrame, field: str, query: Sequence[float], top_k: int =
     before ranking; null vectors and vectors of another length are skipped."""
     check_dimensions(query, dimensions)
     fits = matching(df, filter).filter(F.size(field) == len(query))  # on the vector, so the score is computed once
+    if len(query) >= LONG and 0 < top_k <= KEPT:
+        return _nearest_rows(fits, field, query, top_k, metric)
     found = fits.withColumn("score", score(F.col(field), list(query), metric))
     return found.orderBy(F.desc("score"), F.asc("_id")).limit(min(max(top_k, 0), INT_MAX))
 
 
+def _nearest_rows(fits: DataFrame, field: str, query: Sequence[float], top_k: int, metric: str) -> DataFrame:
+    """:func:`find_nearest` where numpy scores whole batches; a task keeps its best ``top_k`` rows."""
+    if metric not in METRICS:
+        raise EngineError("InvalidOperation", f"unknown metric {metric!r}")
+    asked, names = np.array(query, np.float64), fits.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(names.index(field))
+            flat = lists.flatten()
+            with np.errstate(invalid="ignore", over="ignore"):
+                s = _score_rows(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1), asked, metric)
+            bare = flat.is_null().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).any(1)
+            if metric == "cosine":  # a vector with a null is as far as a zero one; else it has no score
+                s, bare = np.where(bare, 0, s), None
+            rows = pa.Table.from_batches([b]).append_column("score", pa.array(s, mask=bare))
+            order = pa.array(np.where(np.isnan(s), np.inf, s), mask=bare)  # as Spark orders: not a number first, null last
+            rows = rows.append_column("__order", order)
+            rows = rows if best is None else pa.concat_tables([best, rows])
+            at = pc.sort_indices(rows, [("__order", "descending"), ("_id", "ascending")])[:top_k]
+            best = rows.take(at).combine_chunks()
+        if best is not None:
+            yield from best.drop_columns(["__order"]).to_batches()
+
+    kind = T.StructType([*fits.schema, T.StructField("score", T.DoubleType())])
+    return fits.mapInArrow(run, kind).orderBy(F.desc("score"), F.asc("_id")).limit(top_k)
+
+
+def _score_rows(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "dot":
+        return vectors @ query
+    if metric == "cosine":
+        own = np.sqrt(np.einsum("nd,nd->n", vectors, vectors))
+        size = own * math.sqrt(math.fsum(query * query))
+        return np.divide(vectors @ query, size, out=np.zeros(len(vectors)), where=~(size <= 0))
+    gap = vectors - query
+    return 1 / (1 + np.sqrt(np.einsum("nd,nd->n", gap, gap)))
+
+
 def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     dot = queries @ vectors.T
     if metric == "dot":

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import B, K1, bm25_term, idf, query_tokens, tokens
+from ..functions.text import B, K1, bm25_term, idf, query_tokens, raw_tokens, tokens
 from ..plans.filters import compile_filter
 from ..plans.pipeline import INT_MAX
 
@@ -54,6 +54,11 @@ def search_postings(df: DataFrame, found: DataFrame, n: int, total: int, query:
     counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # a row for each query token
     term = bm25_term(F.col("tf"), F.col("len"), F.lit(total / n), idf(F.lit(n), F.col("df")), k1, b)
     scored = found.join(F.broadcast(counts), "token").groupBy("_id").agg(F.sum(term).alias("score"))
+    return _best_of(df, scored, top_k, filter)
+
+
+def _best_of(df: DataFrame, scored: DataFrame, top_k: int, filter: object) -> DataFrame:  # noqa: A002
+    """The documents of the best scores among those that match the filter."""
     narrowed = compile_filter(filter, df.schema)
     if narrowed is not None:
         scored = scored.join(df.filter(narrowed).select("_id"), "_id", "left_semi")
@@ -65,22 +70,17 @@ def search_text(df: DataFrame, field: str, query: str, top_k: int = 10, filter:
     """``df``'s best documents with ``score``: any query token counts, scores add up, best first,
     ties by ``_id``. ``filter`` narrows the candidates, not the corpus statistics.
 
-    Without an index every text is read. The frequencies of the few query tokens come from one pass
-    over a text's tokens; as the output of a generator they are computed once, not in every filter
-    and term that names them. The only exchanges are the one-row statistics and the final top-k.
+    Without an index every text is read, once: its tokens are counted by ``_id``, and the counts serve
+    both the one-row statistics and the scores. Only the best documents are read again.
     """
     asked = query_tokens(query)
     if top_k <= 0 or not asked:
         return _none(df)
-    narrowed = compile_filter(filter, df.schema)
-    candidate = F.lit(True) if narrowed is None else F.coalesce(narrowed, F.lit(False))
-    frequency = lambda t: F.size(F.filter("__t", lambda x: x == t))
-    kept = df.filter(F.col(field).isNotNull()).select(*df.columns, candidate.alias("__candidate"), tokens(F.col(field)).alias("__t"))
-    once = F.array(F.struct(F.size("__t").alias("len"), F.array(*map(frequency, asked)).alias("tf")))
-    base = kept.select(*df.columns, "__candidate", F.explode(once).alias("__f"))
-    tf = lambda i: F.col("__f.tf")[i]
-    stats = base.agg(F.count(F.lit(1)).alias("__n"), F.avg("__f.len").alias("__avg"), *(F.count_if(tf(i) > 0).alias(f"__df{i}") for i in range(len(asked))))
-    some = base.filter("__candidate").filter(reduce(lambda x, y: x | y, (tf(i) > 0 for i in range(len(asked)))))
-    joined = some.crossJoin(F.broadcast(stats))  # one row of statistics
-    terms = [bm25_term(tf(i), F.col("__f.len"), F.col("__avg"), idf(F.col("__n"), F.col(f"__df{i}")), k1, b) for i in range(len(asked))]
-    return _best(joined.withColumn("score", reduce(lambda x, y: x + y, terms)).select(*df.columns, "score"), top_k)
+    each = df.filter(F.col(field).isNotNull()).select("_id", F.explode(raw_tokens(F.col(field))).alias("t"))
+    each = each.select("_id", F.when(F.octet_length("t") >= 2, F.lower("t")).alias("t"))
+    tfs = [f"tf{i}" for i in range(len(asked))]
+    held = each.groupBy("_id").agg(F.count("t").alias("len"), *(F.count_if(F.col("t") == t).alias(c) for t, c in zip(asked, tfs, strict=True)))
+    stats = held.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(c) > 0).alias(f"{c}_df") for c in tfs))
+    some = held.filter(reduce(lambda x, y: x | y, (F.col(c) > 0 for c in tfs))).crossJoin(F.broadcast(stats))  # one row of statistics
+    terms = [bm25_term(F.col(c), F.col("len"), F.col("avg"), idf(F.col("n"), F.col(f"{c}_df")), k1, b) for c in tfs]
+    return _best_of(df, some.select("_id", reduce(lambda x, y: x + y, terms).alias("score")), top_k, filter)

@@ -64,6 +64,24 @@ def test_long_vectors_and_batches_agree(spark):
             assert [r["_id"] for r in batch.filter(f"query_id = {q}").orderBy("rank").collect()] == one
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_long_vectors_rank_alike_in_numpy_and_in_expressions(spark, monkeypatch, metric):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 130)).round(2)
+    x[7] = 0
+    rows = [(i, v.tolist(), "a" if i % 3 else "b") for i, v in enumerate(x)] + [(400, None, "a"), (401, [1.0], "a"), (402, [None] + [1.0] * 129, "a"), (403, [float("nan")] + [1.0] * 129, "b"), (404, x[5].tolist(), "a")]
+    df = spark.createDataFrame(rows, "_id int, v array<double>, g string").repartition(5)
+    for how in ({"top_k": 12}, {"top_k": 400}, {"top_k": 9, "filter": {"g": "b"}}):
+        fast = knn.find_nearest(df, "v", x[5].tolist(), metric=metric, **how)
+        assert "MapInArrow" in fast._jdf.queryExecution().optimizedPlan().toString()
+        monkeypatch.setattr(knn, "LONG", 1000)
+        plain = knn.find_nearest(df, "v", x[5].tolist(), metric=metric, **how)
+        monkeypatch.undo()
+        got, want = fast.collect(), plain.collect()
+        assert [r["_id"] for r in got] == [r["_id"] for r in want] and fast.columns == plain.columns
+        assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], abs=1e-12, nan_ok=True)
+
+
 def test_approximate_index_ranks_like_exact(spark):
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(20, 8)), 20, 0) + rng.normal(scale=0.05, size=(400, 8))
