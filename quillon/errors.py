@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 #: The codes that callers may test for.
-CODES = frozenset(
-    """Storage Serialization NotFound InvalidFilter IndexExists IndexNotFound Migration TypeError
-    Encryption WatchClosed WatchBackpressure InvalidSnapshot VectorIndexNotFound VectorDimensionMismatch
-    CompoundIndexMultipleArrays DuplicateId InvalidDocumentId InvalidOperation Config InvalidName
-    QueryTimeout ChangesetTooLarge""".split()
-)
+CODES = frozenset({
+    "ChangesetTooLarge", "CompoundIndexMultipleArrays", "Config", "DuplicateId", "Encryption", "IndexNotFound",
+    "InvalidDocumentId", "InvalidFilter", "InvalidName", "InvalidOperation", "InvalidSnapshot", "Migration", "NotFound",
+    "QueryTimeout", "Serialization", "Storage", "TypeError", "VectorDimensionMismatch", "VectorIndexNotFound",
+    "WatchClosed",
+})
 
 
 class EngineError(Exception):
