@@ -46,8 +46,13 @@ PAD, START = GROUPS, GROUPS + 1
 DISCOUNT = 0.75
 SHARD, ROUNDS = 4_000_000, 3
 HEAD = 65_536
+#: Distinct words whose counts a task of the join holds, about.
+PART_WORDS = 500_000
 #: Windows of one step of descent, and of one scored batch: their scores stay in the processor's cache.
 STEP = 64
+#: Windows whose gradients are worked out together: what they need stays in the processor's cache.
+PART = 32
+ONES = np.ones(CLASSES, np.float32)
 
 
 # --- the model ---------------------------------------------------------------------------------
@@ -74,90 +79,110 @@ class AttentionModel:
             self.p["distance"][:] = -0.05 * np.arange(WINDOW)
             self.p["out"] *= 0.1
             self.p["bias"][:] = 0
-        gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        self.gap, self.future = np.maximum(gap, 0), gap < 0
+        #: Keys, and values beside a one, of every group; padding has the value and the one of nothing.
+        self.kv = np.ones((GROUPS + 2, 2 * WIDTH + 1), np.float32)
+        self.kv[PAD, 2 * WIDTH] = 0
+        self.gap = np.maximum(np.arange(WINDOW)[None, :] - np.arange(WINDOW)[:, None], 0)  # from a key to a query
         self.refresh()
 
     def refresh(self) -> None:
-        """What follows from the weights for every group: queries, keys, and values beside a one;
-        padding has the value and the one of nothing."""
+        """What follows from the weights for every group and distance."""
         p = self.p
-        self.q, self.k = self.features @ p["q"], self.features @ p["k"]
-        self.v = np.concatenate((self.features @ p["v"], np.ones((GROUPS + 2, 1), np.float32)), 1)
-        self.v[PAD] = 0
-        self.shift = np.where(self.future, np.float32(-1e9), p["distance"][self.gap])
-        high = float(np.sqrt((self.q * self.q).sum(1).max() * (self.k * self.k).sum(1).max())) + float(p["distance"].max())
-        self.cap = np.float32(60) if high > 60 else None  # else no exponential can overflow
-        self.steep = float(np.sqrt((self.v[:, :WIDTH] ** 2).sum(1).max() * (p["out"] ** 2).sum(0).max())) + float(p["bias"].max()) > 60
-
-    def attend(self, x: np.ndarray, first: int) -> tuple:
-        """Queries (of the places from ``first`` on), keys, values, weights, mixtures and sums of weights."""
-        q, k, v = self.q[x[:, first:]], self.k[x], self.v[x]
-        e = q @ k.transpose(0, 2, 1)
-        e += self.shift[first : x.shape[1], : x.shape[1]]
-        if self.cap is not None:
-            np.minimum(e, self.cap, out=e)
+        self.q = self.features @ p["q"]
+        self.kv[:, : 2 * WIDTH] = self.features @ np.concatenate((p["k"], p["v"]), 1)
+        self.of = self.biased = None
+        spread = np.concatenate((np.full(WINDOW - 1, -1e9, np.float32), p["distance"]))  # a key that is ahead has no weight
+        step = spread.strides[0]
+        self.shift = np.lib.stride_tricks.as_strided(spread[WINDOW - 1 :], (WINDOW, WINDOW), (-step, step)).copy()
+        v = self.kv[:, WIDTH : 2 * WIDTH]
+        self.steep = not math.sqrt(np.einsum("ij,ij->i", v, v).max() * (p["out"] ** 2).sum(0).max()) + p["bias"].max() <= 60
+
+    def attend(self, q: np.ndarray, kv: np.ndarray) -> tuple:
+        """Weights (of keys for queries), mixtures and sums of weights of the windows' last places,
+        given their queries and the keys and values of all places.
+
+        Here and below no second factor is transposed and products are by window: so they are
+        small, and the library multiplies them in place.
+        """
+        first, places = kv.shape[1] - q.shape[1], kv.shape[1]
+        e = kv[:, :, :WIDTH] @ np.ascontiguousarray(q.transpose(0, 2, 1))
+        e += self.shift[:places, first:places]
+        if not e.max(initial=0) <= 60:  # else no exponential can overflow
+            np.minimum(e, np.float32(60), out=e)
         np.exp(e, out=e)
-        u = e @ v
+        u = e.transpose(0, 2, 1) @ kv[:, :, WIDTH:]
         total = u[:, :, WIDTH:] + np.float32(1e-30)
-        return q, k, v, e, u[:, :, :WIDTH] / total, total
+        return e, u[:, :, :WIDTH] / total, total
 
     def _odds(self, mixed: np.ndarray, prior: np.ndarray, last: np.ndarray) -> np.ndarray:
-        z = mixed @ self.p["out"]
-        z += self.p["bias"]
-        z += prior[last]
+        """The classes' log odds, a row for each place."""
+        if self.of is not prior:
+            self.of, self.biased = prior, prior + self.p["bias"]
+        z = (mixed @ self.p["out"]).reshape(-1, CLASSES)
+        z += self.biased.take(last.reshape(-1), 0)
         return np.clip(z, -80, 80, out=z) if self.steep else z
 
     def score(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Natural log probability of each class in ``goal`` (-1 none) after the windows' last places."""
-        first = x.shape[1] - goal.shape[1]
-        mixed, goal, last = self.attend(x, first)[4].reshape(-1, WIDTH), goal.reshape(-1), x[:, first:].reshape(-1)
-        if goal.min(initial=0) < 0:
-            live = goal >= 0
-            mixed, goal, last = mixed[live], goal[live], last[live]
+        last = x[:, x.shape[1] - goal.shape[1] :]
+        mixed = self.attend(self.q.take(last, 0), self.kv.take(x, 0))[1]
+        at, goal = np.flatnonzero(goal.reshape(-1) >= 0), goal.reshape(-1)
+        goal = goal[at]
+        if len(at) < 0.75 * last.size:  # else it is cheaper to leave the few others in
+            mixed, last, at = mixed.reshape(-1, WIDTH)[at], last.reshape(-1)[at], np.arange(len(at))
         z = self._odds(mixed, prior, last)
-        value = z[np.arange(len(goal)), goal].astype(np.float64)
+        value = z[at, goal].astype(np.float64)
         np.exp(z, out=z)
-        return value - np.log(z.sum(1, dtype=np.float32))
+        return value - np.log(z @ ONES)[at]
 
     def gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over the classes in ``goal`` (-1 none), in the layout of ``flat``."""
-        first, many = x.shape[1] - goal.shape[1], max(1, int((goal >= 0).sum()))
-        total = np.zeros(self.SIZE, np.float32)
-        for low in range(first, x.shape[1], STRIDE):  # no place sees a later one, so the first need not meet the last
-            high = min(low + STRIDE, x.shape[1])
-            total += self._gradient(x[:, :high], prior, goal[:, low - first : high - first], many)
-        return total
-
-    def _gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray, many: int) -> np.ndarray:
-        first = x.shape[1] - goal.shape[1]
-        q, k, v, e, mixed, total = self.attend(x, first)
-        flat, goal, last = mixed.reshape(-1, WIDTH), goal.reshape(-1), x[:, first:].reshape(-1)
-        z = self._odds(flat, prior, last)
+        share = np.float32(1 / max(1, int((goal >= 0).sum())))
+        return sum(self._gradient(x[at : at + PART], prior, goal[at : at + PART], share) for at in range(0, len(x), PART))
+
+    def _gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray, share: np.float32) -> np.ndarray:
+        """Gradient of the loss times ``share``, summed over the classes in ``goal``."""
+        first, places = x.shape[1] - goal.shape[1], x.shape[1]
+        q, kv = self.q.take(x[:, first:], 0), self.kv.take(x, 0)
+        mixed, total, seen = np.empty(q.shape, np.float32), np.empty((*goal.shape, 1), np.float32), []
+        for low in range(first, places, STRIDE):  # no place sees a later one, so the first need not meet the last
+            high = min(low + STRIDE, places)
+            mine = slice(low - first, high - first)
+            e, mixed[:, mine], total[:, mine] = self.attend(q[:, mine], kv[:, :high])
+            seen.append((e, mine, low, high))
+        # The classes: ``z`` times ``scale`` is the odds' gradient.
+        z, hit = self._odds(mixed, prior, x[:, first:]), goal.reshape(-1)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        live = goal >= 0
-        z[np.flatnonzero(live), goal[live]] -= 1
-        if not live.all():
-            z[~live] = 0
-        z /= np.float32(many)
-        d_mixed = (z @ self.p["out"].T).reshape(mixed.shape)
-        d_u = np.concatenate((d_mixed, -(d_mixed * mixed).sum(2, keepdims=True)), 2)
-        d_u /= total
-        d_s = d_u @ v.transpose(0, 2, 1)
-        d_s *= e
-        back = d_s.transpose(0, 2, 1)
-        d_kv = np.concatenate((back @ q, e.transpose(0, 2, 1) @ np.ascontiguousarray(d_u[:, :, :WIDTH])), 2)
-        if (x == PAD).any():
-            d_kv[x == PAD] = 0
-        rows = self.features[x]
-        asked = rows[:, first:].reshape(-1, FEATURES)
-        kv = rows.reshape(-1, FEATURES).T @ d_kv.reshape(-1, 2 * WIDTH)
-        gap, future = self.gap[first : x.shape[1], : x.shape[1]], self.future[first : x.shape[1], : x.shape[1]]
-        g = {
-            "q": asked.T @ (d_s @ k).reshape(-1, WIDTH), "k": kv[:, :WIDTH], "v": kv[:, WIDTH:],
-            "distance": np.bincount(gap.ravel(), np.where(future, 0, d_s.sum(0)).ravel(), WINDOW), "out": flat.T @ z, "bias": z.sum(0),
-        }
+        sums = z @ ONES
+        if self.steep:
+            z /= sums[:, None]
+            sums[:] = 1
+        at = np.flatnonzero(hit >= 0)
+        z[at, hit[at]] -= sums[at]
+        scale = share / sums
+        scale[hit < 0] = 0
+        z, wide = z.reshape(len(x), -1, CLASSES), scale.reshape(total.shape)
+        g = {"out": ((mixed * wide).transpose(0, 2, 1) @ z).sum(0), "bias": scale @ z.reshape(-1, CLASSES), "distance": 0}
+        d_u = z @ np.ascontiguousarray(self.p["out"].T)
+        d_u *= wide / total
+        d_total = -((d_u * mixed).reshape(-1, WIDTH) @ ONES[:WIDTH]).reshape(goal.shape)
+        # The attention: gradients of each place's query, key and value.
+        d_q, d_k = np.empty(q.shape, np.float32), None
+        for e, mine, low, high in seen[::-1]:  # first the last places, which meet all
+            turned = np.empty((len(x), WIDTH + 1, high - low), np.float32)
+            turned[:, :WIDTH], turned[:, WIDTH] = d_u[:, mine].transpose(0, 2, 1), d_total[:, mine]
+            d_s = kv[:, :high, WIDTH:] @ turned
+            d_s *= e
+            np.matmul(d_s.transpose(0, 2, 1), kv[:, :high, :WIDTH], out=d_q[:, mine])
+            if d_k is None:
+                d_k, d_v = d_s @ q[:, mine], e @ d_u[:, mine]
+            else:
+                d_k[:, :high] += d_s @ q[:, mine]
+                d_v[:, :high] += e @ d_u[:, mine]
+            by_place = np.ones(len(x), np.float32) @ d_s.reshape(len(x), -1)
+            g["distance"] = g["distance"] + np.bincount(self.gap[:high, low:high].ravel(), by_place, WINDOW)  # of keys ahead 0
+        rows = self.features.take(x, 0).transpose(0, 2, 1)  # of padding 0
+        g |= {"q": (rows[:, :, first:] @ d_q).sum(0), "k": (rows @ d_k).sum(0), "v": (rows @ d_v).sum(0)}
         return np.concatenate([np.asarray(g[name], np.float32).ravel() for name, _ in self.SHAPES])
 
     def descend(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], prior: np.ndarray, rate: float = 0.005) -> int:
@@ -311,7 +336,10 @@ class _Sums:
     def merged(self) -> pa.Table:
         if not self.parts:
             return pa.table({"token": pa.array([], pa.large_binary()), "c": pa.array([], pa.int64())})
-        return pa.concat_tables(self.parts).group_by("token").aggregate([("c", "sum")]).rename_columns(["token", "c"])
+        every = pa.concat_tables(self.parts)
+        tokens = every.column("token").combine_chunks().dictionary_encode()
+        sums = np.bincount(tokens.indices.to_numpy(), every.column("c").to_numpy(), len(tokens.dictionary))  # exact to 2**53
+        return pa.table({"token": tokens.dictionary, "c": sums.astype(np.int64)})
 
 
 def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -379,6 +407,14 @@ def _flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, many + 1
 
 
+def _add_pairs(found: np.ndarray, flat: np.ndarray, many: np.ndarray, group: np.ndarray, rank: np.ndarray, used: int) -> None:
+    """Count the texts' ids by the group before and their own rank, in a table of ``used`` ranks."""
+    before = np.empty(len(flat), np.int64)
+    before[1:] = group[flat[:-1]]
+    before[np.cumsum(many) - many] = START
+    np.add.at(found, before * used + rank[flat], np.int32(1))  # a number of another type takes 30 times as long
+
+
 def count_pairs(made: DataFrame, ids: np.ndarray) -> DataFrame:
     """``g, following``: for each group that occurs, the ids that follow it in training rows, with
     their numbers (``id, n``). At most ``GROUPS + 1`` rows of ``VOCAB`` entries."""
@@ -390,10 +426,7 @@ def count_pairs(made: DataFrame, ids: np.ndarray) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 flat, many = _flat_ids(b.column("ids"))
-                before = np.empty(len(flat), np.int64)
-                before[1:] = group[flat[:-1]]
-                before[np.cumsum(many) - many] = START
-                np.add.at(found, before * used + rank[flat], 1)
+                _add_pairs(found, flat, many, group, rank, used)
         at = np.flatnonzero(found)
         for i in range(0, len(at), 100_000):
             part = at[i : i + 100_000]
@@ -445,8 +478,9 @@ def train(made: DataFrame, counts: Counts, total: int, shard: int = SHARD, round
                     part = np.append(sums, seen)[at : at + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), pa.array(part)], ["at", "total"])
 
-        # by range, so that every task has a shard
-        dealt = rows.filter(F.col("shard") % rounds == turn).repartitionByRange(shards // rounds, "shard").sortWithinPartitions("shard", "d", F.xxhash64("ids"))
+        # a shard to a task, known without a pass that samples the rows
+        dealt = rows.filter(F.col("shard") % rounds == turn).repartitionById(shards // rounds, ((F.col("shard") - turn) / rounds).cast("int"))
+        dealt = dealt.sortWithinPartitions("shard", "d", F.xxhash64("ids"))
         found = map_arrow(dealt.select("shard", "ids"), descend, "at long, total double").groupBy("at").agg(F.sum("total").alias("total"))
         sums = np.zeros(AttentionModel.SIZE + 1)
         for at, value in found.collect():  # one row for each weight
@@ -516,11 +550,14 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, head: int = HEA
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     made, counted, counts, model = fit(docs, tokenizer, shard)
     words = counted.filter("kind = 1").select(F.col("token").alias("word"), "c")
-    total, distinct = words.agg(F.sum("c"), F.count("*")).first()
-    total = total or 0
+    # How many words have each count: different counts are fewer than the root of twice the tokens.
+    sizes = words.groupBy("c").count().toArrow().sort_by([("c", "descending")])
+    often, at_least = np.cumsum(sizes.column("count").to_numpy()), sizes.column("c").to_numpy()
+    total, distinct = int(at_least @ np.diff(often, prepend=0)), int(often[-1]) if len(often) else 0
     base = math.log10(total + 0.5 * (distinct + 1))
-    # The most frequent words: at most ``head`` of them, and the end.
-    top = words.orderBy(F.desc("c"), "word").limit(head).toArrow()
+    # The most frequent words, all that have some count or more: at most ``head`` of them.
+    known = int(np.searchsorted(often, head, "right"))
+    top = words.filter(F.col("c") >= F.lit(int(at_least[known - 1]) if known else total + 1)).toArrow()
     ends = next((r[0] for r in words.filter("word = X''").select("c").collect()), 0)
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((counts, model.flat, top.column("word").combine_chunks().cast(pa.large_binary()).cast(pa.large_string()), np.log10(top.column("c").to_numpy() + 0.5)))
@@ -553,7 +590,9 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, head: int = HEA
     kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, sum double, score double, n_ids long, rare array<binary>, often array<long>"
     scored = materialize(map_arrow(made.filter("kind = 0").select("row", "doc_id", "held", "text", "ids"), run, kind), "scored", "zstd")
     each = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.often").alias("m"))
-    joined = each.join(words, "word", "left").groupBy("row").agg(
+    # Words are dealt so that a task can hold its part of their counts: then neither side is sorted.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // PART_WORDS))
+    joined = each.repartition(tasks, "word").join(words.repartition(tasks, "word").hint("shuffle_hash"), "word", "left").groupBy("row").agg(
         F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known")
     )
     return scored.drop("rare", "often").join(joined, "row", "left").select(
