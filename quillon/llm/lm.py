@@ -47,7 +47,7 @@ DISCOUNT = 0.75
 SHARD, ROUNDS = 4_000_000, 3
 HEAD = 65_536
 #: Distinct words whose counts a task of the join holds, about.
-PART_WORDS = 500_000
+PART_WORDS = 250_000
 #: Windows of one step of descent, and of one scored batch: their scores stay in the processor's cache.
 STEP = 64
 #: Windows whose gradients are worked out together: what they need stays in the processor's cache.
@@ -158,7 +158,7 @@ class AttentionModel:
             z /= sums[:, None]
             sums[:] = 1
         at = np.flatnonzero(hit >= 0)
-        z[at, hit[at]] -= sums[at]
+        z.reshape(-1)[at * CLASSES + hit[at]] -= sums[at]
         scale = share / sums
         scale[hit < 0] = 0
         z, wide = z.reshape(len(x), -1, CLASSES), scale.reshape(total.shape)
@@ -205,17 +205,17 @@ def windows_of(groups: np.ndarray, classes: np.ndarray, many: np.ndarray, stride
     before = WINDOW - stride  # places of a window that only give context
     blocks = -(-many // stride)
     rows = blocks + bool(before)
-    x = np.full((int(rows.sum()), stride), PAD, np.int16)
+    flat = np.full(int(rows.sum()) * stride + 1, PAD, np.int16)
     goal = np.full((int(blocks.sum()), stride), -1, np.int16)
     start, first, ends = np.cumsum(rows) - blocks, np.cumsum(blocks) - blocks, np.cumsum(many)
-    number = np.arange(int(many.sum())) - np.repeat(ends - many, many)
-    place = np.repeat(first * stride, many) + number
+    place = np.repeat(first * stride - (ends - many), many)
+    place += np.arange(len(place))
     goal.reshape(-1)[place] = classes
-    flat = x.reshape(-1)
+    after = place + np.repeat((start - first) * stride + 1, many) if before else place + 1
+    flat[after] = groups
+    flat[after[ends - 1]] = PAD  # the end precedes nothing
     flat[start * stride] = START
-    inner = np.ones(len(number), bool)
-    inner[ends - 1] = False  # the end precedes nothing
-    flat[(np.repeat(start * stride, many) + number + 1)[inner]] = groups[inner]
+    x = flat[:-1].reshape(-1, stride)
     if not before:
         return x, goal, place
     head = np.repeat(start, blocks) + np.arange(len(goal)) - np.repeat(first, blocks)
@@ -313,9 +313,15 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     split = pc.split_pattern(folded, " ")
     flat = split.flatten()
     owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
-    real = pc.not_equal(flat, "")
-    found = flat.filter(real).dictionary_encode()
-    return found.dictionary, found.indices.to_numpy().astype(np.int64), owner[real.to_numpy(zero_copy_only=False).astype(bool)]
+    found = flat.dictionary_encode()
+    words, code = found.dictionary, found.indices.to_numpy().astype(np.int64)
+    nothing = pc.index(words, "").as_py()
+    if nothing < 0:
+        return words, code, owner
+    real = code != nothing
+    code, owner = code[real], owner[real]
+    code -= code > nothing
+    return pa.concat_arrays([words[:nothing], words[nothing + 1 :]]), code, owner
 
 
 def _held(doc_id: int | None) -> bool:
@@ -514,16 +520,21 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 def score_ids(model: AttentionModel, counts: Counts, ids: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Log10 probability of each text; ``many`` ids of each follow one another, its end the last."""
-    x, goal, place = windows_of(counts.group[ids], counts.class_of[ids], many)
+    groups, starts = counts.group[ids], np.cumsum(many) - many
+    x, goal, place = windows_of(groups, counts.class_of[ids], many)
     found = np.zeros(goal.shape)
     for at in range(0, len(x), STEP):
         part = goal[at : at + STEP]
         found[at : at + STEP][part >= 0] = model.score(x[at : at + STEP], counts.prior, part)
     last = np.empty(len(ids), np.int64)
-    last[1:] = counts.group[ids[:-1]]
-    last[np.cumsum(many) - many] = START
-    each = found.reshape(-1)[place] / math.log(10) + counts.inner[last, counts.rank[ids]]
-    return np.add.reduceat(each, np.cumsum(many) - many) if len(many) else np.empty(0)
+    last[1:] = groups[:-1]
+    last[starts] = START
+    last *= counts.inner.shape[1]
+    last += counts.rank[ids]
+    each = found.reshape(-1).take(place)
+    each /= math.log(10)
+    each += counts.inner.reshape(-1).take(last)
+    return np.add.reduceat(each, starts) if len(many) else np.empty(0)
 
 
 def fit(docs: DataFrame, tokenizer: str = TOKENIZER, shard: int = SHARD) -> tuple[DataFrame, DataFrame, Counts, AttentionModel]:
@@ -579,23 +590,23 @@ def score_documents(docs: DataFrame, tokenizer: str = TOKENIZER, head: int = HEA
             far = often < 0
             pair, times = np.unique(owner[far] * max(1, len(distinct)) + code[far], return_counts=True)
             cut = np.searchsorted(pair // max(1, len(distinct)), np.arange(n + 1)).astype(np.int32)
-            rare = pa.ListArray.from_arrays(pa.array(cut), distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.binary()))
+            rare = distinct.take(pa.array(pair % max(1, len(distinct)))).cast(pa.binary())
+            rare = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([rare, pa.array(times.astype(np.int64))], ["word", "m"]))
             cols = [
-                b.column("row"), b.column("doc_id"), b.column("held"), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(have), pa.array(near), pa.array(score), pa.array(many),
-                rare, pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int64))),
+                b.column("row"), b.column("doc_id"), b.column("held"), pa.array(np.bincount(owner, minlength=n) + 1), pa.array(have), pa.array(near), pa.array(score), pa.array(many), rare,
             ]
             for at in range(0, n, BATCH_ROWS):
-                yield pa.RecordBatch.from_arrays([c.slice(at, BATCH_ROWS) for c in cols], ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "n_ids", "rare", "often"])
+                yield pa.RecordBatch.from_arrays([c.slice(at, BATCH_ROWS) for c in cols], ["row", "doc_id", "held_out", "n_tokens", "known", "sum", "score", "n_ids", "rare"])
 
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, sum double, score double, n_ids long, rare array<binary>, often array<long>"
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, known long, sum double, score double, n_ids long, rare array<struct<word:binary,m:long>>"
     scored = materialize(map_arrow(made.filter("kind = 0").select("row", "doc_id", "held", "text", "ids"), run, kind), "scored", "zstd")
-    each = scored.select("row", F.explode(F.arrays_zip("rare", "often")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.often").alias("m"))
+    each = scored.select("row", F.inline("rare"))
     # Words are dealt so that a task can hold its part of their counts: then neither side is sorted.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct // PART_WORDS))
     joined = each.repartition(tasks, "word").join(words.repartition(tasks, "word").hint("shuffle_hash"), "word", "left").groupBy("row").agg(
         F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("rare_known")
     )
-    return scored.drop("rare", "often").join(joined, "row", "left").select(
+    return scored.drop("rare").join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(base)).alias("base_score"), "score", "n_ids",
     )
