@@ -48,10 +48,10 @@ SHARD, ROUNDS = 4_000_000, 3
 HEAD = 65_536
 #: Distinct words whose counts a task of the join holds, about.
 PART_WORDS = 250_000
-#: Windows of one step of descent, and of one scored batch: their scores stay in the processor's cache.
+#: Windows of one step of descent.
 STEP = 64
-#: Windows whose gradients are worked out together: what they need stays in the processor's cache.
-PART = 32
+#: Windows whose gradients are worked out together, and windows scored together: what they need stays in the processor's cache.
+PART, SCORED = 16, 32
 ONES = np.ones(CLASSES, np.float32)
 
 
@@ -82,7 +82,8 @@ class AttentionModel:
         #: Keys, and values beside a one, of every group; padding has the value and the one of nothing.
         self.kv = np.ones((GROUPS + 2, 2 * WIDTH + 1), np.float32)
         self.kv[PAD, 2 * WIDTH] = 0
-        self.gap = np.maximum(np.arange(WINDOW)[None, :] - np.arange(WINDOW)[:, None], 0)  # from a key to a query
+        ahead = np.arange(WINDOW)[None, :] - np.arange(WINDOW)[:, None]  # from a key to a query
+        self.gap, self.spread = np.maximum(ahead, 0), ahead + WINDOW - 1
         self.refresh()
 
     def refresh(self) -> None:
@@ -91,15 +92,17 @@ class AttentionModel:
         self.q = self.features @ p["q"]
         self.kv[:, : 2 * WIDTH] = self.features @ np.concatenate((p["k"], p["v"]), 1)
         self.of = self.biased = None
-        spread = np.concatenate((np.full(WINDOW - 1, -1e9, np.float32), p["distance"]))  # a key that is ahead has no weight
-        step = spread.strides[0]
-        self.shift = np.lib.stride_tricks.as_strided(spread[WINDOW - 1 :], (WINDOW, WINDOW), (-step, step)).copy()
+        self.shift = np.concatenate((np.full(WINDOW - 1, -1e9, np.float32), p["distance"])).take(self.spread)  # a key that is ahead has no weight
         v = self.kv[:, WIDTH : 2 * WIDTH]
-        self.steep = not math.sqrt(np.einsum("ij,ij->i", v, v).max() * (p["out"] ** 2).sum(0).max()) + p["bias"].max() <= 60
+        # By the largest number of all values, else by the largest norm of a group's.
+        self.steep = not max(v.max(), -v.min()) * np.abs(p["out"]).sum(0).max() + p["bias"].max() <= 60
+        if self.steep:
+            self.steep = not math.sqrt(np.einsum("ij,ij->i", v, v).max() * (p["out"] ** 2).sum(0).max()) + p["bias"].max() <= 60
 
     def attend(self, q: np.ndarray, kv: np.ndarray) -> tuple:
-        """Weights (of keys for queries), mixtures and sums of weights of the windows' last places,
-        given their queries and the keys and values of all places.
+        """Weights (of keys for queries; a query's sum to one, beside those of padding, whose value is
+        nothing) and mixtures of the windows' last places, given their queries and the keys and values
+        of all places.
 
         Here and below no second factor is transposed and products are by window: so they are
         small, and the library multiplies them in place.
@@ -110,9 +113,11 @@ class AttentionModel:
         if not e.max(initial=0) <= 60:  # else no exponential can overflow
             np.minimum(e, np.float32(60), out=e)
         np.exp(e, out=e)
-        u = e.transpose(0, 2, 1) @ kv[:, :, WIDTH:]
-        total = u[:, :, WIDTH:] + np.float32(1e-30)
-        return e, u[:, :, :WIDTH] / total, total
+        total = kv[:, :, 2 * WIDTH :].transpose(0, 2, 1) @ e + np.float32(1e-30)
+        if not total.min(initial=1) >= 1e-12:  # else padding's weights cannot overflow
+            e *= kv[:, :, 2 * WIDTH :]
+        e *= 1 / total
+        return e, e.transpose(0, 2, 1) @ kv[:, :, WIDTH : 2 * WIDTH]
 
     def _odds(self, mixed: np.ndarray, prior: np.ndarray, last: np.ndarray) -> np.ndarray:
         """The classes' log odds, a row for each place."""
@@ -124,6 +129,7 @@ class AttentionModel:
 
     def score(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Natural log probability of each class in ``goal`` (-1 none) after the windows' last places."""
+        x = x.astype(np.intp)
         last = x[:, x.shape[1] - goal.shape[1] :]
         mixed = self.attend(self.q.take(last, 0), self.kv.take(x, 0))[1]
         at, goal = np.flatnonzero(goal.reshape(-1) >= 0), goal.reshape(-1)
@@ -138,33 +144,48 @@ class AttentionModel:
     def gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray) -> np.ndarray:
         """Gradient of the mean loss over the classes in ``goal`` (-1 none), in the layout of ``flat``."""
         share = np.float32(1 / max(1, int((goal >= 0).sum())))
-        return sum(self._gradient(x[at : at + PART], prior, goal[at : at + PART], share) for at in range(0, len(x), PART))
-
-    def _gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray, share: np.float32) -> np.ndarray:
-        """Gradient of the loss times ``share``, summed over the classes in ``goal``."""
+        flat, g, at = np.zeros(self.SIZE, np.float32), {}, 0
+        for name, shape in self.SHAPES:
+            g[name] = flat[at : at + math.prod(shape)].reshape(shape)
+            at += math.prod(shape)
+        met = np.zeros((x.shape[1], goal.shape[1]), np.float32)  # by key and query
+        x = x.astype(np.intp)
+        for at in range(0, len(x), PART):
+            self._gradient(x[at : at + PART], prior, goal[at : at + PART], share, g, met)
+        g["distance"][:] = np.bincount(self.gap[: len(met), x.shape[1] - goal.shape[1] : x.shape[1]].ravel(), met.ravel(), WINDOW)  # of keys ahead 0
+        return flat
+
+    def _gradient(self, x: np.ndarray, prior: np.ndarray, goal: np.ndarray, share: np.float32, g: dict[str, np.ndarray], met: np.ndarray) -> None:
+        """Add the gradient of the loss times ``share``, summed over the classes in ``goal``, to ``g``;
+        that of the distances to ``met``, by key and query."""
         first, places = x.shape[1] - goal.shape[1], x.shape[1]
         q, kv = self.q.take(x[:, first:], 0), self.kv.take(x, 0)
-        mixed, total, seen = np.empty(q.shape, np.float32), np.empty((*goal.shape, 1), np.float32), []
+        mixed, seen = np.empty(q.shape, np.float32), []
         for low in range(first, places, STRIDE):  # no place sees a later one, so the first need not meet the last
             high = min(low + STRIDE, places)
             mine = slice(low - first, high - first)
-            e, mixed[:, mine], total[:, mine] = self.attend(q[:, mine], kv[:, :high])
+            e, mixed[:, mine] = self.attend(q[:, mine], kv[:, :high])
             seen.append((e, mine, low, high))
-        # The classes: ``z`` times ``scale`` is the odds' gradient.
+        # The classes: ``z`` becomes the odds' gradient.
         z, hit = self._odds(mixed, prior, x[:, first:]), goal.reshape(-1)
         np.exp(z, out=z)
         sums = z @ ONES
         if self.steep:
             z /= sums[:, None]
             sums[:] = 1
-        at = np.flatnonzero(hit >= 0)
-        z.reshape(-1)[at * CLASSES + hit[at]] -= sums[at]
         scale = share / sums
-        scale[hit < 0] = 0
-        z, wide = z.reshape(len(x), -1, CLASSES), scale.reshape(total.shape)
-        g = {"out": ((mixed * wide).transpose(0, 2, 1) @ z).sum(0), "bias": scale @ z.reshape(-1, CLASSES), "distance": 0}
+        if hit.min(initial=0) < 0:
+            at = np.flatnonzero(hit >= 0)
+            scale[hit < 0] = 0
+            z *= scale[:, None]
+            z.reshape(-1)[at * CLASSES + hit[at]] -= share
+        else:
+            z *= scale[:, None]
+            z.reshape(-1)[np.arange(0, z.size, CLASSES) + hit] -= share
+        g["bias"] += np.ones(len(z), np.float32) @ z
+        z = z.reshape(len(x), -1, CLASSES)
+        g["out"] += (mixed.transpose(0, 2, 1) @ z).sum(0)
         d_u = z @ np.ascontiguousarray(self.p["out"].T)
-        d_u *= wide / total
         d_total = -((d_u * mixed).reshape(-1, WIDTH) @ ONES[:WIDTH]).reshape(goal.shape)
         # The attention: gradients of each place's query, key and value.
         d_q, d_k = np.empty(q.shape, np.float32), None
@@ -179,11 +200,10 @@ class AttentionModel:
             else:
                 d_k[:, :high] += d_s @ q[:, mine]
                 d_v[:, :high] += e @ d_u[:, mine]
-            by_place = np.ones(len(x), np.float32) @ d_s.reshape(len(x), -1)
-            g["distance"] = g["distance"] + np.bincount(self.gap[:high, low:high].ravel(), by_place, WINDOW)  # of keys ahead 0
+            met[:high, mine] += d_s.sum(0)
         rows = self.features.take(x, 0).transpose(0, 2, 1)  # of padding 0
-        g |= {"q": (rows[:, :, first:] @ d_q).sum(0), "k": (rows @ d_k).sum(0), "v": (rows @ d_v).sum(0)}
-        return np.concatenate([np.asarray(g[name], np.float32).ravel() for name, _ in self.SHAPES])
+        for name, d in (("q", rows[:, :, first:] @ d_q), ("k", rows @ d_k), ("v", rows @ d_v)):
+            g[name] += d.sum(0)
 
     def descend(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], prior: np.ndarray, rate: float = 0.005) -> int:
         """Adam steps over batches of windows and goals; the number of goals seen."""
@@ -369,7 +389,7 @@ def tokenized(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         row = TaskContext.get().partitionId() << 40
         encoder, ids, words = TextEncoder(tokenizer), np.zeros(VOCAB, np.int64), _Sums()
-        for b in together(batches, bound=TOGETHER // 2):
+        for b in together(batches):
             held = np.array([_held(d) for d in b.column("doc_id").to_pylist()], bool)
             found, many = encoder(b.column("text"))
             ids += np.bincount(found[np.repeat(~held, many)], minlength=VOCAB)
@@ -523,9 +543,9 @@ def score_ids(model: AttentionModel, counts: Counts, ids: np.ndarray, many: np.n
     groups, starts = counts.group[ids], np.cumsum(many) - many
     x, goal, place = windows_of(groups, counts.class_of[ids], many)
     found = np.zeros(goal.shape)
-    for at in range(0, len(x), STEP):
-        part = goal[at : at + STEP]
-        found[at : at + STEP][part >= 0] = model.score(x[at : at + STEP], counts.prior, part)
+    for at in range(0, len(x), SCORED):
+        part = goal[at : at + SCORED]
+        found[at : at + SCORED][part >= 0] = model.score(x[at : at + SCORED], counts.prior, part)
     last = np.empty(len(ids), np.int64)
     last[1:] = groups[:-1]
     last[starts] = START

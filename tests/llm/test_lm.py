@@ -237,3 +237,23 @@ def test_no_pass_to_sample_and_no_sorted_words(spark, docs, monkeypatch):
     monkeypatch.setattr(type(docs), "repartitionByRange", lambda *_: pytest.fail("the table is sampled"))
     plan = lm.score_documents(docs, head=2)._jdf.queryExecution().sparkPlan().toString()
     assert "ShuffledHashJoin [word" in plan and "SortMergeJoin [word" not in plan
+
+
+def test_a_step_holds_half_as_much():
+    """Second round: a step of descent held over 5 MB at a time, more than a processor's own cache."""
+    model, prior, rng = _model(6)
+    x, goal = rng.integers(0, 1000, (lm.STEP, lm.WINDOW)).astype(np.int16), rng.integers(0, lm.CLASSES, (lm.STEP, lm.WINDOW)).astype(np.int16)
+    tracemalloc.start()
+    model.gradient(x, prior, goal)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3.2e6
+
+
+def test_padding_weighs_nothing_beside_the_smallest_weights():
+    model, prior, rng = _model(7)
+    model.p["distance"][:] = np.where(np.arange(lm.WINDOW) < 20, -95, 55)  # padding is far back
+    model.refresh()
+    x, goal, _ = lm.windows_of(rng.integers(0, 40, 10), rng.integers(0, lm.CLASSES, 10), np.array([10]))
+    mixed = model.attend(model.q[x[:, lm.STRIDE :]], model.kv[x])[1]
+    assert np.isfinite(mixed).all() and np.abs(mixed[0, 0]).max() < 1e-6 and np.isfinite(model.score(x, prior, goal)).all() and np.isfinite(model.gradient(x, prior, goal)).all()
