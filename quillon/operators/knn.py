@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ from ..plans.pipeline import INT_MAX
 LONG, KEPT = 128, 10_000
 #: Query vectors that travel to the tasks at once.
 QUERY_BLOCK = 4096
+#: Numbers that a block of queries, or its best rows, hold at most (but one query's); rows and queries that are
+#: compared at once; pairs that are scored at once.
+BLOCK_VALUES, STEP, PAIRS = 1 << 20, 512, 1 << 17
 
 
 def check_dimensions(query: Sequence[float], dimensions: int | None) -> None:
@@ -83,15 +86,109 @@ def _score_rows(vectors: np.ndarray, query: np.ndarray, metric: str) -> np.ndarr
     return 1 / (1 + np.sqrt(np.einsum("nd,nd->n", gap, gap)))
 
 
-def _scores(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    dot = queries @ vectors.T
+def _pair_scores(vectors: np.ndarray, queries: np.ndarray, rows: np.ndarray, asked: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of the pairs ``vectors[rows[i]], queries[asked[i]]``, summed from the first component on: equal
+    pairs score alike wherever they stand, which a matrix product does not promise."""
+    total, own, other = np.zeros(len(rows)), np.zeros(len(vectors)), np.zeros(len(queries))
+    for d in range(vectors.shape[1]):
+        x, y = vectors[:, d], queries[:, d]
+        total += (x[rows] - y[asked]) ** 2 if metric == "euclidean" else x[rows] * y[asked]
+        own, other = own + x * x, other + y * y
     if metric == "dot":
-        return dot
+        return total
+    if metric == "euclidean":
+        return 1 / (1 + np.sqrt(total))
+    own, other = own[rows], other[asked]
+    size = np.sqrt(own * other)
+    size = np.where((size > 0) & np.isfinite(size), size, np.sqrt(own) * np.sqrt(other))
+    return np.clip(np.divide(total, size, out=np.zeros_like(total), where=~((own <= 0) | (other <= 0))), -1, 1)
+
+
+def _near_pairs(vectors: np.ndarray, queries: np.ndarray, least: np.ndarray, top_k: int, metric: str, left_out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (rows of queries, rows of vectors) that can be among the ``top_k`` of their query: by a matrix
+    product, with its rounding allowed for. ``least``: the score that each query's pairs must reach."""
+    dot = queries @ vectors.T
     own, asked = np.sqrt((vectors * vectors).sum(1)), np.sqrt((queries * queries).sum(1))
+    slack = 8 * (vectors.shape[1] + 8) * np.finfo(np.float64).eps
     if metric == "cosine":
-        size = asked[:, None] * own[None, :]
-        return np.divide(dot, size, out=np.zeros_like(dot), where=size > 0)
-    return 1 / (1 + np.sqrt(np.maximum(0, asked[:, None] ** 2 + own[None, :] ** 2 - 2 * dot)))
+        near = np.divide(dot, asked[:, None] * own, out=np.zeros_like(dot), where=~(own <= 0) & ~(asked <= 0)[:, None])
+        slack = np.full(len(queries), slack)
+    elif metric == "dot":
+        near, slack = dot, slack * asked * own.max()
+    else:  # the square of the distance
+        near, slack = 2 * dot - own**2 - asked[:, None] ** 2, slack * (1 + (asked + own.max()) ** 2)
+        far = (1 / np.where(least > 0, least, 1) - 1) ** 2
+        least = np.where(np.isposinf(least), least, np.where(least > 0, -far, -np.inf))
+    if left_out is not None:
+        near[left_out] = -np.inf
+    if len(vectors) > top_k and np.isneginf(least).any():
+        least = np.fmax(least, np.partition(near, len(vectors) - top_k, 1)[:, len(vectors) - top_k] - slack)
+    bound = least - slack
+    return np.nonzero(~(near < np.where(np.isnan(bound), -np.inf, bound)[:, None]))
+
+
+class _Best:
+    """The best of the vectors seen so far for each query of a block. Vectors meet queries ``STEP`` by ``STEP``, so
+    memory depends on neither's number; what is kept is ``top_k`` rows of the ids ``found`` for each query."""
+
+    def __init__(self, queries: np.ndarray, top_k: int, metric: str):
+        self.queries, self.top_k, self.metric = queries, top_k, metric
+        self.found: pa.Array | None = None
+        self.rows = np.full((len(queries), top_k), -1)  # -1: none yet
+        self.scores = np.full(self.rows.shape, np.nan)
+        self.order = np.full(self.rows.shape, -np.inf)  # as Spark orders scores: not a number first, null last
+
+    def add(self, ids: pa.Array, vectors: np.ndarray, bare: np.ndarray, allowed: Callable[[slice, slice], np.ndarray] | None = None) -> None:
+        """``bare``: vectors with a null component, which have no score. ``allowed``: of rows of queries and of
+        vectors, the pairs that count."""
+        first = 0 if self.found is None else len(self.found)
+        found = ids if self.found is None else pa.concat_arrays([self.found, ids])
+        place = np.empty(len(found), np.int64)
+        place[_ordered(found)] = np.arange(len(found))
+        for v in range(0, len(vectors), STEP):
+            part, lost = vectors[v : v + STEP].astype(np.float64), bare[v : v + STEP]
+            for q in range(0, len(self.queries), STEP):
+                self._merge(slice(q, q + STEP), part, lost, first + v, place, allowed and allowed(slice(q, q + STEP), slice(v, v + STEP)))
+        kept, at = np.unique(self.rows, return_inverse=True)
+        none = int(kept[0] == -1)
+        self.found, self.rows = found.take(pa.array(kept[none:])), at.reshape(self.rows.shape) - none
+
+    def _merge(self, some: slice, vectors: np.ndarray, bare: np.ndarray, first: int, place: np.ndarray, allowed: np.ndarray | None) -> None:
+        queries, rows, scores, order = self.queries[some], self.rows[some], self.scores[some], self.order[some]
+        left_out = None if allowed is None else ~allowed
+        if bare.any():
+            left_out = np.broadcast_to(bare, (len(queries), len(vectors))) if left_out is None else left_out | bare
+        with np.errstate(all="ignore"):
+            q, v = _near_pairs(vectors, queries, order[:, -1], self.top_k, self.metric, left_out)
+            if allowed is not None:
+                q, v = (x[allowed[q, v]] for x in (q, v))
+            s = np.concatenate([np.zeros(0), *(_pair_scores(vectors, queries, v[i : i + PAIRS], q[i : i + PAIRS], self.metric) for i in range(0, len(q), PAIRS))])
+        s = np.where(bare[v], np.nan, s)
+        by = np.where(bare[v], -np.inf, np.where(np.isnan(s), np.inf, s))
+        fit = by >= order[q, -1]
+        touched, q = np.unique(q[fit], return_inverse=True)
+        of = np.concatenate((np.repeat(np.arange(len(touched)), self.top_k), q))
+        row, s, by = (np.concatenate((held[touched].ravel(), more[fit])) for held, more in ((rows, v + first), (scores, s), (order, by)))
+        at = np.lexsort((np.where(row < 0, len(place), place[row]), -by, of))
+        at = at[np.searchsorted(of[at], np.arange(len(touched)))[:, None] + np.arange(self.top_k)]
+        rows[touched], scores[touched], order[touched] = row[at], s[at], by[at]
+
+    def batches(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        size = max(1, PAIRS // self.top_k // 8)
+        for i in range(0, len(self.rows), size):
+            q, k = np.nonzero(self.rows[i : i + size] >= 0)
+            q = q + i
+            s = self.scores[q, k]
+            none = np.isnan(s) & np.isneginf(self.order[q, k])
+            if len(q):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), self.found.take(pa.array(self.rows[q, k])), pa.array(s, mask=none)], ["query_id", "_id", "score"])
+
+
+def _ordered(ids: pa.Array) -> np.ndarray:
+    """The rows of ids in Spark's ascending order."""
+    columns = ids.flatten() if pa.types.is_struct(ids.type) else [ids]
+    keys = [str(i) for i in range(len(columns))]
+    return pc.sort_indices(pa.table(columns, names=keys), [(k, "ascending") for k in keys], null_placement="at_start").to_numpy()
 
 
 def batch_nearest(df: DataFrame, field: str, queries: DataFrame, query_field: str, top_k: int = 10, metric: str = "cosine") -> DataFrame:
@@ -100,57 +197,71 @@ def batch_nearest(df: DataFrame, field: str, queries: DataFrame, query_field: st
     Queries (``_id`` and ``query_field``) go to the tasks in blocks of bounded size; each task keeps
     its own best ``top_k`` per query, and only those meet.
     """
+    rows = queries.select("_id", query_field).filter(F.col(query_field).isNotNull()).toLocalIterator()
+    return _batch(df, field, rows, queries.schema["_id"].dataType, top_k, metric)
+
+
+def _batch(df: DataFrame, field: str, queries: Iterable, query_kind: T.DataType, top_k: int, metric: str, hashes: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """:func:`batch_nearest` of rows (id, vector). With ``hashes``, a row of numbers for each vector, those that
+    share one with the query come first, whatever their score, and the others fill up."""
     if metric not in METRICS:
         raise EngineError("InvalidOperation", f"unknown metric {metric!r}")
-    id_kind, q_kind = df.schema["_id"].dataType.simpleString(), queries.schema["_id"].dataType.simpleString()
-    parts, block = [], []
+    id_kind, q_kind = df.schema["_id"].dataType.simpleString(), query_kind.simpleString()
+    nothing = df.sparkSession.createDataFrame([], f"query_id {q_kind}, rank int, _id {id_kind}, score double")
+    if top_k <= 0:
+        return nothing
+    top_k = min(top_k, df.count()) if top_k > BLOCK_VALUES else top_k
+    parts: list[DataFrame] = []
+    blocks: dict[int, list] = {}  # by the vectors' length
 
     def part(rows: list) -> DataFrame:
-        ids, asked = pa.array([r[0] for r in rows], to_arrow_type(queries.schema["_id"].dataType)), np.array([r[1] for r in rows], np.float64)
+        ids, asked = pa.array([r[0] for r in rows], to_arrow_type(query_kind)), np.array([r[1] for r in rows], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: tuple[pa.Array, np.ndarray, np.ndarray] | None = None  # ids, each query's best rows of them and scores
+            best = [_Best(asked, top_k, metric) for _ in range(1 if hashes is None else 2)]
+            own = hashes and hashes(asked)
             for b in batches:
-                lists = b.column("v")
-                fits = np.flatnonzero(np.diff(np.asarray(lists.offsets)) == asked.shape[1])
+                fits = np.flatnonzero(np.diff(np.asarray(b.column("v").offsets)) == asked.shape[1])
                 if not len(fits):
                     continue
                 chosen = b.take(pa.array(fits))
-                vectors = np.asarray(chosen.column("v").flatten(), np.float64).reshape(-1, asked.shape[1])
-                s, found = _scores(vectors, asked, metric), chosen.column("_id")
-                rows = np.broadcast_to(np.arange(len(found)), s.shape)
-                if best is not None:
-                    rows, s = np.concatenate((best[1], rows + len(best[0])), 1), np.concatenate((best[2], s), 1)
-                    found = pa.concat_arrays([best[0], found])
-                place = np.argsort(np.argsort(found.to_numpy(zero_copy_only=False), kind="stable"))[rows]
-                top = np.lexsort((place, -s), axis=1)[:, :top_k]
-                rows, s = np.take_along_axis(rows, top, 1), np.take_along_axis(s, top, 1)
-                kept, at = np.unique(rows, return_inverse=True)
-                best = found.take(pa.array(kept)), at.reshape(rows.shape), s
-            if best is not None:
-                at = best[1]
-                for q in range(0, len(at), 500):
-                    part = at[q : q + 500]
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(np.repeat(np.arange(q, q + len(part)), part.shape[1]))), best[0].take(pa.array(part.ravel())), pa.array(best[2][q : q + 500].ravel())], ["query_id", "_id", "score"]
-                    )
-
-        return df.select("_id", F.col(field).alias("v")).filter("v is not null").mapInArrow(run, f"query_id {q_kind}, _id {id_kind}, score double")
-
-    for row in queries.select("_id", query_field).filter(F.col(query_field).isNotNull()).toLocalIterator():
+                flat = chosen.column("v").flatten()
+                vectors = flat.to_numpy(zero_copy_only=False).reshape(-1, asked.shape[1])
+                bare = flat.is_null().to_numpy(zero_copy_only=False).reshape(vectors.shape).any(1)
+                if metric == "cosine":  # a vector with a null is as far as a zero one
+                    vectors, bare = np.where(bare[:, None], 0, vectors), np.zeros_like(bare)
+                if hashes is None:
+                    best[0].add(chosen.column("_id"), vectors, bare)
+                    continue
+                theirs = hashes(vectors.astype(np.float64))
+                shared = lambda q, v: (own[q, None] == theirs[None, v]).any(2)  # noqa: B023, E731
+                best[0].add(chosen.column("_id"), vectors, bare, shared)
+                best[1].add(chosen.column("_id"), vectors, bare, lambda q, v: ~shared(q, v))  # noqa: B023
+            for i, one in enumerate(best):
+                for b in one.batches(ids) if one.found is not None else ():
+                    yield b.append_column("other", pa.array(np.full(b.num_rows, i, np.int32)))
+
+        held = df.select("_id", F.col(field).alias("v")).filter("v is not null")
+        return held.mapInArrow(run, f"query_id {q_kind}, _id {id_kind}, score double, other int")
+
+    for row in queries:
+        width = len(row[1])
+        block = blocks.setdefault(width, [])
         block.append(row)
-        if len(block) == QUERY_BLOCK:
-            parts.append(part(block))
-            block = []
-    if block:
-        parts.append(part(block))
+        if len(block) >= min(QUERY_BLOCK, BLOCK_VALUES // max(width, 1), BLOCK_VALUES // top_k):
+            parts.append(part(blocks.pop(width)))
+    parts += [part(b) for width, b in blocks.items() if width]
     if not parts:
-        return df.sparkSession.createDataFrame([], f"query_id {q_kind}, rank int, _id {id_kind}, score double")
+        return nothing
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("_id")))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= top_k).select("query_id", "rank", "_id", "score")
+    nearest = (F.desc("score"), F.asc("_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("other", *nearest))
+    out = out.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    if hashes is not None:
+        out = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*nearest)))
+    return out.select("query_id", "rank", "_id", "score")
 
 
 class CellIndex:

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.errors import EngineError
@@ -64,6 +65,41 @@ def test_long_vectors_and_batches_agree(spark):
             assert [r["_id"] for r in batch.filter(f"query_id = {q}").orderBy("rank").collect()] == one
 
 
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_batches_rank_equal_vectors_by_id_and_odd_ones_as_one_query_does(spark, metric):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.repeat(rng.normal(size=(3, 64)), 700, 0), rng.normal(size=(900, 64))])
+    x = x[rng.permutation(len(x))].round(3)
+    x[11] = 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5001, [1.0]), (5002, [None] + [1.0] * 63), (5003, [float("nan")] + [1.0] * 63)]
+    df = spark.createDataFrame(rows, "_id int, v array<double>").repartition(3)
+    batch = knn.batch_nearest(df, "v", df.filter("_id < 20 or _id = 5001"), "v", 9, metric)
+    got = {}
+    for r in batch.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["_id"], r["score"]))
+    for q in range(20):
+        one = found(knn.find_nearest(df, "v", x[q].tolist(), 9, metric))
+        assert [i for i, _ in got[q]] == [i for i, _ in one]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in one], abs=1e-12, nan_ok=True)
+    assert [i for i, _ in got[5001]] == [5001]
+    everything = knn.batch_nearest(df, "v", df.filter("_id < 2"), "v", 5000, metric).groupBy("query_id").count().collect()
+    assert sorted(map(tuple, everything)) == [(0, 3002), (1, 3002)]
+
+
+def test_batches_hold_little_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    asked, x = rng.normal(size=(2000, 16)), rng.normal(size=(10_000, 16)).astype(np.float32)
+    best = knn._Best(asked, 5, "cosine")
+    tracemalloc.start()
+    best.add(pa.array(np.arange(len(x))), x, np.zeros(len(x), bool))
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # all scores at once are 160 MB
+    tracemalloc.stop()
+    some = asked[:50] / np.linalg.norm(asked[:50], axis=1)[:, None] @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+    assert [best.found.take(pa.array(r)).to_pylist() for r in best.rows[:50]] == np.argsort(-some, 1)[:, :5].tolist()
+
+
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
 def test_long_vectors_rank_alike_in_numpy_and_in_expressions(spark, monkeypatch, metric):
     rng = np.random.default_rng(2)
