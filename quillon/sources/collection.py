@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +122,10 @@ class Database:
         return self.user_version
 
 
+def _stats(documents: DataFrame) -> tuple[int, int]:
+    return tuple(documents.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first())
+
+
 def _files(manifest: dict) -> list[str]:
     """The tables a manifest names."""
     found = [p["name"] for kind in ("segments", "gone") for p in manifest[kind]]
@@ -154,7 +159,7 @@ class Collection:
         return self.db.spark.read.parquet(f"{self.db.store.base}/{self.name}/{name}")
 
     def _save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.db.store.base}/{self.name}/{name}")
+        df.write.parquet(f"{self.db.store.base}/{self.name}/{name}", compression="zstd")
         return self._table(name)
 
     def _alive(self, parts: list[tuple[int, DataFrame]], manifest: dict) -> DataFrame:
@@ -171,6 +176,16 @@ class Collection:
     def _read(self, manifest: dict) -> DataFrame | None:
         return self._alive([(s["at"], self._table(s["name"])) for s in manifest["segments"]], manifest) if manifest["segments"] else None
 
+    def _merged(self, manifest: dict) -> DataFrame:
+        """:meth:`_read` dealt and sorted by id. Ids that are gone are dealt out with the documents, which so are shuffled once."""
+        parts = [self._table(s["name"]).withColumn("__at", F.lit(s["at"])) for s in manifest["segments"]]
+        gone = [self._table(g["name"]).select("_id", F.lit(g["at"]).alias("__gone")) for g in manifest["gone"]]
+        dealt = _union([*parts, *gone]).repartitionByRange("_id").sortWithinPartitions("_id")
+        if not gone:
+            return dealt.drop("__at")
+        last = dealt.withColumn("__last", F.max("__gone").over(W.partitionBy("_id")))
+        return last.filter("__at IS NOT NULL AND (__last IS NULL OR __last <= __at)").drop("__at", "__gone", "__last")
+
     def frame(self) -> DataFrame | None:
         """The documents as they are now, or None before the first write."""
         manifest = self.manifest()
@@ -216,7 +231,7 @@ class Collection:
             for key, about in before["indexes"].items():
                 about = dict(about)
                 if "n" in about and n.get("gone"):
-                    lost = self._text_stats(gone, about["field"])
+                    lost = self._index_stats(before, about, self._table(name("gone"))) if about.get("packed") else self._text_stats(gone, about["field"])
                     about["n"], about["total"] = about["n"] - lost[0], about["total"] - lost[1]
                 if "slot" in about and n.get("seg"):
                     made.append(self._index_segment(rows, about, name("seg")))
@@ -247,11 +262,11 @@ class Collection:
         if df is not None and (len(before["segments"]) > 1 or before["gone"]):
             at, tag = before["generation"] + 1, uuid.uuid4().hex[:12]
             name = f"seg-{at:012d}-{tag}"
-            rows = self._save(df.repartitionByRange("_id").sortWithinPartitions("_id"), name)
+            rows = self._save(self._merged(before), name)
             indexes = {}
             for key, about in before["indexes"].items():
                 if "slot" in about:
-                    about = {**about, "segments": [], **({"n": 0, "total": 0} if "n" in about else {})}
+                    about = {**about, "segments": [], **({"n": 0, "total": 0, "packed": True} if "n" in about else {})}
                     self._index_segment(rows, about, name)
                 indexes[key] = about
             self._publish(before, segments=[{"name": name, "at": at}], gone=[], indexes=indexes)
@@ -319,7 +334,7 @@ class Collection:
         df = self._frame()
         if not about["segments"]:
             return df.withColumn("score", F.lit(0.0)).filter(F.lit(False))
-        found = self._stored(manifest, about, lambda df: df.filter(F.col("token").isin(*text_search.query_tokens(query))))
+        found = self._stored(manifest, about, lambda df: text_search.unpacked(df, *text_search.query_tokens(query)))
         return text_search.search_postings(df, found, about["n"], about["total"], query, top_k, filter, **tuned)
 
     def find_nearest(self, field: str, query: Sequence[float], top_k: int = 10, filter: object = None, probes: int = 16) -> DataFrame:  # noqa: A002
@@ -456,6 +471,13 @@ class Collection:
     def drop_index(self, *fields: str) -> None:
         self._index("field:" + ",".join(fields), None)
 
+    def _index_stats(self, manifest: dict, about: dict, some: DataFrame | None = None) -> tuple[int, int]:
+        """Documents and tokens that a text index has of the documents held, or of those with ids in ``some``."""
+        if not about["segments"]:
+            return 0, 0
+        held = self._stored(manifest, about, lambda df: text_search.unpacked(df, text_search.DOCUMENT))
+        return _stats(held if some is None else held.join(some, "_id", "left_semi"))
+
     def _text_stats(self, df: DataFrame, field: str) -> tuple[int, int]:
         return tuple(text_search.corpus_stats(df, field).first()) if field in df.columns else (0, 0)
 
@@ -465,13 +487,14 @@ class Collection:
         name = f"{segment}.{about['kind']}.{about['slot']}"
         if about["field"] in rows.columns:
             if about["kind"] == "text":
-                held, by = text_search.index_postings(rows, about["field"]), "token"
-                found = self._text_stats(rows, about["field"])
-                about["n"], about["total"] = about["n"] + found[0], about["total"] + found[1]
+                held = text_search.index_postings(rows, about["field"])
             else:
-                held, by = self._cells(about).cells(rows, about["field"]), "cell"
-            held.repartitionByRange(by, "_id").sortWithinPartitions(by, "_id").write.parquet(f"{self.db.store.base}/{self.name}/{name}")
+                held = self._cells(about).cells(rows, about["field"]).repartitionByRange("cell", "_id").sortWithinPartitions("cell", "_id")
+            self._save(held, name)
             about["segments"] = [*about["segments"], segment]
+            if about["kind"] == "text":
+                found = _stats(text_search.unpacked(self._table(name), text_search.DOCUMENT))
+                about["n"], about["total"] = about["n"] + found[0], about["total"] + found[1]
         return name
 
     def _stored(self, manifest: dict, about: dict, rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -488,11 +511,10 @@ class Collection:
         manifest = self.manifest()
         if f"text:{field}" in manifest["indexes"]:
             return
-        about = {"kind": "text", "field": field, "slot": uuid.uuid4().hex[:8], "segments": [], "n": 0, "total": 0}
+        about = {"kind": "text", "field": field, "slot": uuid.uuid4().hex[:8], "segments": [], "n": 0, "total": 0, "packed": True}
         for s in manifest["segments"]:
             self._index_segment(self._table(s["name"]), about, s["name"])
-        now = self._read(manifest)
-        about["n"], about["total"] = (0, 0) if now is None else self._text_stats(now, field)  # without documents that are gone
+        about["n"], about["total"] = self._index_stats(manifest, about)  # without documents that are gone
         self._index(f"text:{field}", about)
 
     def drop_text_index(self, field: str) -> None:

@@ -125,6 +125,34 @@ def test_the_text_index_follows_every_write(spark, db):
     assert "split(" not in plan  # no text is tokenized again
 
 
+def test_postings_are_packed_where_they_are_read_and_merging_shuffles_documents_once(spark, db, monkeypatch):
+    monkeypatch.setattr(text_search, "ROW", 7), monkeypatch.setattr(text_search, "CHUNK", 20), monkeypatch.setattr(text_search, "SORTED", 100)
+    rows = [(ids.new_id(), " ".join(["tea"] * (i % 4) + ["\u0939\u093f", f"w{i % 9}", f"W{i}", "x"])) for i in range(60)] + [(ids.new_id(), ""), (ids.new_id(), None)]
+    df = spark.createDataFrame(rows, "_id string, body string").repartition(3)
+    packed = text_search.index_postings(df, "body")
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan and packed.agg(F.max(F.size("ids"))).first()[0] <= 7
+    words = [r["token"] for r in packed.select("token").distinct().collect()]
+    found = text_search.unpacked(packed, *words).cache()
+    key = lambda df: sorted(map(tuple, df.select("_id", "token", "tf").collect()))
+    assert key(found.filter("token <> ''")) == key(text_search.postings(df, "body"))
+    want = sorted(map(tuple, text_search.lengths(df, "body").collect()))
+    assert sorted(map(tuple, found.filter("token = ''").select("_id", F.col("len").cast("long")).collect())) == want and len(want) == 61
+    c = db.collection("t")
+    c.insert_many(df), c.create_text_index("body")
+    c.update_many({"_id": {"$in": [r[0] for r in rows[:20]]}}, {"$set": {"body": "tea ink"}})
+    c.delete_many({"_id": {"$in": [r[0] for r in rows[15:30]]}}), c.insert_many(df.filter(F.col("_id") == rows[15][0]))
+    about = c.indexes()["text:body"]
+    assert (about["n"], about["total"]) == tuple(text_search.corpus_stats(c.find(), "body").first())
+    merged, now = c._merged(c.manifest()), sorted(map(tuple, c.find().select("_id", "body", "_changed_at").collect()), key=str)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(map(tuple, merged.select("_id", "body", "_changed_at").collect()), key=str) == now
+    c.compact()
+    assert sorted(map(tuple, c.find().select("_id", "body", "_changed_at").collect()), key=str) == now
+    about = c.indexes()["text:body"]
+    assert (about["n"], about["total"]) == tuple(text_search.corpus_stats(c.find(), "body").first())
+
+
 def test_writes_cost_what_they_touch(spark, db):
     c = db.collection("s")
     rows = spark.range(1000).selectExpr("cast(id AS string) AS _id", "id AS n", "array(cast(id AS double)) AS v")
