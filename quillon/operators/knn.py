@@ -325,29 +325,31 @@ class ApproximateIndex:
     """Random-projection hashing on unit vectors; cosine and euclidean only."""
 
     def __init__(self, df: DataFrame, field: str, metric: str = "cosine", bucket_length: float = 0.75, tables: int = 8, seed: int = 42):
-        from pyspark.ml.feature import BucketedRandomProjectionLSH
-        from pyspark.ml.functions import array_to_vector
-
         if metric == "dot":
             raise EngineError("InvalidOperation", "an approximate index has no dot metric")
         self.df, self.field, self.metric = df, field, metric
-        unit = F.col(field).cast("array<double>")
-        if metric == "cosine":
-            norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
-            unit = F.when(norm > 0, F.transform(unit, lambda x: x / norm))
-        self.data = df.withColumn("__unit", unit).filter("__unit is not null").withColumn("__vector", array_to_vector("__unit"))
-        self.model = BucketedRandomProjectionLSH(inputCol="__vector", outputCol="__hash", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(self.data)
+        self.bucket_length, self.tables, self.seed = bucket_length, tables, seed
+
+    def _hashes(self) -> Callable[[np.ndarray], np.ndarray]:
+        metric, length, tables, seed = self.metric, self.bucket_length, self.tables, self.seed
+
+        def hashes(x: np.ndarray) -> np.ndarray:
+            ways = np.random.default_rng(seed).normal(size=(tables, x.shape[1]))
+            return np.floor(_scaled(x, metric) @ (ways / np.linalg.norm(ways, axis=1)[:, None]).T / length)
+
+        return hashes
+
+    def batch_nearest(self, queries: DataFrame, query_field: str, top_k: int = 10) -> DataFrame:
+        """Like :func:`batch_nearest` over the vectors that share a bucket with the query in any table, and where these
+        are too few over the others too. One pass hashes and ranks every vector for all queries of a block."""
+        rows = queries.select("_id", query_field).filter(F.col(query_field).isNotNull()).toLocalIterator()
+        return _batch(self.df, self.field, rows, queries.schema["_id"].dataType, top_k, self.metric, self._hashes())
 
     def find_nearest(self, query: Sequence[float], top_k: int = 10, filter: object = None) -> DataFrame:  # noqa: A002
         """Like the exact search over more candidates than asked for; a filter makes it exact."""
         if filter:
             return find_nearest(self.df, self.field, query, top_k, self.metric, filter)
-        from pyspark.ml.linalg import Vectors
-
-        asked = np.asarray(query, float)
-        if self.metric == "cosine":
-            size = np.linalg.norm(asked)
-            asked = asked / size if size > 0 else asked
         wide = top_k + max(top_k // 5, 8)
-        near = self.model.approxNearestNeighbors(self.data, Vectors.dense(asked), wide, distCol="__distance")
+        near = _batch(self.df, self.field, [(0, list(query))], T.IntegerType(), wide, self.metric, self._hashes()).select("_id")
+        near = self.df.join(F.broadcast(near) if wide <= KEPT else near, "_id", "left_semi")
         return find_nearest(near.select(*self.df.columns), self.field, query, top_k, self.metric)

@@ -683,9 +683,9 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the approximate search finds nine of ten of the exact nearest, over 20 queries."""
     vectors = table(spark, sf, "embeddings")
     index = knn.ApproximateIndex(vectors, "embedding")
-    asked = vectors.filter("vec_id < 20").select("embedding").collect()
-    both = [({r["_id"] for r in knn.find_nearest(vectors, "embedding", list(q[0]), 10).collect()}, {r["_id"] for r in index.find_nearest(list(q[0]), 10).collect()}) for q in asked]
-    return spark.createDataFrame([(sum(len(a & b) for a, b in both) >= 9 * len(both),)], "enough boolean")
+    asked = vectors.filter("vec_id < 20")
+    both = [{(r["query_id"], r["_id"]) for r in found.collect()} for found in (knn.batch_nearest(vectors, "embedding", asked, "embedding", 10), index.batch_nearest(asked, "embedding", 10))]
+    return spark.createDataFrame([(len(both[0] & both[1]) >= 9 * len({q for q, _ in both[0]}),)], "enough boolean")
 
 
 # --- documents without a schema ----------------------------------------------------------------

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.errors import EngineError
 from quillon.functions.text import query_tokens
@@ -129,6 +130,22 @@ def test_approximate_index_ranks_like_exact(spark):
         knn.ApproximateIndex(df, "v", "dot")
 
 
+def test_the_approximate_index_ranks_many_queries_in_one_pass(spark):
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(20, 8)), 20, 0) + rng.normal(scale=0.05, size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "_id int, v array<double>").repartition(3)
+    asked = df.filter("_id % 40 = 5")
+    exact, near = ({(r["query_id"], r["_id"]) for r in f.collect()} for f in (knn.batch_nearest(df, "v", asked, "v", 10), knn.ApproximateIndex(df, "v").batch_nearest(asked, "v", 10)))
+    assert len(exact) == len(near) == 100 and len(exact & near) >= 90
+    narrow = knn.ApproximateIndex(df, "v", bucket_length=0.05, tables=1)  # few vectors share a bucket: they come first, others fill up
+    h = narrow._hashes()(x)[:, 0]
+    for q in (5, 45):
+        shared = [i for i in np.flatnonzero(h == h[q])]
+        want = {r["_id"] for r in knn.find_nearest(df.filter(F.col("_id").isin([int(i) for i in shared])), "v", x[q].tolist(), 100).collect()}
+        got = [r["_id"] for r in narrow.batch_nearest(df.filter(f"_id = {q}"), "v", 100).orderBy("rank").collect()]
+        assert len(got) == 100 and want <= set(got) and len(want) < 100
+
+
 def test_hybrid(docs):
     got = hybrid.hybrid_search(docs, "body", "rust", "v", [1, 0, 0, 0], 5).collect()
     ranks = {r["_id"]: (r["text_rank"], r["vector_rank"]) for r in got}
